@@ -169,7 +169,8 @@ def feature_sql(bars_sql: str, wanted: dict[str, Expr], select: dict[str, str])
     ctes, cur, have = feature_ctes(wanted)
     cols = []
     for name, template in select.items():
-        cols.append(f"{template.format(x=_text(ex(wanted[name]), have)) if name in wanted else template} AS {name}")
+        value = template.format(x=_text(ex(wanted[name]), have)) if name in wanted else template
+        cols.append(f'{value} AS "{name}"')
     head = (
         f"raw AS MATERIALIZED ({bars_sql}), bars AS MATERIALIZED "
         f"(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS seq FROM raw)"

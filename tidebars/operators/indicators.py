@@ -17,6 +17,12 @@ TYP = (H + L + C) / 3.0
 MED = (H + L) / 2.0
 
 
+def solid(x):
+    """A value whose null bars are known: nulls of unknown place become 0."""
+    x = ex(x)
+    return x if x.lead is not None else known(fill0(x), 0)
+
+
 def after(x, n):
     """Null on the first ``n - 1`` bars."""
     return known(when(SEQ >= n - 1, ex(x)), n - 1)
@@ -101,7 +107,7 @@ def frama(n=20, lo_limit=0.01):
 
 def supersmoother(x, n=10):
     """Two-pole smoother (second-order recurrence)."""
-    x = ex(x)
+    x = solid(x)
     a1 = math.exp(-1.414 * math.pi / n)
     b1 = 2 * a1 * math.cos(1.414 * math.pi / n)
     c2, c3 = b1, -a1 * a1
@@ -113,7 +119,7 @@ def supersmoother(x, n=10):
 
 def high_pass(x, n):
     """Two-pole high-pass filter of cut-off ``n``."""
-    x = ex(x)
+    x = solid(x)
     w = 0.707 * 2 * math.pi / n
     al = (math.cos(w) + math.sin(w) - 1) / math.cos(w)
     s = x.lead + 2
