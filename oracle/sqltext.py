@@ -85,6 +85,8 @@ def _window(e: Expr, have) -> str:
     t = lambda x: _text(x, have)
     if op in ("lag", "lead"):
         return f"{op}({t(a[0])}, {a[1]}) OVER ({W})"
+    if op == "startval":
+        return f"CASE WHEN seq = {a[3]} THEN {a[0]}({t(a[1])}) OVER {_frame(1 - a[2], 0)} END"
     if op == "run":
         f = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
         fn = {"last": "last_value({} IGNORE NULLS)", "first": "first_value({} IGNORE NULLS)"}.get(a[0], a[0] + "({})")
@@ -123,14 +125,14 @@ def feature_ctes(wanted: dict[str, Expr], base: str = "bars") -> tuple[list[str]
     for e in nodes:
         kids = _kids(e)
         m = max((level[k.num] for k in kids), default=0)
-        if e.op in WINDOW_OPS or e.op in ("run", "glob", "recur"):
+        if e.op in WINDOW_OPS or e.op in ("run", "glob", "recur", "startval"):
             m += 1
         level[e.num] = m
     ctes, have, cur = [], set(), base
     step = 0
     for lv in range(1, max(level.values(), default=0) + 1):
         group = [e for e in nodes if level[e.num] == lv]
-        wins = [e for e in group if e.op in WINDOW_OPS or e.op in ("run", "glob")]
+        wins = [e for e in group if e.op in WINDOW_OPS or e.op in ("run", "glob", "startval")]
         recs = [e for e in group if e.op == "recur"]
         if wins:
             step += 1

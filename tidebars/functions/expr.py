@@ -126,6 +126,10 @@ def is_lit(e):
 NULL_PRONE = {"div", "log", "log10", "sqrt", "coalesce", "case", "isnull", "true", "pow"}
 
 
+def leads_of(e):
+    return [k.lead for k in e.args if isinstance(k, Expr)]
+
+
 def _describe(e):
     """Derive back / fwd / lead / phase for the operators that change them."""
     op, a = e.op, e.args
@@ -139,6 +143,8 @@ def _describe(e):
         e.lead = a[0].lead if is_lit(a[1]) and a[1].args[0] else None
     elif op in ("case", "log", "log10", "sqrt", "pow"):
         e.lead = None
+    elif op in ("greatest", "least"):
+        e.lead = None if any(v is None for v in leads_of(e)) and 0 not in leads_of(e) else min(v for v in leads_of(e) if v is not None)
     elif op == "coalesce":
         e.lead = 0 if is_lit(a[-1]) and a[-1].args[0] is not None else None
     elif op == "known":
@@ -161,6 +167,9 @@ def _describe(e):
     elif op == "recur":
         e.back += a[3]
         e.lead = a[4]
+    elif op == "startval":
+        e.back += a[2] - 1
+        e.lead = None
     elif op in ("run", "glob", "folded"):
         e.back = e.fwd = 0
         e.phase += 1
@@ -335,6 +344,11 @@ def recur(a, b, halo, start, a2=0.0):
     return Expr("recur", ex(a), ex(b), float(a2), int(halo), int(start))
 
 
+def start_value(fn, x, n, start):
+    """``avg`` or ``sum`` of the n values ending at bar ``start``; null on other bars."""
+    return Expr("startval", fn, ex(x), int(n), int(start))
+
+
 def ema_alpha(x, alpha, seed="first", n=1):
     """Exponential mean with smoothing ``alpha``.
 
@@ -351,7 +365,7 @@ def ema_alpha(x, alpha, seed="first", n=1):
         return recur(q, b, memory(q), s)
     if seed == "sma":
         s = x.lead + n - 1
-        b = when(SEQ.eq(s), sma(x, n), SEQ > s, x * alpha)
+        b = when(SEQ.eq(s), start_value("avg", x, n, s), SEQ > s, x * alpha)
         return recur(q, b, memory(q), s)
     s = x.lead
     num = recur(q, when(SEQ >= s, x), memory(q), s)
@@ -372,7 +386,7 @@ def wilder_sum(x, n):
     x = ex(x)
     s = x.lead + n - 2
     q = 1.0 - 1.0 / n
-    b = when(SEQ.eq(s), rsum(x, n - 1), SEQ > s, x)
+    b = when(SEQ.eq(s), start_value("sum", x, n - 1, s), SEQ > s, x)
     return recur(q, b, memory(q), s)
 
 

@@ -10,7 +10,7 @@ import math
 
 from tidebars.functions.expr import (
     C, H, L, O, SEQ, V, absx, coalesce, diff, ema, ema_alpha, ex, fill0, greatest, known, lag, least, log10x, logx, mad,
-    memory, pct, recur, rmax, rmin, roll, rstd, rstdp, rsum, run, sma, sqrtx, when, wilder, wilder_sum, wma,
+    memory, pct, recur, rmax, rmin, roll, rstd, rstdp, rsum, run, sma, sqrtx, start_value, when, wilder, wilder_sum, wma,
 )
 
 TYP = (H + L + C) / 3.0
@@ -30,7 +30,7 @@ def after(x, n):
 
 def ema_from(x, n, start):
     """Exponential mean seeded with the mean of the n values ending at bar ``start``."""
-    b = when(SEQ.eq(start), sma(x, n), SEQ > start, ex(x) * (2.0 / (n + 1)))
+    b = when(SEQ.eq(start), start_value("avg", x, n, start), SEQ > start, ex(x) * (2.0 / (n + 1)))
     q = 1.0 - 2.0 / (n + 1)
     return recur(q, b, memory(q), start)
 

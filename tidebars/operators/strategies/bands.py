@@ -162,9 +162,8 @@ def families():
     new_month = (SEQ.eq(0)) | month(ts).ne(month(lag(ts)))
     shares = run("sum", when(new_month, 1.0, otherwise=0.0) * 250.0 / C)
     first_c = run("first", C)
-    nvi = run("sum", when(true(V > lag(V)), lr, otherwise=0.0))
-    pvi = run("sum", when(true((V > lag(V)) & (C > lag(C))), V, otherwise=0.0))
-    pvt = run("sum", known(coalesce(pct(C), 0.0), 0) * V)
+    # the running indices rise or fall exactly when their last step does
+    vpt_step = known(coalesce(pct(C), 0.0), 0) * V
     draw = C * 0.96 / rmax(C, 252) - 1.0
     cum = {
         "advance_decline_indicator": signal((up_dn > lag(up_dn)) & (C > lag(C)), (up_dn < lag(up_dn)) & (C < lag(C))),
@@ -173,9 +172,10 @@ def families():
             true(growth < SEQ * t_bill) & ~true(lag(growth) < lag(SEQ) * t_bill)),
         "dollar_cost_averaging_vs_lump_sum_investing": state(shares * C, C * 3000.0 / first_c),
         "how_likely_are_you_to_go_broke_as_retired_or_fire": signal(C.ne(C), draw < -0.2),
-        "negative_volume_index": state(nvi, lag(nvi)),
-        "positive_volume_index": signal(pvi > lag(pvi)),
-        "price_and_volume_trend": signal((pvt > lag(pvt)) & (lag(pvt) <= lag(pvt, 2)), (pvt < lag(pvt)) & (lag(pvt) >= lag(pvt, 2))),
+        "negative_volume_index": signal((V > lag(V)) & (C > lag(C)), (V > lag(V)) & (C < lag(C))),
+        "positive_volume_index": signal((V > lag(V)) & (C > lag(C)) & (V > 0.0)),
+        "price_and_volume_trend": signal(
+            (vpt_step > 0.0) & (lag(vpt_step) <= 0.0), (vpt_step < 0.0) & (lag(vpt_step) >= 0.0)),
         "stay_rich_portfolio": signal(
             (pct(C) > 0.04) & (C / top_c >= 0.7), (pct(C) < -0.04) & (C / top_c < 0.7)),
         "trailing_stop_sx": signal(H > lag(run("max", C)) * 1.01),

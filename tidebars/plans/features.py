@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 
 from tidebars.functions.expr import Expr, ex
 from tidebars.plans import kernels
-from tidebars.plans.layout import Laid, own_rows, with_halo
+from tidebars.plans.layout import Laid, own_rows, settle, with_halo
 
 WINDOW_OPS = {"lag", "lead", "roll"}
 WHOLE_OPS = {"run", "glob"}
-KEYS = ["symbol", "chunk", "seq"]
+KERNEL_OPS = {"recur", "startval"}
+KEYS = ["symbol", "chunk", "seq", "bars"]
 _INT_OPS = {"month", "day", "isodow", "year", "hour", "dim", "epochday", "minuteofday"}
 _BOOL_OPS = {"gt", "ge", "lt", "le", "eq", "ne", "and", "or", "not", "isnull", "true"}
 
@@ -49,93 +50,103 @@ def _walk(roots) -> list[Expr]:
 
 
 # --- scalar and window rendering ---------------------------------------------
+_INFIX = {
+    "add": "+", "sub": "-", "mul": "*", "gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "=", "ne": "<>", "and": "AND", "or": "OR",
+}
 _SCALAR = {
-    "add": lambda x, y: x + y, "sub": lambda x, y: x - y, "mul": lambda x, y: x * y,
-    "neg": lambda x: -x, "abs": F.abs, "exp": F.exp, "sign": F.signum, "floor": lambda x: F.floor(x).cast("double"),
-    "sin": F.sin, "cos": F.cos, "tanh": F.tanh, "atan": F.atan,
-    "gt": lambda x, y: x > y, "ge": lambda x, y: x >= y, "lt": lambda x, y: x < y, "le": lambda x, y: x <= y,
-    "eq": lambda x, y: x == y, "ne": lambda x, y: x != y,
-    "and": lambda x, y: x & y, "or": lambda x, y: x | y, "not": lambda x: ~x,
-    "isnull": lambda x: x.isNull(), "true": lambda x: F.coalesce(x, F.lit(False)),
-    "log": lambda x: F.when(x > 0, F.log(x)), "log10": lambda x: F.when(x > 0, F.log10(x)),
-    "sqrt": lambda x: F.when(x >= 0, F.sqrt(x)),
-    "greatest": F.greatest, "least": F.least, "coalesce": F.coalesce,
-    "month": F.month, "day": F.dayofmonth, "isodow": lambda x: F.weekday(x) + 1, "year": F.year, "hour": F.hour,
-    "dim": lambda x: F.dayofmonth(F.last_day(x)), "epochday": lambda x: F.datediff(x, F.lit("1970-01-01").cast("date")),
-    "minuteofday": lambda x: F.hour(x) * 60 + F.minute(x),
+    "neg": "(-{0})", "abs": "abs({0})", "exp": "exp({0})", "sign": "signum({0})", "floor": "CAST(floor({0}) AS DOUBLE)",
+    "sin": "sin({0})", "cos": "cos({0})", "tanh": "tanh({0})", "atan": "atan({0})", "not": "(NOT {0})",
+    "isnull": "({0} IS NULL)", "true": "coalesce({0}, FALSE)", "log": "(CASE WHEN {0} > 0D THEN ln({0}) END)",
+    "log10": "(CASE WHEN {0} > 0D THEN log10({0}) END)", "sqrt": "(CASE WHEN {0} >= 0D THEN sqrt({0}) END)",
+    "div": "({0} / nullif({1}, 0D))", "month": "month({0})", "day": "dayofmonth({0})", "isodow": "(weekday({0}) + 1)",
+    "year": "year({0})", "hour": "hour({0})", "dim": "dayofmonth(last_day({0}))", "epochday": "datediff({0}, DATE'1970-01-01')",
+    "minuteofday": "(hour({0}) * 60 + minute({0}))",
 }
+_CHEAP = {"col", "lit", "pos", "neg", "not", "true", "known", "isnull"}
+_OVER = "PARTITION BY symbol, chunk ORDER BY seq"
+
+
+def _literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, float):
+        return f"{v!r}D"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "\\'") + "'"
+    return str(v)
+
+
+def _edge(k: int) -> str:
+    return "CURRENT ROW" if k == 0 else f"{abs(k)} {'PRECEDING' if k < 0 else 'FOLLOWING'}"
 
 
 class _Stage:
-    """Renders expressions against the columns that exist so far."""
+    """Renders expressions as SQL text against the columns that exist so far."""
 
     def __init__(self, rows: int):
         self.rows = rows
         self.have: set[int] = set()
 
-    def col(self, e: Expr) -> Column:
-        if e.num in self.have:
-            return F.col(_name(e))
+    def text(self, e: Expr) -> str:
+        if e.num in self.have or e.op == "col":
+            return _name(e)
         op, a = e.op, e.args
-        if op == "col":
-            return F.col(_name(e))
         if op == "lit":
-            return F.lit(a[0])
+            return _literal(a[0])
         if op == "pos":
-            return (F.col("seq") - F.col("chunk") * self.rows).cast("double")
+            return f"CAST(seq - chunk * {self.rows} AS DOUBLE)"
         if op == "known":
-            return self.col(a[0])
-        if op == "div":
-            return self.col(a[0]) / F.nullif(self.col(a[1]), F.lit(0.0))
+            return self.text(a[0])
+        if op in _INFIX:
+            return f"({self.text(a[0])} {_INFIX[op]} {self.text(a[1])})"
         if op == "pow":
-            return F.pow(self.col(a[0]), F.lit(a[1]))
+            return f"pow({self.text(a[0])}, {a[1]}D)"
         if op == "case":
-            out = self.col(a[-1])
-            chain = None
-            for c, v in zip(a[0:-1:2], a[1:-1:2]):
-                chain = F.when(self.col(c), self.col(v)) if chain is None else chain.when(self.col(c), self.col(v))
-            return chain.otherwise(out)
-        if op in _SCALAR:
-            return _SCALAR[op](*map(self.col, a))
-        raise KeyError(op)
-
-    def window(self, e: Expr) -> Column:
-        w = Window.partitionBy("symbol", "chunk").orderBy("seq")
+            arms = " ".join(f"WHEN {self.text(c)} THEN {self.text(v)}" for c, v in zip(a[0:-1:2], a[1:-1:2]))
+            return f"CASE {arms} ELSE {self.text(a[-1])} END"
+        if op in ("greatest", "least", "coalesce"):
+            return f"{op}({', '.join(map(self.text, a))})"
+        return _SCALAR[op].format(*map(self.text, a))
+
+    def col(self, e: Expr) -> Column:
+        return F.expr(self.text(e))
+
+    def named(self, e: Expr) -> str:
+        return f"{self.window(e) if e.op in WINDOW_OPS else self.text(e)} AS {_name(e)}"
+
+    def window(self, e: Expr) -> str:
         op, a = e.op, e.args
-        if op == "lag":
-            return F.lag(self.col(a[0]), a[1]).over(w)
-        if op == "lead":
-            return F.lead(self.col(a[0]), a[1]).over(w)
+        if op in ("lag", "lead"):
+            return f"{op}({self.text(a[0])}, {a[1]}) OVER ({_OVER})"
         fn, lo, hi, need, x = a[:5]
-        f = w.rowsBetween(lo, hi)
+        f = f"({_OVER} ROWS BETWEEN {_edge(lo)} AND {_edge(hi)})"
         extra = a[5] if len(a) > 5 else None
-        cx = self.col(x)
+        cx = self.text(x)
+        if fn == "count":
+            return f"CAST(count({cx}) OVER {f} AS DOUBLE)"
         if fn == "percentile":
-            value = F.percentile(cx, F.lit(extra)).over(f)
+            value = f"percentile({cx}, {extra}D) OVER {f}"
         elif fn == "mad":
-            mean = self.col(extra)
-            gap = F.aggregate(F.collect_list(cx).over(f), F.lit(0.0), lambda s, v: s + F.abs(v - mean))
-            value = gap / float(hi - lo + 1)
+            value = f"aggregate(collect_list({cx}) OVER {f}, 0D, (s, v) -> s + abs(v - {self.text(extra)})) / {hi - lo + 1}D"
         elif fn in ("age_max", "age_min"):
-            best = F.max(F.struct(cx if fn == "age_max" else -cx, F.col("seq"))).over(f)
-            value = (F.col("seq") - best["seq"]).cast("double")
-        elif fn in ("corr", "covar_samp", "regr_slope", "regr_intercept", "regr_r2"):
-            value = getattr(F, fn)(cx, self.col(extra)).over(f)
+            sign = "" if fn == "age_max" else "-"
+            value = f"CAST(seq - (max(named_struct('v', {sign}{cx}, 's', seq)) OVER {f}).s AS DOUBLE)"
+        elif isinstance(extra, Expr):
+            value = f"{fn}({cx}, {self.text(extra)}) OVER {f}"
         else:
-            value = getattr(F, fn)(cx).over(f)
-        if fn == "count":
-            return value.cast("double")
-        return F.when(self.gate(e), value)
+            value = f"{fn}({cx}) OVER {f}"
+        return f"CASE WHEN {self.gate(e, f)} THEN {value} END"
 
-    def gate(self, e: Expr) -> Column:
+    def gate(self, e: Expr, f: str) -> str:
         """Enough non-null values in the frame (a position test when that suffices)."""
         fn, lo, hi, need, x = e.args[:5]
         if e.lead is not None:
-            return F.col("seq") >= e.lead
-        f = Window.partitionBy("symbol", "chunk").orderBy("seq").rowsBetween(lo, hi)
-        enough = F.count(self.col(x)).over(f) >= need
+            return f"seq >= {e.lead}"
+        enough = f"count({self.text(x)}) OVER {f} >= {need}"
         if len(e.args) > 5 and isinstance(e.args[5], Expr) and fn != "mad":
-            enough = enough & (F.count(self.col(e.args[5])).over(f) >= need)
+            enough += f" AND count({self.text(e.args[5])}) OVER {f} >= {need}"
         return enough
 
 
@@ -148,7 +159,7 @@ def _stages(nodes: list[Expr], phase: int, have: set[int]) -> dict[int, int]:
         m = max((st[k.num] for k in _kids(e)), default=0)
         if e.op in WINDOW_OPS:
             m = m + 2 if m % 2 == 0 else m + 1
-        elif e.op == "recur":
+        elif e.op in KERNEL_OPS:
             m = m + 1 if m % 2 == 0 else m
         st[e.num] = m
     return st
@@ -178,6 +189,8 @@ def _kernel(nodes, ins, carry, outs, rows):
                 vals[num] = np.full(n, np.nan if v is None else float(v))
             elif op == "pos":
                 vals[num] = (seq - pdf["chunk"].to_numpy() * rows).astype(float)
+            elif op == "startval":
+                vals[num] = kernels.start_value(raw[0], kids[0], seq, raw[2], raw[3])
             elif op == "recur":
                 a, b = kids
                 a2, start = raw[2], raw[4]
@@ -210,10 +223,15 @@ def add_features(laid: Laid, wanted: dict[str, Expr], keep: list[str] | None = N
     base = list(dict.fromkeys(KEYS + [c for c in keep if c not in KEYS] + sorted(stored - set(keep))))
     df = laid.df.select(*base)
     render = _Stage(laid.rows)
+    named: set[int] = set()
+    sliding = False
 
     for phase in range(last_phase + 1):
         here = [e for e in nodes if e.phase <= phase]
         if phase:
+            if sliding:
+                # read three times below: store it once instead of computing it three times
+                df = settle(df, "phase")
             df = _whole(df, [e for e in nodes if e.op in WHOLE_OPS and e.phase == phase], render)
         st = _stages(here, phase, render.have)
         now = [e for e in here if e.phase == phase and e.num not in render.have and e.op not in ("col", "lit", "pos")]
@@ -241,17 +259,25 @@ def add_features(laid: Laid, wanted: dict[str, Expr], keep: list[str] | None = N
                 continue
             wins = [e for e in group if e.op in WINDOW_OPS]
             if wins:
-                df = df.select("*", *[render.window(e).alias(_name(e)) for e in wins])
+                df = df.selectExpr("*", *[render.named(e) for e in wins])
                 render.have.update(e.num for e in wins)
-            flat = [e for e in group if e.op not in WINDOW_OPS and leaves(e)]
-            # a value another level reads becomes a column; the rest is inlined
-            if flat:
-                df = df.select("*", *[render.col(e).alias(_name(e)) for e in flat])
-                render.have.update(e.num for e in flat)
+            # a value another level reads, or several values share, becomes a column
+            flat = [e for e in group if e.op not in WINDOW_OPS]
+            wave: dict[int, int] = {}
+            for e in flat:
+                below = max((wave.get(k.num, 0) for k in _kids(e)), default=0)
+                shared = e.op not in _CHEAP and len(users.get(e.num, ())) > 1
+                wave[e.num] = below + 1 if shared or leaves(e) else below
+                if shared or leaves(e):
+                    named.add(e.num)
+            for depth in range(1, max(wave.values(), default=0) + 1):
+                cols = [e for e in flat if e.num in named and wave[e.num] == depth]
+                df = df.selectExpr("*", *[render.named(e) for e in cols])
+                render.have.update(e.num for e in cols)
         if sliding:
             df = own_rows(df, laid.rows)
 
-    return df.select(*[c for c in keep], *[render.col(e).alias(n) for n, e in wanted.items()])
+    return df.selectExpr(*keep, *[f"{render.text(e)} AS `{n}`" for n, e in wanted.items()])
 
 
 def _reach(now, have):
@@ -270,6 +296,8 @@ def _reach(now, have):
             f += max(0, e.args[2])
         elif e.op == "recur":
             b += e.args[3]
+        elif e.op == "startval":
+            b += e.args[2] - 1
         memo[e.num] = (b, f)
         back, fwd = max(back, b), max(fwd, f)
     return back, fwd
@@ -292,26 +320,23 @@ def _kernel_pass(df, group, here, leaves, keep, stored, render, wanted):
         pull(e)
     missing = [e for e in need.values() if e.num not in render.have and e.op != "col"]
     if missing:
-        df = df.select("*", *[render.col(e).alias(_name(e)) for e in missing])
+        df = df.selectExpr("*", *[render.named(e) for e in missing])
         render.have.update(e.num for e in missing)
-    floats = [F.col(f.name) for f in df.schema.fields]
-    df = df.select(*floats)
+    schema = df.schema
     outs = [e for e in group if leaves(e)]
     ins = list(need.values())
     order = [e for e in here if e.num in inside or e.op in ("lit", "pos")]
-    carry = list(df.columns)
-    cast = []
-    bools = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BooleanType)}
-    for c in carry:
-        cast.append(F.col(c).cast("double").alias(c) if c in bools else F.col(c))
-    df = df.select(*cast)
-    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
+    carry = schema.names
+    bools = {f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)}
+    if bools:
+        df = df.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" if c in bools else c for c in carry])
+    fields = [T.StructField(f.name, T.DoubleType() if f.name in bools else f.dataType, True) for f in schema.fields]
     fields += [T.StructField(_name(e), T.DoubleType(), True) for e in outs]
     fn = _kernel(order, ins, carry, outs, render.rows)
     df = df.groupBy("symbol", "chunk").applyInPandas(fn, T.StructType(fields))
     flags = [c for c in carry if c in bools] + [_name(e) for e in outs if e.op in _BOOL_OPS]
     if flags:
-        df = df.withColumns({c: F.col(c) == 1.0 for c in flags})
+        df = df.selectExpr(*[f"{f.name} = 1D AS {f.name}" if f.name in flags else f.name for f in fields])
     render.have.update(e.num for e in outs)
     return df
 

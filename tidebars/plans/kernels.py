@@ -39,6 +39,15 @@ def general_scan(a, a2: float, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def start_value(fn: str, x: np.ndarray, seq: np.ndarray, n: int, start: int) -> np.ndarray:
+    out = np.full(len(x), np.nan)
+    at = np.flatnonzero(seq == start)
+    if len(at) and at[0] >= n - 1:
+        part = x[at[0] - n + 1 : at[0] + 1]
+        out[at[0]] = part.mean() if fn == "avg" else part.sum()
+    return out
+
+
 _BIN = {
     "add": np.add, "sub": np.subtract, "mul": np.multiply,
     "gt": np.greater, "ge": np.greater_equal, "lt": np.less, "le": np.less_equal,

@@ -69,7 +69,8 @@ def lay_out(bars: DataFrame, chunk_rows: int | None = None, unit: str = "month")
     per_unit = b.groupBy("symbol", "_unit").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("symbol").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_unit.select(
-        "symbol", "_unit", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+        "symbol", "_unit", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+        F.sum("_n").over(Window.partitionBy("symbol")).alias("bars"),
     )
     inside = Window.partitionBy("symbol", "_unit").orderBy("ts")
     numbered = (
@@ -83,14 +84,14 @@ def lay_out(bars: DataFrame, chunk_rows: int | None = None, unit: str = "month")
 def with_halo(laid: Laid, back: int, fwd: int = 0) -> DataFrame:
     """Copy each bar to the chunks whose frames reach it.
 
-    A bar at ``seq`` is needed by bars ``seq - fwd .. seq + back``; chunks past
-    the end of a symbol receive copies only, and drop out with them.
+    A bar at ``seq`` is needed by bars ``seq - fwd .. seq + back``; ``bars``, the
+    length of the symbol, keeps copies from going past its last chunk.
     """
     if not back and not fwd:
         return laid.df.repartition("symbol", "chunk")
     b = F.lit(laid.rows)
     lo = F.floor(F.greatest(F.col("seq") - fwd, F.lit(0)) / b).cast("long")
-    hi = F.floor((F.col("seq") + back) / b).cast("long")
+    hi = F.floor(F.least(F.col("seq") + back, F.col("bars") - 1) / b).cast("long")
     if back == 0:
         hi = F.col("chunk")
     if fwd == 0:
