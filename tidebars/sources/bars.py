@@ -200,6 +200,7 @@ ADAPTERS = {
     "events_user_daily": lambda s, d: _event_bars(s, d, F.col("user_id").cast("string"), "day"),
     "part_daily": lambda s, d: _lineitem_bars(s, d, F.col("l_suppkey").cast("string")),
     "flag_daily": lambda s, d: _lineitem_bars(s, d, F.col("l_returnflag")),
+    "combo_daily": lambda s, d: _lineitem_bars(s, d, F.concat("l_returnflag", "l_linestatus")),
     "market_daily": lambda s, d: _lineitem_bars(s, d, F.lit("ALL")),
     "orders_daily": lambda s, d: ticks_to_bars(
         _table(s, d, "orders"), F.col("o_orderpriority"), F.date_trunc("day", "o_orderdate").cast("timestamp"),
@@ -208,5 +209,46 @@ ADAPTERS = {
 }
 
 
+PANEL_SYMBOLS = ["AF", "AO", "NF", "NO", "RF", "RO"]
+
+
+def _panel(spark, sf):
+    from tidebars.operators.cross_asset import panel
+
+    return panel(ADAPTERS["combo_daily"](spark, sf), PANEL_SYMBOLS)
+
+
+def macro_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly reference series of the orders table; a month counts from its end on."""
+    o = _table(spark, sf, "orders").groupBy(F.date_trunc("month", "o_orderdate").cast("timestamp").alias("m")).agg(
+        F.avg("o_totalprice").alias("p"), F.count(F.lit(1)).cast("double").alias("n"),
+        F.avg(F.when(F.col("o_orderpriority").substr(1, 1).isin("1", "2"), 100.0).otherwise(0.0)).alias("bullish"),
+        F.avg(F.when(F.col("o_orderpriority").substr(1, 1).isin("4", "5"), 100.0).otherwise(0.0)).alias("bearish"),
+    )
+    w = Window.orderBy("m")  # one row per month
+    return o.select(
+        F.add_months("m", 1).cast("timestamp").alias("ts"), "bullish", "bearish",
+        (F.col("p") / 5000.0).alias("pmi"), F.col("n").alias("confidence"),
+        F.avg("n").over(w.rowsBetween(-2, 0)).alias("confidence_mean3"), (F.col("n") / 4.0).alias("exposure"),
+        (F.col("p") / 150000.0).alias("rate"), (F.coalesce(F.lag("p").over(w), F.col("p")) / 150000.0).alias("rate_prev"),
+        (F.col("p") / 50000.0).alias("risk"), (F.col("p") / 80000.0).alias("inflation"),
+        ((F.col("bullish") - F.col("bearish")) / 10.0).alias("sentiment"),
+    )
+
+
+MACRO_COLUMNS = ["bullish", "bearish", "pmi", "confidence", "confidence_mean3", "exposure", "rate", "rate_prev", "risk", "inflation", "sentiment"]
+
+
+def _macro_bars(spark, sf):
+    from tidebars.operators.cross_asset import asof_join
+
+    bars = ADAPTERS["flag_daily"](spark, sf)
+    return asof_join(bars, macro_monthly(spark, sf), MACRO_COLUMNS).na.drop(subset=MACRO_COLUMNS)
+
+
+ADAPTERS["panel_daily"] = _panel
+ADAPTERS["macro_daily"] = _macro_bars
+
+
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ADAPTERS[name](spark, sf_dir)
