@@ -44,13 +44,13 @@ def unmatched_times(bars: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
-def asof_join(bars: DataFrame, ref: DataFrame, values: list[str], unit: str = "month") -> DataFrame:
+def asof_join(bars: DataFrame, ref: DataFrame, values: list[str], unit: str = "day") -> DataFrame:
     """Latest reference row at or before each bar.
 
     The reference (``ts`` unique, slowly changing) becomes validity intervals,
     spread over the calendar units they touch; bars then meet at most the few
-    intervals of their own unit in an equi-join.  The rows of a unit come from
-    all symbols and spread over the join by unit, so no symbol is one task.
+    intervals of their own unit in an equi-join keyed by time, never by symbol.
+    A small reference is broadcast by the optimizer from its measured size.
     """
     w = Window.orderBy("ts")  # the reference only: one row per change
     spans = ref.select("ts", *values).withColumn("_until", F.lead("ts").over(w))
@@ -95,8 +95,7 @@ def breadth(bars_with_flag: DataFrame, flag: str) -> DataFrame:
 
 
 def best_asset(returns: DataFrame, value: str) -> DataFrame:
-    """Symbol with the largest value at each time; ties go to the first name."""
-    key = F.struct(F.col(value), F.col("symbol"))
+    """Symbol with the largest value at each time; ties go to the last name."""
     best = F.max(F.struct(F.col(value), F.col("symbol"))).alias("m")
     return returns.groupBy("ts").agg(best).select("ts", F.col("m.symbol").alias("symbol"), F.col(f"m.{value}").alias(value))
 
