@@ -235,3 +235,125 @@ def _reversal(table):
 SQL["reversal_ledger"] = f"WITH {_reversal('flag_daily')} SELECT symbol, side, entry_seq, exit_seq::DOUBLE AS exit_seq, {q('pnl')} FROM trades"
 SQL["market_cross_trades"] = (
     f"WITH {_reversal('events_hourly')} SELECT symbol, side, {stamp('entry_ts')} AS entry_ts, {stamp('exit_ts')} AS exit_ts, {q('pnl')} FROM trades")
+
+# --- preparation -------------------------------------------------------------------------------
+_P = "(VALUES (0.01::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.99::DOUBLE)) t(p)"
+_QS = [("l_quantity", p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]
+SQL["exact_quantiles"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {p}::DOUBLE AS p, {cut_sql(f'quantile_cont({c}, {p})')} AS value FROM lineitem"
+    for c in ("l_quantity", "l_extendedprice", "l_discount") for p in (0.01, 0.25, 0.5, 0.75, 0.99))
+SQL["winsor_rank_log"] = (
+    f"WITH b AS MATERIALIZED ({BARS['part_daily']}), q AS (SELECT quantile_cont(volume, 0.01) AS lo, quantile_cont(volume, 0.99) AS hi, count(*) AS n FROM b) "
+    f"SELECT symbol, {TS} AS ts, {cut_sql('ln(1 + volume)', 5)} AS volume_log, {cut_sql('greatest(least(volume, hi), lo)', 5)} AS volume_winsor, "
+    f"{cut_sql('(rank() OVER (ORDER BY volume) + (count(*) OVER (PARTITION BY volume) - 1) / 2.0::DOUBLE) / n', 5)} AS volume_rank FROM b, q")
+SQL["robust_scale"] = (
+    f"WITH {numbered('flag_daily')}, c AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY symbol) AS bars FROM b), "
+    f"q AS (SELECT quantile_cont(close, 0.5) AS cm, quantile_cont(close, 0.9) - quantile_cont(close, 0.1) AS cw, quantile_cont(volume, 0.5) AS vm, "
+    f"quantile_cont(volume, 0.9) - quantile_cont(volume, 0.1) AS vw FROM c WHERE seq < floor(bars * 0.8::DOUBLE)) "
+    f"SELECT symbol, {TS} AS ts, {cut_sql('greatest(least((close - cm) / cw, 10), -10)')} AS close, {cut_sql('greatest(least((volume - vm) / vw, 10), -10)')} AS volume FROM c, q")
+SQL["sliding_windows"] = (
+    f"WITH {numbered('flag_daily')}, c AS (SELECT symbol, seq, count(*) OVER (PARTITION BY symbol) AS bars, sum(close::FLOAT::DOUBLE + volume::FLOAT::DOUBLE) OVER w AS total, "
+    f"lag(close::FLOAT::DOUBLE, 29) OVER v AS first, lead(close::FLOAT::DOUBLE, 5) OVER v AS last_ahead FROM b "
+    f"WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS 29 PRECEDING), v AS (PARTITION BY symbol ORDER BY seq)) "
+    f"SELECT symbol, seq, 60 AS len, {q('total', 1)}, {q('first', 1)}, {q('last_ahead', 1)} FROM c WHERE seq >= 29 AND seq < bars - 5")
+SQL["label_encode"] = (
+    "SELECT o_orderkey, (dense_rank() OVER (ORDER BY coalesce(lower(trim(o_orderpriority)), '0')) - 1)::INTEGER AS priority, "
+    "(dense_rank() OVER (ORDER BY coalesce(lower(trim(o_orderstatus)), '0')) - 1)::INTEGER AS status FROM orders")
+SQL["skew_fill"] = (
+    f"WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN user_id::DOUBLE END AS u FROM events), "
+    f"s AS (SELECT CASE WHEN abs(skewness(value)) > 1 THEN median(value) ELSE avg(value) END AS fv, CASE WHEN abs(skewness(u)) > 1 THEN median(u) ELSE avg(u) END AS fu FROM e) "
+    f"SELECT event_id, {cut_sql('coalesce(value, fv)')} AS value, {cut_sql('coalesce(u, fu)')} AS user FROM e, s")
+SQL["duplicate_columns"] = (
+    "SELECT * FROM (SELECT 'copy_a' AS duplicate UNION ALL SELECT 'copy_b' UNION ALL SELECT 'almost' FROM (SELECT count(*) AS n FROM lineitem WHERE l_orderkey = 0) WHERE n = 0)")
+SQL["head_rows"] = (
+    f"WITH {numbered('flag_daily')} SELECT symbol, count(*) AS rows, min(seq) AS first, {cut_sql('sum(close)', 2)} AS total FROM b WHERE seq >= 200 AND seq < 1000 GROUP BY 1")
+SQL["time_folds"] = (
+    f"WITH {numbered('flag_daily')}, c AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS bars FROM b), d AS (SELECT *, bars // 6 AS size FROM c), "
+    f"f AS (SELECT symbol, seq, CASE WHEN seq < bars - 5 * size THEN -1 ELSE ((seq - (bars - 5 * size)) // size) END::INTEGER AS fold, seq < floor(bars * 0.8::DOUBLE) AS train FROM d) "
+    f"SELECT symbol, fold, train, count(*) AS n, min(seq) AS lo, max(seq) AS hi FROM f GROUP BY 1, 2, 3")
+SQL["class_weights"] = (
+    f"SELECT doc_id, {cut_sql('(count(*) OVER ())::DOUBLE / ((SELECT count(DISTINCT quality) FROM labels) * count(*) OVER (PARTITION BY quality))', 6)} AS weight FROM labels")
+
+# --- selection ----------------------------------------------------------------------------------
+_FT = (
+    f"{numbered('flag_daily')}, ft AS MATERIALIZED (SELECT symbol, seq, open, high, low, close, volume, {_SMA('close', 5)} AS mean5, {_SMA('close', 20)} AS mean20, "
+    f"CASE WHEN seq >= 19 THEN stddev_samp(close) OVER (PARTITION BY symbol ORDER BY seq ROWS 19 PRECEDING) END AS std20, "
+    f"close / lag(close) OVER (PARTITION BY symbol ORDER BY seq) - 1 AS ret, CASE WHEN lead(close) OVER (PARTITION BY symbol ORDER BY seq) > close THEN 1 ELSE 0 END AS label FROM b), "
+    "u AS MATERIALIZED (SELECT symbol, seq, label, x.f AS feature, x.v AS value FROM ft, unnest(["
+    + ", ".join(f"{{'f': '{c}', 'v': {c}}}" for c in ("open", "high", "low", "close", "volume", "mean5", "mean20", "std20", "ret"))
+    + "]) t(x))")
+SQL["feature_profile"] = (
+    f"WITH {_FT}, s AS (SELECT feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3 FROM u GROUP BY 1), "
+    f"n AS (SELECT feature, count(value) AS n, count(*) - count(value) AS nulls, avg(value) AS m, stddev_samp(value) AS sd, corr(value, label) AS tc FROM u GROUP BY 1), "
+    f"k AS (SELECT u.feature, avg(pow(value - m, 2)) AS m2, avg(pow(value - m, 3)) AS m3, avg(pow(value - m, 4)) AS m4, "
+    f"avg(CASE WHEN value IS NULL THEN NULL WHEN value < q1 - (q3 - q1) * 1.5 OR value > q3 + (q3 - q1) * 1.5 THEN 1.0::DOUBLE ELSE 0 END) AS os FROM u JOIN n USING (feature) JOIN s USING (feature) GROUP BY 1) "
+    f"SELECT feature, nulls, {cut_sql('m', 2)} AS mean, {cut_sql('sd', 2)} AS std, {cut_sql('m3 / pow(m2, 1.5)', 2)} AS skew, {cut_sql('m4 / (m2 * m2) - 3', 2)} AS kurtosis, "
+    f"{cut_sql('tc', 2)} AS target_corr, {cut_sql('med', 2)} AS median, {cut_sql('q3 - q1', 2)} AS iqr, {cut_sql('os', 2)} AS outlier_share FROM n JOIN s USING (feature) JOIN k USING (feature)")
+SQL["constant_filter"] = (
+    f"WITH {_FT} SELECT feature FROM (SELECT feature, stddev_samp(value) AS sd FROM u GROUP BY 1 UNION ALL SELECT 'flat', 0) WHERE sd <= 1e-10")
+SQL["corr_filter"] = (
+    f"WITH {_FT}, w AS (SELECT *, count(value) OVER (PARTITION BY symbol, seq) AS full_row FROM (SELECT symbol, seq, feature, value FROM u UNION ALL "
+    f"SELECT symbol, seq, 'twin', close * 2.0::DOUBLE + volume * 1e-9::DOUBLE FROM ft)), v AS (SELECT feature, var_samp(value) AS v FROM w GROUP BY 1), "
+    f"c AS (SELECT a.feature AS x, b.feature AS y, corr(a.value, b.value) AS c FROM w a JOIN w b ON a.symbol = b.symbol AND a.seq = b.seq AND a.feature < b.feature "
+    f"WHERE a.full_row = 10 GROUP BY 1, 2) SELECT DISTINCT CASE WHEN p.v < q.v THEN x ELSE y END AS feature FROM c JOIN v p ON p.feature = x JOIN v q ON q.feature = y WHERE abs(c) > 0.95")
+_MI = (
+    "lim AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM u WHERE value IS NOT NULL GROUP BY 1), "
+    "j AS (SELECT u.feature, coalesce(least(floor((value - lo) / nullif(hi - lo, 0) * 10), 9), 0) AS bin, label, count(*)::DOUBLE AS n FROM u JOIN lim USING (feature) WHERE value IS NOT NULL GROUP BY 1, 2, 3), "
+    "mi AS (SELECT feature, sum(n / t * ln(n * t / (nb * nl))) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS nb, "
+    "sum(n) OVER (PARTITION BY feature, label) AS nl FROM j) GROUP BY 1)")
+SQL["mutual_information"] = f"WITH {_FT}, {_MI} SELECT feature, {cut_sql('mi', 6)} AS mi FROM mi"
+SQL["autocorr_top"] = (
+    f"WITH {numbered('flag_daily')}, r AS MATERIALIZED (SELECT symbol, seq, close / lag(close) OVER (PARTITION BY symbol ORDER BY seq) - 1 AS x FROM b), "
+    f"c AS (SELECT a.symbol, k.lag, corr(a.x, z.x) AS c FROM range(1, 100) k(lag) JOIN r a ON TRUE JOIN r z ON z.symbol = a.symbol AND z.seq = a.seq - k.lag "
+    f"WHERE a.x IS NOT NULL AND z.x IS NOT NULL GROUP BY 1, 2) SELECT symbol, lag::INTEGER AS lag, place::INTEGER AS place, {cut_sql('c', 6)} AS corr FROM "
+    f"(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(c) DESC, lag) AS place FROM c) WHERE place <= 5")
+SQL["ensemble_rank"] = (
+    f"WITH {_FT}, {_MI}, s AS (SELECT 'mi' AS method, feature, mi AS score, mi > 0.001 AS chosen FROM mi UNION ALL SELECT 'corr', feature, abs(corr(value, label)), abs(corr(value, label)) > 0.01 FROM u GROUP BY feature) "
+    f"SELECT feature, {cut_sql('0.6::DOUBLE * sum(chosen::INTEGER) / 2 + 0.4::DOUBLE * sum(score / top) / 2', 5)} AS rank_score FROM (SELECT *, max(score) OVER (PARTITION BY method) AS top FROM s) GROUP BY feature")
+
+# --- evaluation ----------------------------------------------------------------------------------
+_PRED = (
+    "p AS (SELECT vec_id AS ts, CASE WHEN label % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, m.model, m.i::DOUBLE AS weight, "
+    "1 / (1 + exp(-(embedding[m.i]::DOUBLE))) AS probability FROM embeddings, (VALUES ('LSTM', 1), ('GRU', 2), ('Conv1D', 3), ('Conv1D_LSTM', 4)) m(model, i))")
+SQL["calibrate"] = f"WITH {_PRED} SELECT ts, model, side, {cut_sql('1 / (1 + exp(-(2 * probability - 1)))', 6)} AS calibrated FROM p"
+SQL["vote_ensemble"] = (
+    f"WITH {_PRED}, v AS (SELECT ts, side, count(*) AS models, sum(probability * weight) / sum(weight) AS vote FROM p GROUP BY 1, 2) "
+    f"SELECT ts, side, models, CASE WHEN vote > 0.4 THEN 1 ELSE 0 END AS signal, {cut_sql('vote', 6)} AS vote FROM v")
+SQL["threshold_signals"] = (
+    f"WITH {_PRED} SELECT model, side, count(*) AS n, count(*) FILTER (probability > 0.5) AS signals, {cut_sql('avg(CASE WHEN probability > 0.5 THEN 1.0::DOUBLE ELSE 0 END)', 6)} AS rate, "
+    f"{cut_sql('avg(probability)', 6)} AS avg_probability, {cut_sql('min(probability)', 6)} AS min_probability, {cut_sql('max(probability)', 6)} AS max_probability FROM p GROUP BY 1, 2")
+SQL["tiered_rule"] = (
+    "WITH e AS (SELECT vec_id, 1 / (1 + exp(-4 * embedding[1]::DOUBLE)) AS b, 1 / (1 + exp(-4 * embedding[2]::DOUBLE)) AS s, 1 / (1 + exp(-4 * embedding[3]::DOUBLE)) AS d, "
+    "embedding[4] AS r1, embedding[5] AS r5, embedding[6] AS r14 FROM embeddings) SELECT vec_id, "
+    "CASE WHEN b > 0.6 AND s < 0.4 AND d > 0.55 AND r1 > 0 AND r5 > 0 AND r14::DOUBLE > 0.0005 THEN 1 ELSE 0 END AS signal, "
+    + cut_sql("0.4::DOUBLE * b + 0.3::DOUBLE * (1 - s) + 0.3::DOUBLE * d", 6) + " AS confidence FROM e")
+SQL["forecast_metrics"] = (
+    f"WITH {numbered('flag_daily')}, c AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS bars, close::FLOAT::DOUBLE AS x FROM b), "
+    f"s AS (SELECT k.k - 1 AS step, z.x AS a, c.x AS p FROM c JOIN range(1, 6) k(k) ON TRUE JOIN c z ON z.symbol = c.symbol AND z.seq = c.seq + k.k WHERE c.seq >= 4 AND c.seq < c.bars - 5), "
+    f"t AS (SELECT * FROM s UNION ALL SELECT -1, a, p FROM s) SELECT step::INTEGER AS step, count(*) AS n, {cut_sql('sqrt(avg(pow(a - p, 2)))', 2)} AS rmse, {cut_sql('avg(abs(a - p))', 2)} AS mae, "
+    f"{cut_sql('1 - avg(pow(a - p, 2)) / var_pop(a)', 2)} AS r2 FROM t GROUP BY 1")
+SQL["interval_forecast"] = (
+    f"WITH {numbered('flag_daily')}, g AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY seq) AS g FROM b), e AS (SELECT sqrt(avg(pow(g - close, 2))) AS r FROM g WHERE g IS NOT NULL) "
+    f"SELECT symbol, {TS} AS ts, {cut_sql('g - 1.96::DOUBLE * r', 2)} AS lower, {cut_sql('g + 1.96::DOUBLE * r', 2)} AS upper FROM g, e WHERE g IS NOT NULL")
+SQL["direction_scores"] = (
+    f"WITH {numbered('flag_daily')}, g AS (SELECT *, (open + close) / 2 AS g FROM b), d AS (SELECT *, close - lag(close) OVER w AS da, g - lag(g) OVER w AS dg FROM g WINDOW w AS (PARTITION BY symbol ORDER BY seq)), "
+    f"s AS (SELECT symbol, avg(CASE WHEN da IS NULL THEN NULL WHEN sign(da) = sign(dg) THEN 1.0::DOUBLE ELSE 0 END) AS acc, avg(abs(close - g)) AS mae, stddev_pop(close) AS sd FROM d GROUP BY 1) "
+    f"SELECT symbol, {cut_sql('acc', 6)} AS direction_accuracy, {cut_sql('0.3::DOUBLE * (1 - acc) + 0.7::DOUBLE * tanh(mae / sd)', 6)} AS loss FROM s")
+SQL["asymmetric_loss"] = (
+    f"SELECT {cut_sql('avg(CASE WHEN close - open > 0 THEN 2.0::DOUBLE * pow(close - open, 2) ELSE pow(close - open, 2) END)', 0)} AS loss FROM ({BARS['flag_daily']})")
+SQL["class_balance"] = f"SELECT quality AS label, count(*) AS n, {cut_sql('count(*)::DOUBLE / (SELECT count(*) FROM labels)', 6)} AS share FROM labels GROUP BY 1"
+SQL["structure_report"] = (
+    f"WITH {_FT} SELECT (SELECT count(*) FROM ft) AS rows, 9 AS features, (SELECT count(*) FROM u WHERE value IS NULL) AS nulls, "
+    f"(SELECT count(*) FROM ft WHERE label = 1) AS positives, {cut_sql('(SELECT avg(label::DOUBLE) FROM ft)', 6)} AS rate")
+
+# --- streaming: what the closed windows must hold -----------------------------------------------------
+SQL["stream_bars"] = (
+    f"SELECT symbol, {TS} AS ts, {cols(OHLCV)} FROM ({BARS['events_hourly']}) WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+_Q12, _Q26, _Q14 = 2 / 13, 2 / 27, 1 / 14
+SQL["stream_signals"] = (
+    f"WITH RECURSIVE {numbered('events_hourly')}, m AS MATERIALIZED (SELECT *, {_SMA('close', 20)} AS sma, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY seq), 0) AS d FROM b), "
+    f"r(symbol, seq, ef, es, g, l, last, sig) AS (SELECT symbol, seq, close, close, 0.0::DOUBLE, 0.0::DOUBLE, -1::BIGINT, 0 FROM m WHERE seq = 0 UNION ALL "
+    f"SELECT symbol, seq, ef, es, g, l, CASE WHEN hit THEN seq ELSE last END, hit::INTEGER FROM (SELECT m.symbol, m.seq, r.ef + (m.close - r.ef) * {_Q12!r}::DOUBLE AS ef, r.es + (m.close - r.es) * {_Q26!r}::DOUBLE AS es, "
+    f"r.g + (greatest(m.d, 0) - r.g) / 14 AS g, r.l + (greatest(-m.d, 0) - r.l) / 14 AS l, r.last, coalesce(m.close > m.sma, FALSE) AND (r.last < 0 OR m.seq - r.last >= 10) AS hit "
+    f"FROM r JOIN m ON m.symbol = r.symbol AND m.seq = r.seq + 1)) SELECT symbol, {stamp('m.ts')} AS ts, sig AS signal, {q('close')}, {q('sma')}, {cut_sql('ef')} AS ema_fast, {cut_sql('es')} AS ema_slow, "
+    f"{cut_sql('CASE WHEN seq >= 13 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / nullif(l, 0)) END END')} AS rsi FROM r JOIN m USING (symbol, seq)")

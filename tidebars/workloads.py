@@ -294,3 +294,235 @@ def market_cross_trades(spark, sf):
     a, b = sma(C, 5), sma(C, 20)
     t = ledger.reversal_ledger(shelf(spark, sf, "events_hourly"), when(true(cross_up(a, b)), 1, true(cross_dn(a, b)), -1, otherwise=0))
     return t.select("symbol", "side", stamp("entry_ts").alias("entry_ts"), stamp("exit_ts").alias("exit_ts"), cut(F.col("pnl")).alias("pnl"))
+
+
+# --- preparation ------------------------------------------------------------------------------
+from tidebars.operators import evaluate, prep, select  # noqa: E402
+
+
+def exact_quantiles(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    q = prep.exact_quantiles(li, ["l_quantity", "l_extendedprice", "l_discount"], [0.01, 0.25, 0.5, 0.75, 0.99])
+    return q.select("feature", "p", cut(F.col("value")).alias("value"))
+
+
+def winsor_rank_log(spark, sf):
+    b = B.adapter(spark, sf, "part_daily")
+    d = prep.volume_transforms(settle(b, "bars"))
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], ["volume_log", "volume_winsor", "volume_rank"], 5)
+
+
+def lag_matrix(spark, sf):
+    from tidebars.functions.expr import H, L, O, V
+
+    feats = prep.lag_matrix({"close": C, "open": O, "high": H, "low": L, "volume": V, "mean14": sma(C, 14), "rsi14": rsi(14)}, "close")
+    d = add_features(shelf(spark, sf, "flag_daily"), feats, ["symbol", "ts"])
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], list(feats))
+
+
+def robust_scale(spark, sf):
+    laid = shelf(spark, sf, "flag_daily")
+    d = prep.robust_scale(laid.df, ["close", "volume"], prep.chronological_split(0.8))
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], ["close", "volume"])
+
+
+def sliding_windows(spark, sf):
+    d = prep.sliding_windows(shelf(spark, sf, "flag_daily"), ["close", "volume"], 30, 5)
+    tot = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return d.select("symbol", "seq", F.size("window").alias("len"), cut(tot("window"), 1).alias("total"),
+                    cut(F.col("window")[0].cast("double"), 1).alias("first"), cut(F.col("ahead")[4].cast("double"), 1).alias("last_ahead"))
+
+
+def label_encode(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    d = prep.label_encode(prep.label_encode(o, "o_orderpriority", "priority"), "o_orderstatus", "status")
+    return d.select("o_orderkey", "priority", "status")
+
+
+def skew_fill(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select(
+        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
+        F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("double")).alias("user"))
+    return _rounded(prep.skew_fill(e, ["value", "user"]), ["event_id"], ["value", "user"])
+
+
+def duplicate_columns(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_tax", F.col("l_quantity").alias("copy_a"), (F.col("l_tax") + 0.0).alias("copy_b"),
+        (F.col("l_tax") + F.when(F.col("l_orderkey") == 0, 1).otherwise(0)).alias("almost"))
+    names = prep.duplicate_columns(li, li.columns[2:], ["l_orderkey", "l_linenumber"])
+    return spark.createDataFrame([(n,) for n in names], "duplicate string")
+
+
+def head_rows(spark, sf):
+    d = prep.head_rows(shelf(spark, sf, "flag_daily"), 1000, 200)
+    return d.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("seq").alias("first"), cut(F.sum("close"), 2).alias("total"))
+
+
+def time_folds(spark, sf):
+    d = shelf(spark, sf, "flag_daily").df.withColumn("fold", prep.time_folds(5)).withColumn("train", prep.chronological_split())
+    return d.groupBy("symbol", "fold", "train").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+
+
+def class_weights(spark, sf):
+    d = spark.read.parquet(f"{sf}/labels.parquet")
+    return prep.class_weights(d, "quality").select("doc_id", cut(F.col("weight"), 6).alias("weight"))
+
+
+# --- selection ----------------------------------------------------------------------------------
+_FEATURES = ["open", "high", "low", "close", "volume", "mean5", "mean20", "std20", "ret"]
+
+
+def _feature_table(spark, sf):
+    from tidebars.functions.expr import lead, rstd
+
+    feats = {"mean5": sma(C, 5), "mean20": sma(C, 20), "std20": rstd(C, 20), "ret": pct(C), "label": when(true(lead(C) > C), 1, otherwise=0)}
+    return add_features(shelf(spark, sf, "flag_daily"), feats, ["symbol", "ts", "seq", "bars", "open", "high", "low", "close", "volume"])
+
+
+def feature_profile(spark, sf):
+    d = settle(_feature_table(spark, sf), "features")
+    p = select.feature_profile(d, _FEATURES, "label")
+    return _rounded(p, ["feature", "nulls"], ["mean", "std", "skew", "kurtosis", "target_corr", "median", "iqr", "outlier_share"], 2)
+
+
+def constant_filter(spark, sf):
+    d = _feature_table(spark, sf).withColumn("flat", F.lit(3.0))
+    return spark.createDataFrame([(f,) for f in select.constant_features(d, [*_FEATURES, "flat"])], "feature string")
+
+
+def corr_filter(spark, sf):
+    d = _feature_table(spark, sf).withColumn("twin", F.col("close") * 2.0 + F.col("volume") * 1e-9)
+    return spark.createDataFrame([(f,) for f in select.collinear_features(d, [*_FEATURES, "twin"])], "feature string")
+
+
+def mutual_information(spark, sf):
+    d = settle(_feature_table(spark, sf), "features")
+    return select.mutual_information(d, _FEATURES, "label").select("feature", cut(F.col("mi"), 6).alias("mi"))
+
+
+def autocorr_top(spark, sf):
+    d = select.autocorrelation_top(shelf(spark, sf, "flag_daily"), pct(C), 99, 5)
+    return d.select("symbol", "lag", F.col("place").cast("int").alias("place"), cut(F.col("corr"), 6).alias("corr"))
+
+
+def ensemble_rank(spark, sf):
+    d = settle(_feature_table(spark, sf), "features")
+    mi = select.mutual_information(d, _FEATURES, "label").select(F.lit("mi").alias("method"), "feature", F.col("mi").alias("score"))
+    corr = select.unpivot(d, _FEATURES, "label").groupBy("feature").agg(F.abs(F.corr("value", F.col("label").cast("double"))).alias("score")).select(F.lit("corr").alias("method"), "feature", "score")
+    s = mi.unionByName(corr).withColumn("chosen", F.col("score") > F.when(F.col("method") == "mi", 0.001).otherwise(0.01))
+    return select.ensemble_rank(s, 2).select("feature", cut(F.col("rank_score"), 5).alias("rank_score"))
+
+
+def forest_stability(spark, sf):
+    d = settle(_feature_table(spark, sf).withColumn("fold", prep.time_folds(3)), "features")
+    return select.importance_stability(d, _FEATURES, "label", True, 3, 10)
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+def _predictions(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    x = lambda i: 1.0 / (1.0 + F.exp(-F.col("embedding")[i].cast("double")))
+    models = ["LSTM", "GRU", "Conv1D", "Conv1D_LSTM"]
+    row = F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.when(F.col("label") % 2 == 0, "buy").otherwise("sell").alias("side"), x(i).alias("probability"), F.lit(float(i + 1)).alias("weight"))
+        for i, m in enumerate(models)]))
+    return e.select(F.col("vec_id").alias("ts"), row.alias("r")).select("ts", "r.*")
+
+
+def calibrate(spark, sf):
+    p = _predictions(spark, sf)
+    return p.select("ts", "model", "side", cut(evaluate.calibrate(F.col("probability")), 6).alias("calibrated"))
+
+
+def vote_ensemble(spark, sf):
+    v = evaluate.weighted_vote(_predictions(spark, sf))
+    return v.select("ts", "side", "models", "signal", cut(F.col("vote"), 6).alias("vote"))
+
+
+def threshold_signals(spark, sf):
+    t = spark.createDataFrame(evaluate.THRESHOLDS, "model string, side string, threshold double")
+    s = evaluate.model_summary(evaluate.threshold_signals(_predictions(spark, sf), t))
+    return _rounded(s, ["model", "side", "n", "signals"], ["rate", "avg_probability", "min_probability", "max_probability"], 6)
+
+
+def tiered_rule(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    x = lambda i: F.col("embedding")[i].cast("double")
+    s = lambda i: 1.0 / (1.0 + F.exp(-4 * x(i)))
+    d = e.select("vec_id", s(0).alias("buy_probability"), s(1).alias("sell_probability"), s(2).alias("direction_probability"),
+                 x(3).alias("return_1"), x(4).alias("return_5"), x(5).alias("return_14"))
+    return evaluate.tiered_rule(d).select("vec_id", "signal", cut(F.col("confidence"), 6).alias("confidence"))
+
+
+def forecast_metrics(spark, sf):
+    laid = shelf(spark, sf, "flag_daily")
+    d = prep.sliding_windows(laid, ["close"], 5, 5).withColumn("guess", F.array_repeat(F.col("window")[4], 5))
+    m = evaluate.forecast_metrics(d, "ahead", "guess")
+    return _rounded(m, ["step", "n"], ["rmse", "mae", "r2"], 2)
+
+
+def interval_forecast(spark, sf):
+    d = add_features(shelf(spark, sf, "flag_daily"), {"guess": lag(C)}, ["symbol", "ts", "close"]).filter("guess is not null")
+    out = evaluate.interval_forecast(d, "guess", "close")
+    return _rounded(out.withColumn("ts", stamp()), ["symbol", "ts"], ["lower", "upper"], 2)
+
+
+def direction_scores(spark, sf):
+    laid = shelf(spark, sf, "flag_daily")
+    d = Laid(laid.df.withColumn("guess", (F.col("open") + F.col("close")) / 2), laid.rows)
+    a = evaluate.direction_accuracy(d, "close", "guess").join(evaluate.direction_aware_loss(d, "close", "guess"), "symbol")
+    return _rounded(a, ["symbol"], ["direction_accuracy", "loss"], 6)
+
+
+def asymmetric_loss(spark, sf):
+    d = shelf(spark, sf, "flag_daily").df
+    return evaluate.asymmetric_loss(d, "close", "open", 2.0).select(cut(F.col("loss"), 0).alias("loss"))
+
+
+def class_balance(spark, sf):
+    c = evaluate.class_balance(spark.read.parquet(f"{sf}/labels.parquet"), "quality")
+    return c.select("label", "n", cut(F.col("share"), 6).alias("share"))
+
+
+def structure_report(spark, sf):
+    r = evaluate.structure_report(_feature_table(spark, sf), "label", _FEATURES)
+    return r.select("rows", "features", "nulls", "positives", cut(F.col("rate"), 6).alias("rate"))
+
+
+# --- streaming ------------------------------------------------------------------------------------
+def _drain(spark, stream, label):
+    """Run a bounded stream to its end into a table in the shared folder."""
+    import uuid
+
+    from tidebars.plans.layout import scratch_dir
+
+    root = f"{scratch_dir(spark)}/tidebars/{label}-{uuid.uuid4().hex}"
+    q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def _event_stream(spark, sf):
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(str(sf))
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def stream_bars(spark, sf):
+    """Hourly bars that the watermark has closed."""
+    from tidebars.streaming.bars import stream_bars as build
+
+    s = build(_event_stream(spark, sf), F.col("event_type"), F.col("value"), F.lit(1.0), ["ts", "event_id"], "1 hour", "1 hour", "ts", ["event_id"])
+    return _rounded(_drain(spark, s, "stream-bars").withColumn("ts", stamp()), ["symbol", "ts"], list(B.PRICE_COLUMNS))
+
+
+def stream_signals(spark, sf):
+    """Incremental indicators and cooled-down signals over bars read as a stream."""
+    from tidebars.streaming.bars import stream_indicators
+
+    laid = shelf(spark, sf, "events_hourly")
+    path = laid.df.inputFiles()[0].rsplit("/", 1)[0]
+    bars = spark.readStream.schema(laid.df.schema).parquet(path)
+    d = _drain(spark, stream_indicators(bars.select("symbol", "ts", "close")), "stream-signals")
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts", "signal"], ["close", "sma", "ema_fast", "ema_slow", "rsi"])
