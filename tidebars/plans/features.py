@@ -10,7 +10,7 @@ works on one row per chunk.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,11 +174,13 @@ def _kernel(nodes, ins, carry, outs, rows):
     in_cols = [(e.num, _name(e)) for e in ins]
     out_cols = [(e.num, _name(e)) for e in outs]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        n = len(pdf)
-        vals = {num: pdf[name].to_numpy(dtype=float, na_value=np.nan) for num, name in in_cols}
-        seq = pdf["seq"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        seq = table.column("seq").to_numpy()
+        if len(seq) > 1 and (np.diff(seq) < 0).any():
+            order = np.argsort(seq, kind="stable")
+            table, seq = table.take(pa.array(order)), seq[order]
+        n = len(seq)
+        vals = {num: table.column(name).to_numpy().astype(float, copy=False) for num, name in in_cols}
         for num, op, args in spec:
             if num in vals:
                 continue
@@ -188,7 +190,7 @@ def _kernel(nodes, ins, carry, outs, rows):
                 v = raw[0]
                 vals[num] = np.full(n, np.nan if v is None else float(v))
             elif op == "pos":
-                vals[num] = (seq - pdf["chunk"].to_numpy() * rows).astype(float)
+                vals[num] = (seq - table.column("chunk")[0].as_py() * rows).astype(float)
             elif op == "startval":
                 vals[num] = kernels.start_value(raw[0], kids[0], seq, raw[2], raw[3])
             elif op == "recur":
@@ -200,10 +202,8 @@ def _kernel(nodes, ins, carry, outs, rows):
             else:
                 with np.errstate(all="ignore"):
                     vals[num] = kernels.scalar(op, raw, kids)
-        res = pdf[carry].copy()
-        for num, name in out_cols:
-            res[name] = vals[num]
-        return res
+        cols = [table.column(c) for c in carry] + [pa.array(vals[num], pa.float64(), from_pandas=True) for num, _ in out_cols]
+        return pa.table(cols, names=[*carry, *[name for _, name in out_cols]])
 
     return run
 
@@ -333,7 +333,7 @@ def _kernel_pass(df, group, here, leaves, keep, stored, render, wanted):
     fields = [T.StructField(f.name, T.DoubleType() if f.name in bools else f.dataType, True) for f in schema.fields]
     fields += [T.StructField(_name(e), T.DoubleType(), True) for e in outs]
     fn = _kernel(order, ins, carry, outs, render.rows)
-    df = df.groupBy("symbol", "chunk").applyInPandas(fn, T.StructType(fields))
+    df = df.groupBy("symbol", "chunk").applyInArrow(fn, T.StructType(fields))
     flags = [c for c in carry if c in bools] + [_name(e) for e in outs if e.op in _BOOL_OPS]
     if flags:
         df = df.selectExpr(*[f"{f.name} = 1D AS {f.name}" if f.name in flags else f.name for f in fields])

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 
 
 def decay_scan(q: float, b: np.ndarray) -> np.ndarray:
-    """y[t] = q*y[t-1] + b[t], starting at the first value of b."""
+    """y[t] = q*y[t-1] + b[t], starting at the first value of b.
+
+    Within a block the recurrence is a running sum of b / q**t; blocks are short
+    enough for the powers to stay in range.
+    """
     out = np.full(len(b), np.nan)
-    ok = np.flatnonzero(~np.isnan(b))
-    if len(ok) == 0:
+    ok = np.isnan(b)
+    start = int(np.argmin(ok)) if len(b) else 0
+    if len(b) == 0 or ok[start]:
         return out
-    i = ok[0]
-    part = b[i:]
-    if q == 0.0:
-        out[i:] = part
+    if q <= 0.0:
+        out[start:] = b[start:]
         return out
-    z = part / (1.0 - q)
-    z[0] = part[0]
-    out[i:] = pd.Series(z).ewm(alpha=1.0 - q, adjust=False).mean().to_numpy()
+    size = max(16, min(len(b), int(500.0 / -math.log(q))))
+    power = q ** np.arange(size, dtype=float)
+    carry = 0.0
+    for lo in range(start, len(b), size):
+        part = b[lo : lo + size]
+        w = power[: len(part)]
+        y = w * (np.cumsum(part / w) + carry * q)
+        out[lo : lo + len(part)] = y
+        carry = y[-1]
     return out
 
 
