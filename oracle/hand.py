@@ -103,6 +103,12 @@ SQL["seasonal_signal"] = (
     f"SELECT b.symbol, {stamp('b.ts')} AS ts, CASE WHEN frequency >= 0.51 THEN -1 WHEN frequency <= 0.49 THEN 1 ELSE 0 END AS signal "
     f"FROM ({BARS['flag_daily']}) b LEFT JOIN ({_FREQ}) f ON b.symbol = f.symbol AND month(b.ts) = f.month")
 
+SQL["adaptive_cyber_cycle"] = (
+    f"WITH {numbered('flag_daily')}, x AS (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS x FROM b), "
+    f"pw AS (SELECT symbol, p, pow(sum(x * cos(2 * pi() * (seq % p) / p)), 2) + pow(sum(x * sin(2 * pi() * (seq % p) / p)), 2) AS w FROM x, range(4, 65) t(p) GROUP BY 1, 2), "
+    f"d AS (SELECT symbol, arg_max(p, w) AS p FROM pw GROUP BY 1), s AS (SELECT b.symbol, b.ts, b.seq, d.p, sin((b.seq % d.p) * 2 * pi() / d.p) AS a, sin(((b.seq - 1 + d.p) % d.p) * 2 * pi() / d.p) AS z FROM b JOIN d USING (symbol)) "
+    f"SELECT symbol, {TS} AS ts, p::INTEGER AS period, CASE WHEN seq > 0 AND a > 0.5 AND z <= 0.5 THEN 1 WHEN seq > 0 AND a < -0.5 AND z >= -0.5 THEN -1 ELSE 0 END AS signal FROM s")
+
 # --- state rules as recursive queries: one bar per step -----------------------------------
 _PSAR = f"""{numbered('flag_daily')},
 r(symbol, seq, side, sar, ep, af, ph, pl, outv, outs) AS (

@@ -195,20 +195,20 @@ def filter_cascade(df, features, label, is_class, corr_limit=0.95, cv_limit=1.0)
 
 
 def permutation_importance(df: DataFrame, model, features: list[str], label: str, is_class: bool, seed: int = 42) -> DataFrame:
-    """Loss of score when one feature's values are swapped between rows.
+    """Loss of score of a fitted pipeline when one feature's values are swapped between rows.
 
     The swap is a join of two random orders by position inside small random
     blocks, so no global shuffle of one column through one task is needed."""
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy") if is_class else RegressionEvaluator(labelCol=label, metricName="mse")
     d = settle(df.select(label, *features).na.drop().withColumn("_b", (F.rand(seed) * 64).cast("int")), "perm")
-    base = ev.evaluate(model.transform(_vectors(d, features, label)))
+    base = ev.evaluate(model.transform(d))
     w1, w2 = Window.partitionBy("_b").orderBy(F.xxhash64(*features)), Window.partitionBy("_b").orderBy(F.xxhash64(*features, F.lit(1)))
     a = settle(d.withColumn("_i", F.row_number().over(w1)).withColumn("_j", F.row_number().over(w2)), "perm")
     rows = []
     for f in features:
         other = a.select("_b", F.col("_j").alias("_i"), F.col(f).alias("_x"))
         p = a.join(other, ["_b", "_i"]).withColumn(f, F.col("_x"))
-        s = ev.evaluate(model.transform(_vectors(p, features, label)))
+        s = ev.evaluate(model.transform(p))
         rows.append((f, float(base - s if is_class else s - base)))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 

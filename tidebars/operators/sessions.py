@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+import math
+
 from pyspark.sql import functions as F
 
 from tidebars.functions.expr import C, lag, true, when
@@ -36,3 +38,30 @@ def seasonal_signals(laid: Laid, high: float = 0.75, low: float = 0.25) -> DataF
     d = laid.df.select("symbol", "ts", F.month("ts").alias("month"))
     sig = F.when(F.col("frequency") >= high, -1).when(F.col("frequency") <= low, 1).otherwise(0)
     return d.join(freq, ["symbol", "month"], "left").select("symbol", "ts", sig.alias("signal"))
+
+
+def dominant_period(laid: Laid, periods: list[int]) -> DataFrame:
+    """Period with the largest power of the mean-free close, per symbol.
+
+    A periodogram over a bounded list of periods is one wide aggregate (two sums
+    per period, combined map-side); no transform of a whole series is needed."""
+    mean = laid.df.groupBy("symbol", "chunk").agg(F.sum("close").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("symbol")  # one row per chunk
+    mean = mean.select("symbol", "chunk", (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_mean"))
+    x = laid.df.join(mean, ["symbol", "chunk"]).withColumn("_x", F.col("close") - F.col("_mean"))
+    angle = lambda p: F.pmod("seq", F.lit(p)) * (2 * math.pi / p)
+    sums = [F.sum(F.col("_x") * fn(angle(p))).alias(f"{n}{p}") for p in periods for n, fn in (("c", F.cos), ("s", F.sin))]
+    row = x.groupBy("symbol").agg(*sums)
+    power = F.array(*[F.struct((F.col(f"c{p}") ** 2 + F.col(f"s{p}") ** 2).alias("power"), F.lit(-p).alias("p")) for p in periods])
+    return row.select("symbol", (-F.array_max(power)["p"]).alias("period"))
+
+
+def cycle_signals(laid: Laid, periods=None, threshold: float = 0.5) -> DataFrame:
+    """Sine of the dominant period crossing the threshold up (long) or its negative down (short)."""
+    best = dominant_period(laid, list(periods or range(4, 65)))
+    keys = laid.df.select("symbol", "chunk").distinct().join(best, "symbol")  # one row per chunk
+    d = laid.df.join(keys, ["symbol", "chunk"])
+    wave = lambda k: F.sin(F.pmod(F.col("seq") - k, F.col("period")) * (2 * math.pi) / F.col("period"))
+    up = (F.col("seq") > 0) & (wave(0) > threshold) & (wave(1) <= threshold)
+    down = (F.col("seq") > 0) & (wave(0) < -threshold) & (wave(1) >= -threshold)
+    return d.select("symbol", "ts", "period", F.when(up, 1).when(down, -1).otherwise(0).alias("signal"))

@@ -185,12 +185,7 @@ def families():
     r1 = pct(C)
     vhf = (glob("max", C) - glob("min", C)) / rsum(absx(diff(C)), 14)
     z_all = (C - glob("avg", C)) / glob("stddev_pop", C)
-    frac = 2.0 * math.pi / 20.0
-    from tidebars.functions.expr import sinx
-
     glb = {
-        "adaptive_cyber_cycle_fixed": signal(
-            (sinx(SEQ * frac) > 0.5) & (lag(sinx(SEQ * frac)) <= 0.5), (sinx(SEQ * frac) < -0.5) & (lag(sinx(SEQ * frac)) >= -0.5)),
         "big_moves": when(
             month(ts).isin([7, 12]), 0, true(r1 > glob("avg", r1)), 1, otherwise=-1),
         "turn_of_the_month_august_september": signal(

@@ -187,6 +187,12 @@ def seasonal_signal(spark, sf):
     return seasonal_signals(shelf(spark, sf, "flag_daily"), 0.51, 0.49).select("symbol", stamp().alias("ts"), "signal")
 
 
+def adaptive_cyber_cycle(spark, sf):
+    from tidebars.operators.sessions import cycle_signals
+
+    return cycle_signals(shelf(spark, sf, "flag_daily")).select("symbol", stamp().alias("ts"), "period", "signal")
+
+
 # --- folds -----------------------------------------------------------------------------------
 def psar(spark, sf):
     d = folds.parabolic(shelf(spark, sf, "flag_daily"))
