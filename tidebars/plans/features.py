@@ -229,6 +229,9 @@ def add_features(laid: Laid, wanted: dict[str, Expr], keep: list[str] | None = N
     for phase in range(last_phase + 1):
         here = [e for e in nodes if e.phase <= phase]
         if phase:
+            pending = [e for e in nodes if e.num not in render.have and e.phase >= phase]
+            alive = _live(pending, render.have, wanted, keep)
+            df = df.select(*[c for c in df.columns if c in alive])
             if sliding:
                 # read three times below: store it once instead of computing it three times
                 df = settle(df, "phase")
@@ -255,7 +258,8 @@ def add_features(laid: Laid, wanted: dict[str, Expr], keep: list[str] | None = N
             if not group:
                 continue
             if level % 2:
-                df = _kernel_pass(df, group, here, leaves, keep, stored, render, wanted)
+                pending = [e for e in nodes if e.num not in render.have and (e.phase > phase or st.get(e.num, 0) > level)]
+                df = _kernel_pass(df, group, here, leaves, keep, pending, render, wanted)
                 continue
             wins = [e for e in group if e.op in WINDOW_OPS]
             if wins:
@@ -303,7 +307,25 @@ def _reach(now, have):
     return back, fwd
 
 
-def _kernel_pass(df, group, here, leaves, keep, stored, render, wanted):
+def _live(pending, have, wanted, keep) -> set[str]:
+    """Names of the columns that the values still to be computed, or the caller, will read."""
+    names = set(KEYS) | set(keep)
+    seen: set[int] = set()
+    stack = [k for e in pending for k in _kids(e)]
+    stack += list(wanted.values())
+    while stack:
+        e = stack.pop()
+        if e.num in seen:
+            continue
+        seen.add(e.num)
+        if e.num in have or e.op == "col":
+            names.add(_name(e))
+        else:
+            stack.extend(_kids(e))
+    return names
+
+
+def _kernel_pass(df, group, here, leaves, keep, pending, render, wanted):
     inside = {e.num for e in group}
     need: dict[int, Expr] = {}
 
@@ -322,15 +344,16 @@ def _kernel_pass(df, group, here, leaves, keep, stored, render, wanted):
     if missing:
         df = df.selectExpr("*", *[render.named(e) for e in missing])
         render.have.update(e.num for e in missing)
-    schema = df.schema
     outs = [e for e in group if leaves(e)]
     ins = list(need.values())
     order = [e for e in here if e.num in inside or e.op in ("lit", "pos")]
-    carry = schema.names
-    bools = {f.name for f in schema.fields if isinstance(f.dataType, T.BooleanType)}
-    if bools:
-        df = df.selectExpr(*[f"CAST({c} AS DOUBLE) AS {c}" if c in bools else c for c in carry])
-    fields = [T.StructField(f.name, T.DoubleType() if f.name in bools else f.dataType, True) for f in schema.fields]
+    later = _live(pending, render.have | {e.num for e in outs}, wanted, keep)
+    feed = later | {_name(e) for e in ins}
+    schema = [f for f in df.schema.fields if f.name in feed]
+    bools = {f.name for f in schema if isinstance(f.dataType, T.BooleanType)}
+    df = df.selectExpr(*[f"CAST({f.name} AS DOUBLE) AS {f.name}" if f.name in bools else f.name for f in schema])
+    carry = [f.name for f in schema if f.name in later]
+    fields = [T.StructField(f.name, T.DoubleType() if f.name in bools else f.dataType, True) for f in schema if f.name in later]
     fields += [T.StructField(_name(e), T.DoubleType(), True) for e in outs]
     fn = _kernel(order, ins, carry, outs, render.rows)
     df = df.groupBy("symbol", "chunk").applyInArrow(fn, T.StructType(fields))

@@ -40,12 +40,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured
 
 
-def settle(df: DataFrame, label: str = "t") -> DataFrame:
+def settle(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives executor
     loss, and later scans prune columns."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidebars/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -105,7 +105,8 @@ def chunk_sweep(
     floats of any length and starts empty.
     """
     cols = list(dict.fromkeys(columns + ["seq"]))
-    slim = laid.df.select("symbol", "chunk", *cols)
+    # one directory per chunk number, so each job reads its own rows only
+    slim = settle(laid.df.select("symbol", "chunk", *cols).repartition("chunk", "symbol"), "sweep", by="chunk")
     span = slim.agg(F.max("chunk")).first()[0]
     if span is None:
         raise ValueError("no bars")
