@@ -35,7 +35,7 @@ OUTPUT = "symbol string, ts timestamp, close double, sma double, ema_fast double
 STATE_VERSION = 1
 
 
-def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState, n: int, fast: int, slow: int, gap: int, ttl_ms: int):
+def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState, n: int, fast: int, slow: int, gap: int, ttl_ms: int | None):
     if state.hasTimedOut:
         state.remove()
         return
@@ -66,21 +66,25 @@ def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState, n: int, fas
         rows.append((key[0], ts, close, sma, ef, es, rsi, int(hit)))
         seen, last_ts = seen + 1, ts
     state.update((STATE_VERSION, seen, last_ts, closes, ef, es, gain, loss, last_signal))
-    state.setTimeoutDuration(ttl_ms)
+    if ttl_ms:
+        state.setTimeoutDuration(ttl_ms)
     if rows:
         yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUTPUT.split(", ")])
 
 
-def stream_indicators(bars: DataFrame, n: int = 20, fast: int = 12, slow: int = 26, gap: int = 10, ttl_ms: int = 86_400_000) -> DataFrame:
+def stream_indicators(bars: DataFrame, n: int = 20, fast: int = 12, slow: int = 26, gap: int = 10, ttl_ms: int | None = 86_400_000) -> DataFrame:
     """Indicators and cooled-down signals of a stream of bars.
 
     State per symbol: the last ``n`` closes and four accumulators, a few hundred
-    bytes, dropped after ``ttl_ms`` without bars."""
+    bytes, dropped after ``ttl_ms`` without bars.  Pass ``None`` for a bounded run
+    (``availableNow``): with a time-out Spark keeps starting batches and never ends."""
 
     def run(key, frames, state):
         yield from _advance(key, frames, state, n, fast, slow, gap, ttl_ms)
 
-    return bars.groupBy("symbol").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return bars.groupBy("symbol").applyInPandasWithState(
+        run, OUTPUT, STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
 
 
 def score_stream(bars: DataFrame, model, sink, every: str = "5 seconds", checkpoint: str | None = None):

@@ -530,5 +530,5 @@ def stream_signals(spark, sf):
     laid = shelf(spark, sf, "events_hourly")
     path = laid.df.inputFiles()[0].rsplit("/", 1)[0]
     bars = spark.readStream.schema(laid.df.schema).parquet(path)
-    d = _drain(spark, stream_indicators(bars.select("symbol", "ts", "close")), "stream-signals")
+    d = _drain(spark, stream_indicators(bars.select("symbol", "ts", "close"), ttl_ms=None), "stream-signals")
     return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts", "signal"], ["close", "sma", "ema_fast", "ema_slow", "rsi"])
