@@ -160,7 +160,7 @@ class ByteBpe:
         sym = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         n = len(sym)
         nxt, prv, alive = [*range(1, n), -1], [-1, *range(n - 1)], [True] * n
-        rank, at = self._rank(np.array(sym[:-1]), np.array(sym[1:]))
+        rank, at = self._rank(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64))
         heap = [(r, i, sym[i], sym[i + 1], int(self.merged[a])) for i, (r, a) in enumerate(zip(rank.tolist(), at.tolist())) if r < NONE]
         heapq.heapify(heap)
         while heap:

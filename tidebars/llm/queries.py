@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, token_counts
+from tidebars.llm import bpe, substring_sort, substring_tree, token_counts
 from tidebars.llm.textkit import documents
 
 
@@ -25,9 +25,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_substring_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_tree.remove_repeats(documents(spark, sf_dir))
+
+
+def op10_substring_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_sort.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
+    "op9_substring_tree": op9_substring_tree,
+    "op10_substring_sort": op10_substring_sort,
 }
 
 SQL: dict[str, str] = {}
