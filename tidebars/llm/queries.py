@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, substring_sort, substring_tree, token_counts
-from tidebars.llm.textkit import documents
+from tidebars.llm import bpe, mixing, spotsigs, substring_sort, substring_tree, token_counts
+from tidebars.llm.textkit import documents, shared_folder
 
 
 def tokenizer_file(name: str) -> str:
@@ -17,6 +17,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edits(documents(spark, sf_dir))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir), shared_folder(spark, "mix"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -34,6 +42,8 @@ def op10_substring_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_spotsigs": op3_spotsigs,
+    "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
     "op9_substring_tree": op9_substring_tree,
