@@ -28,28 +28,39 @@ ANCHORS = (
     "el en que los las una del",
 )
 CHAIN = 2
-SHORT_WORDS = 64
-BARE_WORDS = 12
+#: Characters: texts and runs between anchors in which every word counts.
+SHORT_TEXT = 400
+BARE_RUN = 80
+#: What stands between words: ASCII other than letters and digits.
+OTHER = r"[^a-z0-9\x{80}-\x{10ffff}]+"
 ROWS_PER_RANGE = 4000
 
 
-def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> Column:
-    """Sorted distinct signature hashes of a text, array<int>.
+def _any_of(words: set[str]) -> str:
+    """A pattern for any of the words that tries each first letter once."""
+    heads = sorted({w[:1] for w in words if w})
+    tails = [(h, {w[1:] for w in words if w[:1] == h}) for h in heads]
+    parts = [h + (_any_of(t - {""}) + ("?+" if "" in t else "") if t != {""} else "") for h, t in tails]
+    return "(?:" + "|".join(parts) + ")"
 
-    In short texts, and in runs of many words without an anchor, every word is one."""
-    words = "|".join(sorted({w for line in anchors for w in line.split()}, key=lambda w: (-len(w), w)))
-    skip = rf" (?:(?:{words}) )*+"
-    spot = rf"(?<![^ ])(?=((?:%s)(?:{skip}[^ ]+){{1,{chain}}}))[^ ]"
-    bare = rf"(?<![^ ])(?:(?!(?:{words}) )[^ ]++ ){{{BARE_WORDS},}}+"
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    n_words = F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1
-    runs = F.array_join(F.regexp_extract_all(F.concat(plain, F.lit(" ")), F.lit(bare), F.lit(0)), "  ")
-    rest = F.when(n_words < SHORT_WORDS, plain).otherwise(runs)
-    raw = F.concat(F.regexp_extract_all(plain, F.lit(spot % words), F.lit(1)), F.regexp_extract_all(rest, F.lit(spot % "[^ ]+"), F.lit(1)))
-    joined = F.array_join(raw, "\x01")
-    every = F.filter(F.split(F.when(plain == "", F.lower(text)).otherwise(plain), r"\s+"), lambda w: w != "")
-    parts = F.when(joined != "", F.split(F.regexp_replace(joined, skip, " "), "\x01")).otherwise(every)
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda w: F.hash(w))))
+
+def with_signatures(df: DataFrame, text: str, out: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """df and, in `out`, the sorted distinct signature hashes (array<int>) of column `text`.
+
+    Anchors are marked once; what follows looks for the mark.  In short texts, and in long runs without an anchor, every
+    word is one.  Each step is a column of its own, so that none is computed twice."""
+    marked, chains, raw = F.col("_marked"), F.col("_chains"), F.col(text)
+    words = _any_of({w for line in anchors for w in line.split()})
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(raw), OTHER, " ")), F.lit(" "))
+    df = df.withColumn("_marked", F.regexp_replace(plain, rf" ({words})(?= )", " \x02$1"))
+    links = "(?:(?: \x02[^ ]++)*+ [^ \x02][^ ]*+)"
+    spots = F.regexp_extract_all(marked, F.lit(f"(?=(\x02[^ ]++{links}{{1,{chain}}}))\x02"), F.lit(1))
+    rest = F.when(F.length(marked) < SHORT_TEXT, marked).otherwise(F.array_join(F.regexp_extract_all(marked, F.lit(f"[^\x02]{{{BARE_RUN},}}+"), F.lit(0)), "  "))
+    others = F.regexp_extract_all(rest, F.lit(f"(?<= )(?=([^ \x02][^ ]*+{links}{{1,{chain}}}))[^ ]"), F.lit(1))
+    df = df.withColumn("_chains", F.array_join(F.concat(spots, others), "\x01"))
+    every = F.filter(F.split(F.when(F.trim(marked) == "", F.lower(raw)).otherwise(marked), r"\s+"), lambda w: w != "")
+    parts = F.when(chains != "", F.split(F.regexp_replace(chains, " \x02[^ ]++", ""), "\x01")).otherwise(every)
+    return df.withColumn(out, F.sort_array(F.array_distinct(F.transform(parts, lambda w: F.hash(w))))).drop("_marked", "_chains")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -102,7 +113,7 @@ def with_next(df: DataFrame) -> DataFrame:
     df = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     firsts = _ranges(df)
     nowhere = df.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("next_text"))
-    nowhere = nowhere.withColumn("signatures", signatures(F.col("text"))).withColumn("next_signatures", F.array().cast("array<int>"))
+    nowhere = with_signatures(nowhere, "text", "signatures").withColumn("next_signatures", F.array().cast("array<int>"))
     if not firsts:
         return nowhere
     df = df.filter("doc_id is not null").withColumn("at", _range_of(F.col("doc_id"), firsts))
@@ -115,7 +126,7 @@ def with_next(df: DataFrame) -> DataFrame:
     )
     placed = df.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", "home.*")
     order = Window.partitionBy("range").orderBy("lap", "doc_id", "text", "guest")
-    placed = placed.withColumn("next_text", F.lead("text").over(order)).withColumn("signatures", signatures(F.col("text"))).withColumn("next_signatures", F.lead("signatures").over(order))
+    placed = with_signatures(placed.withColumn("next_text", F.lead("text").over(order)), "text", "signatures").withColumn("next_signatures", F.lead("signatures").over(order))
     return placed.filter("not guest").select("doc_id", "text", "next_text", "signatures", "next_signatures").unionByName(nowhere)
 
 
@@ -129,7 +140,7 @@ def compare_edits(df: DataFrame) -> DataFrame:
     rows = with_next(df).withColumn("n_chars", n.cast("bigint"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.expr("left(text, int(n_chars - floor(n_chars / 4)))"), F.substring(F.col("next_text"), F.lit(1), cut))
-    rows = rows.select("doc_id", "n_chars", edited.alias("edited"), "signatures", "next_signatures").withColumn("edited_signatures", signatures(F.col("edited")))
+    rows = with_signatures(rows.select("doc_id", "n_chars", edited.alias("edited"), "signatures", "next_signatures"), "edited", "edited_signatures")
     return rows.select(
         "doc_id",
         "n_chars",
