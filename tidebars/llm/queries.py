@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, mixing, spotsigs, substring_sort, substring_tree, token_counts
+from tidebars.llm import bpe, mixing, quality, spotsigs, substring_sort, substring_tree, token_counts, toxicity
 from tidebars.llm.textkit import documents, shared_folder
 
 
@@ -17,6 +18,25 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fold(parts: int) -> Column:
+    """Remainder of the checksum of doc_id as text; a row without doc_id is in fold 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)), F.lit(0))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, _ = quality.score_documents(documents(spark, sf_dir), labels(spark, sf_dir), "quality", fold(4) != 2)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(documents(spark, sf_dir), labels(spark, sf_dir), "toxic", fold(5) != 0)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "near_ids", "near_cosines")
+
+
 def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_edits(documents(spark, sf_dir))
 
@@ -42,6 +62,8 @@ def op10_substring_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
     "op3_spotsigs": op3_spotsigs,
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
