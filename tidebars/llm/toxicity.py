@@ -158,7 +158,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
     # At most MOST_TOXIC + MOST_CLEAN rows of two numbers.
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
     # Copies of one text would make all of its words look telling.
-    return found.withColumn("same", F.xxhash64("text")).dropDuplicates(["same", "y"]).drop("same")
+    one = found.groupBy(F.xxhash64("text").alias("same"), "y").agg(F.min(F.struct("doc_id", "text")).alias("d"))
+    return one.select("d.doc_id", "y", "d.text")
 
 
 def choose_terms(examples: DataFrame) -> tuple[list[str], int, int]:
