@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, jaccard_join, mixing, quality, spotsigs, substring_sort, substring_tree, token_counts, toxicity
+from tidebars.llm import bpe, jaccard_join, mixing, near_vectors, quality, spotsigs, substring_sort, substring_tree, token_counts, toxicity
 from tidebars.llm.textkit import documents, shared_folder
 
 
@@ -53,6 +53,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.93)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.component_ids(documents(spark, sf_dir), width=3, percent=90)
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_bpe": op5_bpe,
     "op6_token_counts": op6_token_counts,
+    "op7_near_vectors": op7_near_vectors,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_tree": op9_substring_tree,
     "op10_substring_sort": op10_substring_sort,
