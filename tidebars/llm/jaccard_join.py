@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.llm.graph import components
@@ -297,9 +297,8 @@ def _across(cells: DataFrame, roots: DataFrame, boxes: DataFrame, percent: int)
     return dealt.groupBy("cell", "i", "j").applyInArrow(search, "a bigint, b bigint").distinct()
 
 
-def component_ids(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of df(doc_id, text)."""
-    df = df.select(row_key().alias("at"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """at, doc_id, n_shingles, root (a number for each component) for every row of df(at, doc_id, text)."""
     described = settle(describe(df, width), "described")
     rows = described.count()
     cells = settle(shared_cells(df, width, percent, rows), "cells")
@@ -314,8 +313,25 @@ def component_ids(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     more = settle(verified(_across(single, roots, boxes, percent), found, percent), "links")
     if more.head(1):
         roots = components(links.unionByName(more))
-    placed = described.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))
+    return described.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("at", "doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))
+
+
+def component_ids(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of df(doc_id, text)."""
+    placed = component_roots(df.select(row_key().alias("at"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), width, percent)
     some = placed.filter("n_shingles > 0")
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     none = placed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.join(least, "root").select("doc_id", "n_shingles", "component_id").unionByName(none)
+
+
+def one_of_each(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The row with the least doc_id of each component of df, and every row without words; df's columns."""
+    keyed = df.select(row_key().alias("at"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))).alias("row"))
+    placed = settle(component_roots(df.select(row_key().alias("at"), F.col("doc_id").cast("bigint").alias("doc_id"), "text"), width, percent), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("at"))
+    chosen = placed.filter("n_shingles > 0").groupBy("root").agg(F.min(order).alias("o")).select("o.at", F.lit(False).alias("blank"))
+    blank = placed.filter("n_shingles = 0").select("at", F.lit(True).alias("blank")).distinct()
+    kept = keyed.join(chosen.unionByName(blank), "at")
+    kept = kept.withColumn("copy", F.row_number().over(Window.partitionBy("at").orderBy("at"))).filter("blank or copy = 1")
+    return kept.select(*(F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(df.columns)))

@@ -271,3 +271,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """doc_id, score, near_ids, near_cosines of every document."""
     judge, counted, _ = learn_judge(docs, labels, label, learn)
     return apply_judge(counted, judge)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: float = 0.5) -> DataFrame:
+    """The rows of docs that score below `limit`, unchanged."""
+    judge, _, terms = learn_judge(docs, labels, label, learn)
+    shared = docs.sparkSession.sparkContext.broadcast(judge)  # bounded by the sample and the chosen terms
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, vocabulary = shared.value, Vocabulary(terms)
+        for batch in batches:
+            for part in slices(batch, text):
+                keep = []
+                for t in part.column(text).to_pylist():
+                    found = sorted(vocabulary.counts(words_of(t)).items())
+                    keep.append(own.score(np.array([f[0] for f in found], int), np.array([f[1] for f in found], int))[0] < limit)
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    renamed = docs.toDF(*names)
+    kept = renamed.mapInArrow(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)))
+    return kept.toDF(*docs.columns)
