@@ -3,9 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebars.llm import bpe
-from tidebars.llm.queries import tokenizer_file
+from tidebars.llm import bpe, jaccard_join, mixing, substring_sort, toxicity
+from tidebars.llm.queries import fold, tokenizer_file
+from tidebars.llm.textkit import shared_folder
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score toxic go; labels of the folds that may be learned from teach the judge."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, labels, "toxic", fold(5) != 0)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 0.8 of their five-word shingles, the one with the least doc_id stays."""
+    return jaccard_join.one_of_each(docs, width=5, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings of 200 that stand more than once go from every text; n_chars follows."""
+    left = substring_sort.without_repeats(docs)
+    return left.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else left
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source fills its share; a document may come twice, or not at all."""
+    return mixing.mixed(docs, shared_folder(spark, "mix"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +37,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
 
-# Floating-point scores and hashes have no form in SQL that gives the same rows; tests/llm holds brute-force versions.
+# Scores in floating point have no form in SQL that keeps the same rows; tests/llm holds the brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        folder = shared_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
