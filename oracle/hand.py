@@ -325,9 +325,12 @@ SQL["calibrate"] = f"WITH {_PRED} SELECT ts, model, side, {cut_sql('1 / (1 + exp
 SQL["vote_ensemble"] = (
     f"WITH {_PRED}, v AS (SELECT ts, side, count(*) AS models, sum(probability * weight) / sum(weight) AS vote FROM p GROUP BY 1, 2) "
     f"SELECT ts, side, models, CASE WHEN vote > 0.4 THEN 1 ELSE 0 END AS signal, {cut_sql('vote', 6)} AS vote FROM v")
+_LIMITS = (
+    "(VALUES ('LSTM', 'buy', 0.6::DOUBLE), ('GRU', 'buy', 0.433::DOUBLE), ('Conv1D', 'buy', 0.5::DOUBLE), ('Conv1D_LSTM', 'buy', 0.5::DOUBLE), "
+    "('LSTM', 'sell', 0.4::DOUBLE), ('GRU', 'sell', 0.4::DOUBLE), ('Conv1D', 'sell', 0.6::DOUBLE), ('Conv1D_LSTM', 'sell', 0.4::DOUBLE)) l(model, side, t)")
 SQL["threshold_signals"] = (
-    f"WITH {_PRED} SELECT model, side, count(*) AS n, count(*) FILTER (probability > 0.5) AS signals, {cut_sql('avg(CASE WHEN probability > 0.5 THEN 1.0::DOUBLE ELSE 0 END)', 6)} AS rate, "
-    f"{cut_sql('avg(probability)', 6)} AS avg_probability, {cut_sql('min(probability)', 6)} AS min_probability, {cut_sql('max(probability)', 6)} AS max_probability FROM p GROUP BY 1, 2")
+    f"WITH {_PRED} SELECT model, side, count(*) AS n, count(*) FILTER (probability > t) AS signals, {cut_sql('avg(CASE WHEN probability > t THEN 1.0::DOUBLE ELSE 0 END)', 6)} AS rate, "
+    f"{cut_sql('avg(probability)', 6)} AS avg_probability, {cut_sql('min(probability)', 6)} AS min_probability, {cut_sql('max(probability)', 6)} AS max_probability FROM p JOIN {_LIMITS} USING (model, side) GROUP BY 1, 2")
 SQL["tiered_rule"] = (
     "WITH e AS (SELECT vec_id, 1 / (1 + exp(-4 * embedding[1]::DOUBLE)) AS b, 1 / (1 + exp(-4 * embedding[2]::DOUBLE)) AS s, 1 / (1 + exp(-4 * embedding[3]::DOUBLE)) AS d, "
     "embedding[4] AS r1, embedding[5] AS r5, embedding[6] AS r14 FROM embeddings) SELECT vec_id, "

@@ -137,7 +137,8 @@ def panel_rules() -> dict:
     corr3 = roll("corr", pct(C, 10), 20, y=pct(C3, 10))
     slope = C - lag(C, 25) - (C2 - lag(C2, 25))
     rs = ema(known(coalesce(logx(ratio / lag(ratio, 10)), 0.0), 0), 10)
-    stress = (C - rmin(C, 14)) * 100.0 / (rmax(C, 14) - rmin(C, 14)) - (C2 - rmin(C2, 14)) * 100.0 / (rmax(C2, 14) - rmin(C2, 14))
+    stress = (C - rmin(C, 14)) * 100.0 / (rmax(C, 14) - rmin(C, 14))
+    unstressed = (stress > 70.0) | (C < lag(C) * 0.95) | (rmin(C, 14) < C * 0.9)
     flag = lambda c, w: when(true(c), w, otherwise=0.0)
     score = (
         flag(rsum(when(C > lag(C), V, C < lag(C), -V, otherwise=0.0), 14) > 0.0, 1.0) + flag(C > sma(C, 14), 1.0)
@@ -174,18 +175,18 @@ def panel_rules() -> dict:
         "xlk_xlu_ratio": state(ratio, sma(ratio, 200)),
         "calculate_sector_realized_volatility": state(stock_vol, sector_vol),
         "multi_currency_correlation": signal(corr_all * 100.0 > 50.0, corr_all * 100.0 < -50.0),
-        "pair_trading_long": signal((s13 > s25) & (ratio > s13)),
-        "pair_trading_long_reversion": signal((s13 < s25) & (ratio < s13)),
-        "pair_trading_long_pullback": signal((s13 > s25) & (ratio < s13)),
-        "pair_trading_short": signal(C.ne(C), (s13 < s25) & (ratio < s13)),
-        "pair_trading_short_reversion": signal(C.ne(C), (s13 > s25) & (ratio > s13)),
-        "pair_trading_short_pullback": signal(C.ne(C), (s13 < s25) & (ratio > s13)),
+        "pair_trading_long": crossing(s13, s25),
+        "pair_trading_long_reversion": crossing(s13, ratio),
+        "pair_trading_long_pullback": signal((s13 < ratio) & (ratio < s25), (s13 > ratio) & (ratio > s25)),
+        "pair_trading_short": crossing(s25, s13),
+        "pair_trading_short_reversion": crossing(ratio, s13),
+        "pair_trading_short_pullback": signal(cross_up(ratio, s13) & (ratio < s25), cross_dn(ratio, s13) & (ratio > s25)),
         "calculate_price_ratio": state(ratio, 1.0),
         "calculate_divergence": signal(div25 > 0.5, div25 < -0.5),
         "calculate_corr3": signal(corr3 > 0.5, corr3 < -0.5),
         "regression_divergence_strat": signal(cross_dn(slope, 0.0) & (corr3 > 0.0), cross_up(slope, 0.0) & (corr3 > 0.0)),
-        "rsmk": crossing(rs, 0.0),
-        "stress": signal((stress < 30.0) & (C2 > sma(C2, 14)), (stress > 70.0) | (C < lag(C) * 0.95) | (C < rmin(lag(C), 14) * 0.9)),
+        "rsmk": signal(cross_up(rs, 0.0)),
+        "stress": when(true(unstressed), -1, true((stress < 30.0) & (sma(C2, 14) > lag(sma(C2, 14)))), 1, otherwise=0),
         "technicalstockratingstrat": signal(score >= 5.0),
     }
 

@@ -11,8 +11,8 @@ from tidebars.plans.layout import Laid
 
 # fixed values: score thresholds per model and side
 THRESHOLDS = [
-    ("LSTM", "buy", 0.5), ("GRU", "buy", 0.5), ("Conv1D", "buy", 0.5), ("Conv1D_LSTM", "buy", 0.5),
-    ("LSTM", "sell", 0.5), ("GRU", "sell", 0.5), ("Conv1D", "sell", 0.5), ("Conv1D_LSTM", "sell", 0.5),
+    ("LSTM", "buy", 0.6), ("GRU", "buy", 0.433), ("Conv1D", "buy", 0.5), ("Conv1D_LSTM", "buy", 0.5),
+    ("LSTM", "sell", 0.4), ("GRU", "sell", 0.4), ("Conv1D", "sell", 0.6), ("Conv1D_LSTM", "sell", 0.4),
 ]
 
 

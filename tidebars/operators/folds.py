@@ -162,6 +162,9 @@ def _cooldown_step(state, x, gap):
     for i in np.flatnonzero(hit):
         if last < 0 or seq[i] - last >= gap:
             out[i], last = 1.0, seq[i]
+    # A signal too old to hold back the next chunk is the same state as none.
+    if len(seq) and last >= 0 and seq[-1] + 1 - last >= gap:
+        last = -1.0
     return [last], {"signal": out}
 
 
@@ -178,6 +181,9 @@ def _greedy_step(state, x):
     for i in np.flatnonzero(~np.isnan(exit_)):
         if seq[i] > last:
             out[i], last = 1.0, exit_[i]
+    # A trade that is over at the end of the chunk is the same state as none.
+    if len(seq) and last <= seq[-1]:
+        last = -1.0
     return [last], {"kept": out}
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from tidebars.functions.expr import (
-    C, H, L, O, SEQ, V, absx, coalesce, diff, ema, ema_alpha, ex, fill0, greatest, known, lag, least, log10x, logx, mad,
+    C, H, L, O, SEQ, V, absx, coalesce, diff, ema, ema_alpha, ex, fill0, glob, greatest, known, lag, least, log10x, logx, mad,
     memory, pct, recur, rmax, rmin, roll, rstd, rstdp, rsum, run, sma, sqrtx, start_value, when, wilder, wilder_sum, wma,
 )
 
@@ -89,8 +89,9 @@ def kama(x, n=10, fast=2, slow=30):
     return recur(when(SEQ > s, 1.0 - sc, otherwise=0.0), b, memory(1.0 - lo * lo), s)
 
 
-def frama(n=20, lo_limit=0.01):
-    """Fractal adaptive mean: the factor follows the fractal dimension of two half windows."""
+def frama(n=20, upper=8, lower=40):
+    """Fractal adaptive mean of the close: the fractal dimension of two half windows sets a factor,
+    whose length is then mapped to ``upper`` .. ``lower`` bars."""
     h = n // 2
     n1 = (rmax(H, h) - rmin(L, h)) / float(h)
     n2 = (lag(rmax(H, h), h) - lag(rmin(L, h), h)) / float(h)
@@ -98,11 +99,13 @@ def frama(n=20, lo_limit=0.01):
     dim = (logx(n1 + n2) - logx(n3)) / math.log(2.0)
     from tidebars.functions.expr import expx
 
-    a = least(greatest(expx((dim - 1.0) * -4.6), lo_limit), 1.0)
-    a = known(coalesce(a, 1.0), 0)
+    raw = least(greatest(expx((dim - 1.0) * math.log(2.0 / (lower + 1))), 0.01), 1.0)
+    length = ((2.0 - raw) / raw - 1.0) * ((lower - upper) / (lower - 1.0)) + float(upper)
+    slowest = 2.0 / (lower + 1)
+    a = known(coalesce(least(greatest(2.0 / (length + 1.0), slowest), 1.0), slowest), 0)
     s = n - 1
-    b = when(SEQ.eq(s), MED, SEQ > s, a * MED)
-    return recur(when(SEQ > s, 1.0 - a, otherwise=0.0), b, memory(1.0 - lo_limit), s)
+    b = when(SEQ.eq(s), C, SEQ > s, a * C)
+    return recur(when(SEQ > s, 1.0 - a, otherwise=0.0), b, memory(1.0 - slowest), s)
 
 
 def supersmoother(x, n=10):
@@ -128,6 +131,17 @@ def high_pass(x, n):
     return recur(2 * q, b, 3 * memory(abs(q)), s, -q * q)
 
 
+def universal_oscillator(x, n=20):
+    """Second-order high-pass filter of cut-off ``n``, standardised over the symbol."""
+    x = solid(x)
+    al = math.cos(math.sqrt(2.0) * math.pi / n) ** 2
+    be = 1.0 - al
+    s = x.lead + 2
+    b = when(SEQ >= s, (x - lag(x) * 2.0 + lag(x, 2)) * ((1.0 - be / 2.0) * be))
+    f = known(coalesce(recur(2.0 * al, b, 3 * memory(al), s, -al * al), 0.0), 0)
+    return (f - glob("avg", f)) / glob("stddev_pop", f)
+
+
 def moving_average(x, n, kind="simple"):
     kind = kind.lower()
     table = {

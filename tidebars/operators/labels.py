@@ -141,10 +141,10 @@ def profit_targets(side: str = "long", window: int = 14, stop: float = 0.01) ->
     stop untouched on the bars in between?  (The caller masks by the signal.)"""
     entry, exit_ = lead(C), lead(C, window)
     if side == "long":
-        held = roll("min", L, window - 1, None, window - 1) > entry * (1.0 - stop)
+        held = roll("min", L, window - 1, None, window - 1) >= entry * (1.0 - stop)
         won = exit_ > entry
     else:
-        held = roll("max", H, window - 1, None, window - 1) < entry * (1.0 + stop)
+        held = roll("max", H, window - 1, None, window - 1) <= entry * (1.0 + stop)
         won = exit_ < entry
     from tidebars.functions.expr import true
 

@@ -7,7 +7,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -30,7 +30,10 @@ def classifier(kind: str, label: str = "label", layers=None, **kw):
 
 
 def pipeline(features: list[str], model) -> Pipeline:
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), model])
+    """Missing values become the training median; every row keeps its score."""
+    filled = [f"{f}__filled" for f in features]
+    fill = Imputer(inputCols=features, outputCols=filled, strategy="median")
+    return Pipeline(stages=[fill, VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"), model])
 
 
 def stacked_predictions(df: DataFrame, features: list[str], label: str, kinds=("forest", "boosting"), folds: int = 3) -> DataFrame:
@@ -59,7 +62,9 @@ def choose_by_time_folds(df: DataFrame, features: list[str], label: str, kind: s
     for name, values in (grid or {"maxDepth": [4, 8]}).items():
         b = b.addGrid(est.getParam(name), values)
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="logLoss") if is_class else RegressionEvaluator(labelCol=label)
-    d = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df.filter("fold >= 0"))
+    rows, filled = df.filter("fold >= 0"), [f"{f}__filled" for f in features]
+    rows = Imputer(inputCols=features, outputCols=filled, strategy="median").fit(rows).transform(rows)
+    d = VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep").transform(rows)
     n = d.agg(F.max("fold")).first()[0] + 1
     return CrossValidator(estimator=est, estimatorParamMaps=b.build(), evaluator=ev, numFolds=n, foldCol="fold").fit(d)
 

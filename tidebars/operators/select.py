@@ -58,8 +58,9 @@ def collinear_features(df: DataFrame, features: list[str], limit: float = 0.95)
     dropped: list[str] = []
     for i in range(len(features)):
         for j in range(i + 1, len(features)):
-            if abs(m[i][j]) > limit and features[i] not in dropped and features[j] not in dropped:
-                dropped.append(features[i] if var[features[i]] < var[features[j]] else features[j])
+            weaker = features[i] if var[features[i]] < var[features[j]] else features[j]
+            if abs(m[i][j]) > limit and weaker not in dropped:
+                dropped.append(weaker)
     return dropped
 
 

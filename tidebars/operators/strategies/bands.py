@@ -92,14 +92,14 @@ def families():
     stop = lag(C) - lag(a14) * 3.0
     pos10 = (C - rmin(L, 10)) / (rmax(H, 10) - rmin(L, 10))
     kroll_hi, kroll_lo = rmax(H, 10) - a14 * 2.0, rmin(L, 10) + a14 * 2.0
-    pgo = (C - s14) / a14
+    pgo = (C - s14) / as14
     as21 = I.atr_simple(21)
     atr_rules = {
         "atr_high_sma_breakouts_le": signal(
             (H > lag(recorded) + 0.5) & (C > s100) & (H - L > sma(H - L, 14) * 1.5) & (V > lag(V))),
         "atr_trailing_stop_le": signal((C > stop) & (lag(C) <= lag(stop))),
         "atr_trailing_stop_se": signal(C.ne(C), cross_dn(C, lag(C) - lag(a14))),
-        "average_true_range_percentage": signal(a14 * 100.0 / C < 1.5, a14 * 100.0 / C > 1.5),
+        "average_true_range_percentage": signal(as14 * 100.0 / C < 1.5, as14 * 100.0 / C > 1.5),
         "average_true_range_trading_strategy_in_python": signal(
             (as14 > mean_atr * 1.5) & (C > lag(C)), (as14 > mean_atr * 1.5) & (C < lag(C))),
         "chande_kroll_stop": breakout(C, lag(kroll_hi), lag(kroll_lo)),
@@ -117,8 +117,12 @@ def families():
     hi252, lo252 = rmax(C, 252), rmin(C, 252)
     top_c = run("max", C)
     green4 = rsum(when(C > O, 1.0, otherwise=0.0), 4).eq(4.0)
-    hh14, ll14 = rmax(H, 14), rmin(L, 14)
-    level = lambda f: ll14 + (hh14 - ll14) * f
+    hi14, lo14 = rmax(C, 14), rmin(C, 14)
+    # Of the five levels the lowest one crossed decides.
+    crossed = [p for f in (1.0, 0.618, 0.382, 0.236, 0.0) for lev in (hi14 - (hi14 - lo14) * f,)
+               for p in (true((lag(C) < lev) & (C >= lev)), 1, true((lag(C) > lev) & (C <= lev)), -1)]
+    retraced = when(*crossed, otherwise=0)
+    rng7 = rmax(H, 7) - rmin(L, 7)
     conv, base = (rmax(H, 9) + rmin(L, 9)) / 2.0, (rmax(H, 26) + rmin(L, 26)) / 2.0
     rng = H - L
     hi44, lo44 = rmax(H, 44), rmin(L, 44)
@@ -134,13 +138,13 @@ def families():
         "52_week_high": signal(C >= hi252 * 0.95, C < hi252 * 0.9),
         "all_time_high": state(C, lag(top_c)),
         "breakout": signal(C > prior_high(20) * 1.05, C < prior_low(20) * 0.95),
-        "bull_market_signal": signal(below_mean & (C <= top_c * 0.8)),
-        "donchian": signal((H > prior_high(40)) & (a20 > lag(a20)), L < prior_low(15)),
-        "fibonacci": signal(cross_up(C, level(0.382)) | cross_up(C, level(0.618)), cross_dn(C, level(0.382)) | cross_dn(C, level(0.618))),
+        "bull_market_signal": signal(below_mean & (C < top_c * 0.8)),
+        "donchian": signal((H > prior_high(40)) & (lag(H) > lag(sma(a20, 20)) * 2.0), (L < prior_low(40)) & (lag(L) < lag(sma(a20, 20)) * 2.0)),
+        "fibonacci": retraced,
         "four_day_breakout_le": signal(green4 & (C > s20) & (C > prior_high(4) + 0.5)),
         "ichimoku": signal((conv > base) & (C > lag(C, 26)), (conv < base) & (C < lag(C, 26))),
         "ichimoku_2": crossing(conv, base),
-        "inside_day": signal(rng.eq(rmin(rng, 7)), rng.eq(rmax(rng, 7))),
+        "inside_day": signal(rng.eq(rmin(rng7, 7)), rng.eq(rmax(rng7, 7))),
         "key_rev_le": signal(true(lag((L < prior_low(5)) & (C > lag(C))))),
         "key_rev_lx": signal(C.ne(C), (H > prior_high(5)) & (C < lag(C))),
         "kiss_of_death": signal(C.ne(C), (lag(C) >= lag(top_c)) & (C < roll("min", L, 20, hi=-1))),
@@ -195,7 +199,7 @@ def families():
         "calculate_z_score": signal(z_all < -1.0, z_all > 1.0),
         "simple_mean_reversion": signal((z_all < -1.0) & (sma(C, 30) > sma(C, 300)), (z_all > 1.0) & (sma(C, 30) < sma(C, 300))),
         "ehlers_universal_oscillator": state(
-            (I.high_pass(C, 20) - glob("avg", I.high_pass(C, 20))) / glob("stddev_pop", I.high_pass(C, 20)), 0.0),
+            I.universal_oscillator(C, 20), 0.0),
         "calculate_volatility": signal(rstd(r1, 20) > glob("stddev_samp", r1)),
     }
 

@@ -32,9 +32,9 @@ def carried(first, second):
 
 
 def in_session(lo, hi):
-    """Minutes of the day, start included, end excluded."""
+    """Minutes of the day, both ends included."""
     m = minute_of_day(TS)
-    return (m >= lo) & (m < hi)
+    return (m >= lo) & (m <= hi)
 
 
 def families():
@@ -83,7 +83,7 @@ def families():
     month_close = run("last", when(NEW_MONTH, lag(C)))
     shares = run("sum", when(NEW_MONTH, C * 0.0 + 100.0, otherwise=0.0) / C)
     res = {
-        "london_breakout": signal(in_session(480, 660) & (C > asian_hi), in_session(480, 660) & (C < asian_lo)),
+        "london_breakout": signal(in_session(480, 660) & (H > asian_hi), in_session(480, 660) & (L < asian_lo)),
         "investment": when(NEW_MONTH, 1, otherwise=0),
         "unlocking_the_power_of_trading_days_analyzing_sp_500_gold_and_treasuries": when(
             M.isin([7, 12]), 0, otherwise=carried(NEW_MONTH, true(last_bar))),

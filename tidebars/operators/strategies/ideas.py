@@ -23,9 +23,8 @@ def families():
     p0 = run("last", when(true(peak), lag(p1)))
     engulf = (lag(C) < lag(O)) & (C > O) & (C >= lag(O)) & (O <= lag(C))
     ub, mb20, lb = I.bollinger(20)
-    a14 = I.atr0(14)
-    entry = engulf & (C > lb) & ((ub - C) / (C - lb) > 1.0)
-    stop = lag(C) - lag(a14) * 3.0
+    stop = C - I.atr0(20) * 3.0
+    entry = engulf & (C > lb) & ((ub - H) / (H - stop) > 1.0)
     swing = (rmax(C, 20) - rmin(C, 20) > 5.0) & (rmax(H, 10) - C > 1.0) & (C - lag(C) > 0.5)
     strike = 1000.0
     path = {
@@ -34,7 +33,7 @@ def families():
         "gandalf_exit": signal(C.ne(C), (epoch_day(TS) - first_buy >= 10) | ((C < top_entry) & shape)),
         "double_top": signal(C.ne(C), (absx(p1 - p0) <= p0 * 0.01) & (C < rmin(lag(L), 11))),
         "covered_calls": signal(C < strike),
-        "bollingerbandswithengulfing": signal(entry, true(lag(entry)) & ((C > ub) | (C < stop))),
+        "bollingerbandswithengulfing": signal(entry, true(lag(entry)) & ((H > ub) | (L < stop))),
         "mean_reversion_swing_le": signal(swing),
     }
     return {"paths": path}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidebars.functions.expr import (
     C, H, L, O, V, absx, coalesce, cross_dn, cross_up, diff, ema, ema_alpha, greatest, lag, lead, least, logx, pct, rmax, rmin,
-    roll, rstd, run, signal, sma, SEQ, true, when, wma,
+    roll, rstd, rsum, run, signal, sma, SEQ, true, when, wma,
 )
 from tidebars.operators import indicators as I
 
@@ -153,7 +153,7 @@ def families():
     k10, k20 = I.kama(C, 10), I.kama(C, 20)
     hl3, ohlc4 = sma(I.TYP, 14), sma(ha_mean, 14)
     ratio = ema(C, 9) * 100.0 / I.t3(C, 14)
-    uni = I.supersmoother(C - lag(C, 2), 20)
+    uni = I.universal_oscillator(C, 20)
     fr = I.frama(20)
     filters = {
         "adaptive_laguerre_filter": state(C, laguerre),
@@ -162,7 +162,7 @@ def families():
         "kama_cross": crossing(k10, k20),
         "supersmoother": state(C, I.supersmoother(C, 10)),
         "svesc": signal(hl3 > ohlc4, hl3 < ohlc4),
-        "universal_oscillator_strategy": crossing(uni, 0.0),
+        "universal_oscillator_strategy": signal(cross_dn(uni, 0.0), cross_up(uni, 0.0)),
         "frama": signal(C > fr + I.atr0(14) * 1.9, C < fr - I.atr0(14) * 1.9),
     }
 
@@ -240,7 +240,8 @@ def families():
     }
 
     peak = (C > lag(C)) & (C > lead(C))
-    busy = sma(V, 30) * 5.0 / roll("percentile", V, 300, p=0.95) > 2.0
+    rolling = rsum(V, 30)
+    busy = rolling * 5.0 / roll("percentile", rolling, 300, p=0.95) > 2.0
     hi_pivot, lo_pivot = H.eq(roll("max", H, 31, hi=15)), L.eq(roll("min", L, 31, hi=15))
     fh, fl = H.eq(roll("max", H, 5, hi=2)), L.eq(roll("min", L, 5, hi=2))
     e10, e100 = ema(C, 10), ema(C, 100)
@@ -253,6 +254,8 @@ def families():
         "golden_triangle": signal(
             true(lag((C > sma(C, 50)) & peak)) & true(lag((C > sma(C, 20)) & (V > roll("max", V, 5, hi=-1))))),
         "high_volume_points": signal(lo_pivot & busy, hi_pivot & busy),
+        "high_volume_points_liquidity_grab": signal(
+            lo_pivot & busy & (C > lag(when(true(lo_pivot), L))), hi_pivot & busy & (C < lag(when(true(hi_pivot), H)))),
         "fractal_ema": signal(fl & (e10 > e20) & (e20 > e100), fh & (e10 < e20) & (e20 < e100)),
         "calculate_zigzag": signal(zig_lo, zig_hi),
         "rsi_trend": signal((I.rsi(14) < 30.0) & zig_lo, (I.rsi(14) > 70.0) & zig_hi),

@@ -89,7 +89,6 @@ def families():
     rk = (r - rmin(r, 14)) / (rmax(r, 14) - rmin(r, 14))
     ibs14 = (C - rmin(L, 14)) / (rmax(H, 14) - rmin(L, 14))
     low3 = (r < 30.0) & (lag(r) < 30.0) & (lag(r, 2) < 30.0)
-    high3 = (r > 70.0) & (lag(r) > 70.0) & (lag(r, 2) > 70.0)
     z30 = I.zscore(30)
     r20 = I.rsi(20)
     sd14 = rstd(C, 14)
@@ -120,7 +119,7 @@ def families():
         "stochrsi": signal(rk <= 0.2, rk >= 0.8),
         "supertrend_indicator": signal(cross_up(r, 30.0), cross_dn(r, 70.0)),
         "the_stochastic_indicator_does_it_work": reversal(lag(r), 30.0, 70.0),
-        "triple_rsi": signal(low3 & (C < sma(C, 200)), high3 & (C > sma(C, 200))),
+        "triple_rsi": signal(low3 & (C < sma(C, 200)), (r > 70.0) & (C > sma(C, 200))),
         "vix_futures": signal((r < 30.0) & (s10 > s30), (r > 70.0) & (s10 < s30)),
         "vols_switch": signal((sd14 < lag(sd14)) & (C > s50) & (r > 30.0), (sd14 < lag(sd14)) & (C < s50) & (r < 70.0)),
         "what_happens_when_stock_markets_are_overbought": signal(C.ne(C), r > 70.0),
@@ -140,12 +139,12 @@ def families():
     dvo = med14 * 100.0 / rmax(C, 14) - sma(med14 * 100.0 / rmax(C, 14), 14)
     disp = (C - s20) * 100.0 / s20
     dp = C - lag(s20, 11)
-    er = absx(diff(C, 10)) / rsum(absx(diff(C)), 10)
-    d0 = known(fill0(diff(C)), 0)
-    ergo = ema(d0, 25) * 100.0 / ema(ema(absx(d0), 25), 13)
+    er = diff(C, 10) / rsum(absx(diff(C)), 10)
+    change25 = ema(diff(C), 25)
+    ergo = change25 * 100.0 / ema(change25, 13)
     ergo0 = known(fill0(ergo), 0)
-    pos10 = (C - rmin(C, 10)) / (rmax(C, 10) - rmin(C, 10)) * 2.0 - 1.0
-    posc = greatest(least(pos10, 0.999), -0.999)
+    pos10 = (C - rmin(C, 10)) / (rmax(C, 10) - rmin(C, 10))
+    posc = least(pos10, 0.999999)
     fisher = logx((posc + 1.0) / (1.0 - posc)) * 0.5
     lr = logx(C / lag(C))
     fdi = sma(rstd(lr, 14) / sma(absx(lr), 14), 14) + 1.0
@@ -153,12 +152,12 @@ def families():
     ift = (k14 / 100.0) * (k14 / 100.0) * 100.0
     ifts = sma(ift, 3)
     k3, k3s = I.kst()
-    roc_sum = sma(pct(C, 10), 10) + sma(pct(C, 15), 10) * 2.0 + sma(pct(C, 20), 10) * 3.0 + sma(pct(C, 30), 10) * 4.0
+    roc_sum = rsum(pct(C, 10) + pct(C, 20) * 2.0 + pct(C, 30) * 3.0 + pct(C, 40) * 4.0, 10)
     kst_sig = sma(roc_sum, 9)
     mi = I.mass_index()
     pos14 = (C - rmin(L, 14)) * 100.0 / (rmax(H, 14) - rmin(L, 14))
     means = [sma(C, n) for n in (5, 10, 20, 30, 40, 50, 60)]
-    rainbow = (greatest(*means) - least(*means)) * 7.0 / sum(means[1:], start=means[0])
+    rainbow = (greatest(*means) - least(*means)) / (greatest(*means) + least(*means))
     rei = (pos14 - 50.0) * 2.0
     d14c = diff(C, 14)
     rmi_u, rmi_d = sma(greatest(d14c, 0.0), 14), sma(greatest(-d14c, 0.0), 14)
@@ -174,10 +173,10 @@ def families():
     wk = (C - lag(sma(C, 5))) / lag(sma(C, 5))
     wr5 = (rmax(C, 5) - C) * -100.0 / (rmax(C, 5) - rmin(C, 5))
     lagrange = lag(H) - lag(L)
-    asi = rsum(fill0(((C - lag(C)) + (C - O) * 0.5 + (lag(C) - lag(O)) * 0.25) / lagrange), 14)
+    asi = rsum(fill0(when(true(C > lag(C)), (H - lag(H)) * 100.0 / lagrange, otherwise=(L - lag(L)) * 100.0 / lagrange)), 14)
     er_avg = I.efficiency(C, 14)
     rms = sqrtx(sma(r1 * r1, 10))
-    eleg = I.supersmoother(known(fill0(C - lag(C, 2)), 0) / known(coalesce(sqrtx(sma(diff(C, 2) * diff(C, 2), 10)), 1.0), 0), 10)
+    eleg = I.supersmoother(known(sqrtx(sma(C * C, 10)), 9), 10)
     scaled = (eleg - glob("min", eleg)) / (glob("max", eleg) - glob("min", eleg)) * 2.0 - 1.0
     osc = {
         "awesome_oscillator": crossing(ao, 0.0),
@@ -199,7 +198,7 @@ def families():
         "dpo": crossing(dp, 0.0),
         "efficiency_ratio": signal(cross_up(er, 0.5), cross_dn(er, 0.2)),
         "ergodic_oscillator": crossing(ergo0 - ema(ergo0, 9), 0.0),
-        "fisher_transform": signal(cross_up(fisher, -1.0), cross_dn(fisher, 1.0)),
+        "fisher_transform": signal(cross_up(fisher, 1.0), cross_dn(fisher, -1.0)),
         "fractal_dimension_index": signal(fdi < 1.3, fdi > 1.5),
         "how_does_pairs_trading_work_is_it_profitable": crossing(tsi, 0.0),
         "how_i_created_a_trend_following_trading_strategy_using_python": signal(cross_dn(wr, -20.0), cross_up(wr, -80.0)),
@@ -218,7 +217,7 @@ def families():
         "schaff_trend_cycle_indicator": signal(cross_up(stc, 25.0), cross_dn(stc, 75.0)),
         "stc": signal(stc > 75.0, stc < 25.0),
         "stoch": crossing(k14, d14),
-        "stochastic_momentum_index": signal(cross_up(smi, -40.0), cross_dn(smi, 40.0)),
+        "stochastic_momentum_index": signal(cross_up(smi, 40.0), cross_dn(smi, -40.0)),
         "stochastic": signal((k14 > d14) & (k14 < 20.0), (k14 < d14) & (k14 > 80.0)),
         "swing_index": crossing(swing, 0.0),
         "tsi": crossing(tsi, 0.0),
@@ -231,9 +230,8 @@ def families():
         "rms": signal(rms > sma(rms, 10)),
         "compute_er": signal(er_avg > 0.5, er_avg < 0.2),
         "ertrend": signal(
-            ((er_avg > rmin(er_avg, 7) * 1.5) & (er_avg > 0.2) | (er_avg > 0.5)) & (C > s14),
-            ((er_avg > rmin(er_avg, 7) * 1.5) & (er_avg > 0.2) | (er_avg > 0.5)) & (C < s14)),
-        "elegant_oscillator": crossing(scaled, 0.5),
+            (er_avg > rmin(er_avg, 7, 1) * 1.5) & (er_avg > 0.5) & (er_avg < 1.0) & (C > s14), (lead(C) < s14) & (lead(C, 2) > s14)),
+        "elegant_oscillator": signal(cross_up(tanhx(scaled), 0.5), cross_dn(tanhx(scaled), -0.5)),
     }
 
     cmf = I.cmf(20)
@@ -247,6 +245,7 @@ def families():
     mfac = (H - L) / V
     sv = when(C > lag(C), V, C < lag(C), -V, otherwise=0.0)
     sv = known(coalesce(sv, 0.0), 0)
+    flow = rsum(when(true(I.TYP > lag(I.TYP)), V, otherwise=-V), 14)
     vap = rsum(sv, 14) * 100.0 / rsum(V, 14)
     vo = (sma(V, 5) - v20) * 100.0 / v20
     vzo = rsum(sv, 14) / sma(V, 14)
@@ -261,7 +260,7 @@ def families():
         "ease_of_movement_indicator": crossing(emv14, 0.0),
         "elder_force_index": crossing(fi, 0.0),
         "eom": state(eom, 0.0),
-        "follow_through_day": signal(true(lag(up3, 3)) & (C > lag(C)) & (V > lag(V) * 1.5)),
+        "follow_through_day": signal(true(lag(up3, 3)) & (C > lag(C)) & (V - lag(V) > lag(V) * 1.5)),
         "market_facilitation_index": signal(cross_up(mfac, 0.5), cross_dn(mfac, 0.2)),
         "mfi": signal(mf > 80.0, mf < 20.0),
         "money_flow_index": reversal(mf, 20.0, 80.0),
@@ -269,7 +268,7 @@ def families():
         "time_segmented_volume": crossing(rsum(sv, 20), 0.0),
         "twiggs_money_flow": crossing(tmf, 0.0),
         "volume_accumulation_percentage": state(vap, 0.0),
-        "volume_flow_indicator": beyond(rsum(sv, 14), glob("stddev_samp", sv) * 1.5),
+        "volume_flow_indicator": beyond(flow, glob("stddev_pop", flow) * 1.5),
         "volume_oscillator": crossing(vo, 0.0),
         "volume": signal(V > v20 * 1.5, V < v20 / 1.5),
         "volume_zone_oscillator": crossing(vzo, 0.0),

@@ -85,8 +85,9 @@ def _edge(k: int) -> str:
 class _Stage:
     """Renders expressions as SQL text against the columns that exist so far."""
 
-    def __init__(self, rows: int):
+    def __init__(self, rows: int, gaps: bool = True):
         self.rows = rows
+        self.gaps = gaps
         self.have: set[int] = set()
 
     def text(self, e: Expr) -> str:
@@ -142,7 +143,7 @@ class _Stage:
     def gate(self, e: Expr, f: str) -> str:
         """Enough non-null values in the frame (a position test when that suffices)."""
         fn, lo, hi, need, x = e.args[:5]
-        if e.lead is not None:
+        if e.lead is not None and not self.gaps:
             return f"seq >= {e.lead}"
         enough = f"count({self.text(x)}) OVER {f} >= {need}"
         if len(e.args) > 5 and isinstance(e.args[5], Expr) and fn != "mad":
@@ -222,7 +223,7 @@ def add_features(laid: Laid, wanted: dict[str, Expr], keep: list[str] | None = N
     stored = {_name(e) for e in nodes if e.op == "col"} - {"seq"}
     base = list(dict.fromkeys(KEYS + [c for c in keep if c not in KEYS] + sorted(stored - set(keep))))
     df = laid.df.select(*base)
-    render = _Stage(laid.rows)
+    render = _Stage(laid.rows, laid.gaps)
     named: set[int] = set()
     sliding = False
 
@@ -242,7 +243,7 @@ def add_features(laid: Laid, wanted: dict[str, Expr], keep: list[str] | None = N
         top = max((st[e.num] for e in now), default=0)
         sliding = any(st[e.num] > 0 for e in now)
         if sliding:
-            df = with_halo(Laid(df, laid.rows), back, fwd)
+            df = with_halo(Laid(df, laid.rows, laid.gaps), back, fwd)
 
         def leaves(e):
             """Is the value read outside the level it is computed on?"""

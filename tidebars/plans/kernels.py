@@ -13,10 +13,14 @@ def decay_scan(q: float, b: np.ndarray) -> np.ndarray:
     Within a block the recurrence is a running sum of b / q**t; blocks are short
     enough for the powers to stay in range.
     """
+    gap = np.isnan(b)
+    start = int(np.argmin(gap)) if len(b) else 0
     out = np.full(len(b), np.nan)
-    ok = np.isnan(b)
-    start = int(np.argmin(ok)) if len(b) else 0
-    if len(b) == 0 or ok[start]:
+    if len(b) == 0 or gap[start]:
+        return out
+    if gap[start:].any():
+        # A missing value changes nothing: the last result stays.
+        out[start:] = decay_scan(q, b[start:][~gap[start:]])[np.cumsum(~gap[start:]) - 1]
         return out
     if q <= 0.0:
         out[start:] = b[start:]
@@ -43,9 +47,9 @@ def general_scan(a, a2: float, b: np.ndarray) -> np.ndarray:
     y1 = y2 = 0.0
     vals = b.tolist()
     for t in range(ok[0], len(vals)):
-        y = factors[t] * y1 + a2 * y2 + vals[t]
-        out[t] = y
-        y1, y2 = y, y1
+        if vals[t] == vals[t] and factors[t] == factors[t]:
+            y1, y2 = factors[t] * y1 + a2 * y2 + vals[t], y1
+        out[t] = y1
     return out
 
 

@@ -51,10 +51,14 @@ def settle(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Laid:
-    """Bars with ``seq`` and ``chunk``, and the chunk size they were cut with."""
+    """Bars with ``seq`` and ``chunk``, and the chunk size they were cut with.
+
+    ``gaps``: prices or volumes may be null, so frames count their values
+    instead of trusting positions."""
 
     df: DataFrame
     rows: int
+    gaps: bool = True
 
 
 def lay_out(bars: DataFrame, chunk_rows: int | None = None, unit: str = "month") -> Laid:
@@ -65,6 +69,9 @@ def lay_out(bars: DataFrame, chunk_rows: int | None = None, unit: str = "month")
     one-minute or one-second bars).
     """
     rows = chunk_rows_of(bars.sparkSession, chunk_rows)
+    # NaN is a missing value everywhere, so that no comparison with it holds.
+    numbers = [f.name for f in bars.schema.fields if f.dataType.typeName() in ("double", "float")]
+    bars = bars.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
     b = bars.withColumn("_unit", F.date_trunc(unit, "ts"))
     per_unit = b.groupBy("symbol", "_unit").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("symbol").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
