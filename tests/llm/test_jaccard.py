@@ -104,8 +104,8 @@ def test_sets_that_link_share_a_cell():
 
 def test_tree_loses_no_pair():
     rnd = np.random.default_rng(3)
-    points = rnd.integers(0, 12, (700, 16))
-    points[300:500] = points[100:300] + rnd.integers(0, 2, (200, 16))
+    points = rnd.poisson(2.0, (700, 256))
+    points[300:500] = points[100:300] + (rnd.random((200, 256)) < 0.1)
     queries = points[::3]
     got = {(int(q), int(p)) for qs, ps in CountTree(points).search(queries, 90) for q, p in zip(qs, ps)}
     sizes = points.sum(axis=1)

@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from tidebars.llm.graph import components
 from tidebars.llm.textkit import Rolling, byte_values, flat_text, mix, row_key, settle, shuffle_partitions, slices, spread, word_spans
 
-DIMENSIONS = 16
+#: Groups of a point; the tree's boxes have COARSE coordinates, sums of as many groups each.
+DIMENSIONS = 256
+COARSE = 16
 LEAF = 32
 FAN = 8
 CHUNK = 2048
@@ -109,6 +111,15 @@ def points(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner * DIMENSIONS + group, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS)
 
 
+def _blob(point: np.ndarray) -> bytes:
+    return point.astype(np.uint16 if point.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _points(blobs: list[bytes]) -> np.ndarray:
+    wide = [np.frombuffer(b, np.uint16 if len(b) == 2 * DIMENSIONS else np.uint32) for b in blobs]
+    return np.stack(wide).astype(np.int32) if wide else np.zeros((0, DIMENSIONS), np.int32)
+
+
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Shared shingles that sets of these sizes need: 100 * shared >= percent * (a + b - shared)."""
     return -(-(percent * (a + b)) // (100 + percent))
@@ -118,9 +129,10 @@ class CountTree:
     """R-tree over count vectors, packed level by level along the coordinate that varies most."""
 
     def __init__(self, vectors: np.ndarray):
-        self.points = vectors
-        self.order = self._packed(vectors)
-        top, least = vectors[self.order], vectors.sum(axis=1)[self.order]
+        self.points, self.sizes = vectors, vectors.sum(axis=1)
+        coarse = self._folded(vectors)
+        self.folded, self.order = coarse, self._packed(coarse)
+        top, least = coarse[self.order], self.sizes[self.order]
         self.levels = []
         size = LEAF
         while True:
@@ -131,6 +143,11 @@ class CountTree:
                 break
             size = FAN
 
+    @staticmethod
+    def _folded(vectors: np.ndarray) -> np.ndarray:
+        width = vectors.shape[1] // COARSE
+        return vectors.reshape(len(vectors), COARSE, width).sum(axis=2) if width > 1 else vectors
+
     @staticmethod
     def _packed(vectors: np.ndarray) -> np.ndarray:
         out, todo = [], [np.argsort(vectors.sum(axis=1), kind="stable")]
@@ -147,38 +164,41 @@ class CountTree:
 
     def search(self, queries: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(queries, points) that the bound does not rule out, in blocks of queries."""
-        sizes = queries.sum(axis=1)
+        sizes, coarse = queries.sum(axis=1), self._folded(queries)
         for begin in range(0, len(queries), 256):
             q = np.arange(begin, min(begin + 256, len(queries)))
             top, least, _ = self.levels[-1]
             q, node = np.repeat(q, len(top)), np.tile(np.arange(len(top)), len(q))
             for depth in range(len(self.levels) - 1, -1, -1):
                 top, least, size = self.levels[depth]
-                fits = np.minimum(queries[q], top[node]).sum(axis=1) >= needed(sizes[q], least[node], percent)
+                fits = np.minimum(coarse[q], top[node]).sum(axis=1) >= needed(sizes[q], least[node], percent)
                 q, node = q[fits], node[fits]
                 below = len(self.levels[depth - 1][0]) if depth else len(self.order)
                 count = np.minimum(size, below - node * size)
                 q, node = np.repeat(q, count), spread(node * size, count)
             p = self.order[node]
-            fits = np.minimum(queries[q], self.points[p]).sum(axis=1) >= needed(sizes[q], self.points[p].sum(axis=1), percent)
-            yield q[fits], p[fits]
+            fits = np.minimum(coarse[q], self.folded[p]).sum(axis=1) >= needed(sizes[q], self.sizes[p], percent)
+            q, p = q[fits], p[fits]
+            for cut in range(0, max(len(q), 1), 8192):
+                i, j = q[cut : cut + 8192], p[cut : cut + 8192]
+                fits = np.minimum(queries[i], self.points[j]).sum(axis=1) >= needed(sizes[i], self.sizes[j], percent)
+                yield i[fits], j[fits]
 
 
 def describe(df: DataFrame, width: int) -> DataFrame:
-    """at, doc_id, n_shingles, name, point of every row of df(at, doc_id, text)."""
+    """at, doc_id, n_shingles, name of every row of df(at, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, owner = shingles(*flat_text(part.column("text")), width)
                 n = part.num_rows
-                vectors = points(hashes, owner, n).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("at"), part.column("doc_id"), pa.array(np.bincount(owner, minlength=n), pa.int64()), pa.array(_names(hashes, owner, n)), pa.array([v.tobytes() for v in vectors], pa.binary())],
-                    ["at", "doc_id", "n_shingles", "name", "point"],
+                    [part.column("at"), part.column("doc_id"), pa.array(np.bincount(owner, minlength=n), pa.int64()), pa.array(_names(hashes, owner, n))],
+                    ["at", "doc_id", "n_shingles", "name"],
                 )
 
-    return df.select("at", "doc_id", "text").mapInArrow(run, "at bigint, doc_id bigint, n_shingles bigint, name bigint, point binary")
+    return df.select("at", "doc_id", "text").mapInArrow(run, "at bigint, doc_id bigint, n_shingles bigint, name bigint")
 
 
 def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
@@ -227,7 +247,7 @@ def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFram
 
 
 def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """name, hashes (ordered blob) of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
+    """name, hashes (ordered blob), point of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # equal rows have one name and come to one task
@@ -235,10 +255,11 @@ def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
             for part in slices(batch):
                 hashes, owner = shingles(*flat_text(part.column("text")), width)
                 cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                vectors = points(hashes, owner, part.num_rows)
                 fresh = [(i, n) for i, n in enumerate(part.column("name").to_pylist()) if n not in done and not done.add(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i, _ in fresh], pa.binary())], ["name", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i, _ in fresh], pa.binary()), pa.array([_blob(vectors[i]) for i, _ in fresh], pa.binary())], ["name", "hashes", "point"])
 
-    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary")
+    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary, point binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,7 +284,7 @@ def _bounded(pairs: DataFrame, boxes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for c in ("p", "q"))
+            x, y = (_points(batch.column(c).to_pylist()) for c in ("p", "q"))
             keep = pa.array(np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
@@ -282,7 +303,7 @@ def _across(cells: DataFrame, roots: DataFrame, boxes: DataFrame, percent: int)
 
     def search(table: pa.Table) -> pa.Table:
         chunk, name, root = (table.column(c).to_numpy() for c in ("chunk", "member", "root"))
-        vectors = np.frombuffer(b"".join(table.column("point").to_pylist()), np.int32).reshape(-1, DIMENSIONS).astype(np.int64)
+        vectors = _points(table.column("point").to_pylist())
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         found = [np.zeros((0, 2), np.int64)]
@@ -304,10 +325,15 @@ def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     cells = settle(shared_cells(df, width, percent, rows), "cells")
     single = cells.select("cell", "chunk", F.explode("members").alias("member"))
     names = single.select(F.col("member").alias("name")).distinct()
-    boxes = settle(described.join(names, "name", "left_semi").groupBy("name").agg(F.min("point").alias("point"), F.min("at").alias("at")), "boxes")
-    found = settle(sets_of(df, boxes.select("name", "at"), width), "sets")
-    first = single.groupBy("cell").agg(F.min("member").alias("a"))
-    stars = single.join(first, "cell").filter("a != member").select("a", F.col("member").alias("b")).distinct()
+    source = described.join(names, "name", "left_semi").groupBy("name").agg(F.min("at").alias("at"))
+    found = settle(sets_of(df, source, width), "sets")
+    boxes = found.select("name", "point")
+    # The member that meets most others (an original among its edits) is the centre of each of its cells, so the cells of
+    # a family mostly propose the same pairs, and pairs that link.
+    crowd = single.groupBy("cell").agg(F.count("*").alias("held"))
+    score = single.join(crowd, "cell").groupBy("member").agg(F.sum("held").alias("score"))
+    first = single.join(score, "member").groupBy("cell").agg(F.max(F.struct("score", "member")).alias("first"))
+    stars = single.join(first.select("cell", F.col("first.member").alias("a")), "cell").filter("a != member").select("a", F.col("member").alias("b")).distinct()
     links = settle(verified(_bounded(stars, boxes, percent), found, percent), "links")
     roots = components(links)
     more = settle(verified(_across(single, roots, boxes, percent), found, percent), "links")
