@@ -356,8 +356,7 @@ SQL["structure_report"] = (
     f"(SELECT count(*) FROM ft WHERE label = 1) AS positives, {cut_sql('(SELECT avg(label::DOUBLE) FROM ft)', 6)} AS rate")
 
 # --- streaming: what the closed windows must hold -----------------------------------------------------
-SQL["stream_bars"] = (
-    f"SELECT symbol, {TS} AS ts, {cols(OHLCV)} FROM ({BARS['events_hourly']}) WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+SQL["stream_bars"] = f"SELECT symbol, {TS} AS ts, {cols(OHLCV)} FROM ({BARS['events_hourly']})"
 _Q12, _Q26, _Q14 = 2 / 13, 2 / 27, 1 / 14
 SQL["stream_signals"] = (
     f"WITH RECURSIVE {numbered('events_hourly')}, m AS MATERIALIZED (SELECT *, {_SMA('close', 20)} AS sma, coalesce(close - lag(close) OVER (PARTITION BY symbol ORDER BY seq), 0) AS d FROM b), "

@@ -45,6 +45,6 @@ MACRO = (
     "avg(CASE WHEN o_orderpriority[1] IN ('4', '5') THEN 100.0::DOUBLE ELSE 0 END) AS bearish FROM orders GROUP BY 1)"
 )
 BARS["macro_daily"] = (
-    f"SELECT b.*, r.* EXCLUDE (ts) FROM ({BARS['flag_daily']}) b ASOF JOIN ({MACRO}) r ON b.ts >= r.ts"
+    f"SELECT b.*, r.* EXCLUDE (ts) FROM ({BARS['flag_daily']}) b ASOF LEFT JOIN ({MACRO}) r ON b.ts >= r.ts"
 )
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S')"

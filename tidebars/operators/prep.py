@@ -11,16 +11,18 @@ from tidebars.plans.layout import Laid, own_rows, settle, with_halo
 
 
 # --- exact quantiles and ranks without a single-task sort ------------------------------
-def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 20000) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 20000, width: float = 3.0) -> DataFrame:
     """Interpolated quantiles of whole columns: rows (feature, p, value).
 
     A sketch with a known rank error brackets each wanted value; one map-side
     sum counts the rows below the bracket, and only the few rows inside it are
-    ranked, as value counts, so ties weigh nothing.
+    ranked, as value counts, so ties weigh nothing.  A value that still falls
+    outside (a sketch worse than its bound) is looked for again with a bracket
+    eight times as wide, at last all rows.
     """
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns]))
     long = df.select(pairs.alias("x")).select("x.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    e = 3.0 / accuracy
+    e = width / accuracy
     edges = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-e, e)]
     sk = long.groupBy("feature").agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in edges]), accuracy).alias("q"))
     spans = F.array(*[
@@ -36,7 +38,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], accur
         "feature", "p", "v", "c", (F.col("below") + F.sum("c").over(upto)).alias("upto"), ((F.col("n") - 1) * F.col("p")).alias("pos"))
     at = lambda r: F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("c")), F.col("v")))
     got = ranked.groupBy("feature", "p").agg(at(F.floor("pos")).alias("a"), at(F.ceil("pos")).alias("b"), F.max(F.col("pos") - F.floor("pos")).alias("w"))
-    return got.select("feature", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
+    got = settle(got.select("feature", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value")), "quantiles")
+    wanted = sk.select("feature", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    lost = wanted.join(got.filter("value is not null"), ["feature", "p"], "left_anti")
+    return exact_quantiles(df, columns, probs, accuracy, width * 8) if e < 1.0 and not lost.isEmpty() else got
 
 
 def quantile_row(df: DataFrame, columns: list[str], probs: list[float]) -> dict:

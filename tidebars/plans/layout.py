@@ -40,12 +40,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return configured
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Have an intermediate table deleted when the session's driver ends."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+
+
 def settle(df: DataFrame, label: str = "t", by: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives executor
     loss, and later scans prune columns."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidebars/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
+    forget(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

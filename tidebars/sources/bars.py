@@ -209,13 +209,16 @@ ADAPTERS = {
 }
 
 
-PANEL_SYMBOLS = ["AF", "AO", "NF", "NO", "RF", "RO"]
+PANEL_SIZE = 6
 
 
 def _panel(spark, sf):
+    """The first six symbols by name side by side, as many as the rules on several assets name."""
     from tidebars.operators.cross_asset import panel
 
-    return panel(ADAPTERS["combo_daily"](spark, sf), PANEL_SYMBOLS)
+    bars = ADAPTERS["combo_daily"](spark, sf)
+    names = [r.symbol for r in bars.select("symbol").distinct().orderBy("symbol").limit(PANEL_SIZE).collect()]
+    return panel(bars, names)
 
 
 def macro_monthly(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,7 +246,7 @@ def _macro_bars(spark, sf):
     from tidebars.operators.cross_asset import asof_join
 
     bars = ADAPTERS["flag_daily"](spark, sf)
-    return asof_join(bars, macro_monthly(spark, sf), MACRO_COLUMNS).na.drop(subset=MACRO_COLUMNS)
+    return asof_join(bars, macro_monthly(spark, sf), MACRO_COLUMNS)
 
 
 ADAPTERS["panel_daily"] = _panel

@@ -516,11 +516,18 @@ def _event_stream(spark, sf):
 
 
 def stream_bars(spark, sf):
-    """Hourly bars that the watermark has closed."""
+    """Hourly bars: those the watermark has closed, and at the end of the input those still open."""
     from tidebars.streaming.bars import stream_bars as build
 
     s = build(_event_stream(spark, sf), F.col("event_type"), F.col("value"), F.lit(1.0), ["ts", "event_id"], "1 hour", "1 hour", "ts", ["event_id"])
-    return _rounded(_drain(spark, s, "stream-bars").withColumn("ts", stamp()), ["symbol", "ts"], list(B.PRICE_COLUMNS))
+    closed = _drain(spark, s, "stream-bars")
+    # Only the last hours, which no watermark has passed, are built from the table.
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    end = closed.agg(F.max("ts")).first()[0]
+    late = events if end is None else events.filter(F.col("ts") >= F.lit(end))
+    tail = B.ticks_to_bars(late, F.col("event_type"), F.date_trunc("hour", "ts").cast("timestamp"), F.col("value"), F.lit(1.0), ["ts", "event_id"])
+    bars = closed.unionByName(tail.join(closed, ["symbol", "ts"], "left_anti").select(*closed.columns))
+    return _rounded(bars.withColumn("ts", stamp()), ["symbol", "ts"], list(B.PRICE_COLUMNS))
 
 
 def stream_signals(spark, sf):
