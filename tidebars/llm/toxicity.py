@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.quality import isotonic
-from tidebars.llm.textkit import settle, slices
+from tidebars.llm.textkit import settle, shuffle_partitions, slices, spread
 
 #: At most so many examples of each label are learned from (those with the least hashes of their ids).
 MOST_TOXIC, MOST_CLEAN = 8192, 16384
@@ -119,27 +119,27 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest that share a term (ties: lower number); `but` is left out."""
-        bound = np.zeros(self.blocks)
-        lists = [(w, self.starts[t]) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.starts]
-        for w, (block, most, _, _) in lists:
-            bound[block] += w * most
-        order = np.argsort(-bound, kind="stable")
+        mine = [(w, *self.starts[t]) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.starts]
         best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in order[: np.count_nonzero(bound)].tolist():
-            if len(cosine) == k and bound[b] + 1e-12 < cosine[-1]:
-                break
-            score = np.zeros(BLOCK)
-            for w, (block, _, first, last) in lists:
-                i = np.searchsorted(block, b)
-                if i < len(block) and block[i] == b:
-                    s = slice(first[i], last[i])
-                    score[self.post_doc[s] - b * BLOCK] += w * self.post_weight[s]
-            hit = np.flatnonzero(score)
-            found = hit + b * BLOCK
+        if not mine:
+            return best, cosine
+        block, first, last = (np.concatenate([m[i] for m in mine]) for i in (1, 3, 4))
+        weight = np.repeat([m[0] for m in mine], [len(m[1]) for m in mine])
+        bound = np.bincount(block, weights=weight * np.concatenate([m[2] for m in mine]), minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        at, step = 0, 4
+        while at < len(order) and not (len(cosine) == k and bound[order[at]] <= cosine[-1]):
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[at : at + step]] = True
+            at, step = at + step, step * 2
+            part = chosen[block]
+            sizes = last[part] - first[part]
+            posting = spread(first[part], sizes)
+            score = np.bincount(self.post_doc[posting], weights=np.repeat(weight[part], sizes) * self.post_weight[posting], minlength=len(self.doc))
+            found = np.flatnonzero(score)
             if but is not None:
-                keep = self.doc[found] != but
-                hit, found = hit[keep], found[keep]
-            best, cosine = np.r_[best, found], np.r_[cosine, score[hit]]
+                found = found[self.doc[found] != but]
+            best, cosine = np.r_[best, found], np.r_[cosine, score[found]]
             top = np.lexsort((best, -cosine))[:k]
             best, cosine = best[top], cosine[top]
         return best, cosine
@@ -228,18 +228,26 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column, r
     for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row for each chosen term
         frequency[r.t] = r["count"]
     idf = np.log((1 + total) / (1 + frequency)) + 1
-    sample = term_counts(examples, terms, ("doc_id", "y")).collect()  # the bounded sample, in term numbers
+    coded = settle(term_counts(examples, terms, ("doc_id", "y")), "coded")
+    sample = coded.collect()  # the bounded sample, in term numbers
     held = [(r.doc_id, float(r.y), np.array(r.terms), np.array(r.counts)) for r in sample if r.terms]
     bare = [r.y for r in sample if not r.terms]
     prior = (pos + 0.5) / (pos + neg + 1)
     no_terms = (sum(bare) + prior) / (len(bare) + 1) if terms else prior
     index = Index.build(idf, held)
-    votes, truth = [], []
-    for d, y, t, c in held:
-        vote, near, _ = index.vote(t, c, prior, but=d)
-        if len(near):
-            votes.append(vote)
-            truth.append(y)
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and the chosen terms
+
+    def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for d, y, t, c in zip(*(b.column(n).to_pylist() for n in ("doc_id", "y", "terms", "counts"))):
+                vote, near, _ = shared.value.vote(np.array(t), np.array(c), prior, but=d)
+                if len(near):
+                    out.append((vote, float(y)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.float64())], ["vote", "y"])
+
+    own = coded.filter(F.size("terms") > 0).repartition(shuffle_partitions(docs)).mapInArrow(without_itself, "vote double, y double").collect()
+    votes, truth = [r.vote for r in own], [r.y for r in own]
     order = np.argsort(votes, kind="stable")
     votes, truth = np.array(votes)[order], np.array(truth)[order]
     if len(votes):
