@@ -148,10 +148,9 @@ SQL["average_cost_ledger"] = (
     f"SELECT symbol, {stamp('b.ts')} AS ts, sig AS signal, {cut_sql('cost / nullif(n, 0)')} AS average_cost FROM r JOIN b USING (symbol, seq)")
 SQL["scale_in_ledger"] = (
     f"WITH RECURSIVE {numbered('flag_daily')}, r(symbol, seq, n, cost, sig) AS (SELECT symbol, seq, 0.1::DOUBLE, 0.1::DOUBLE * close, 1 FROM b WHERE seq = 0 UNION ALL "
-    f"SELECT symbol, seq, CASE WHEN buy THEN n + 0.1::DOUBLE WHEN sell THEN 0 ELSE n END, CASE WHEN buy THEN cost + 0.1::DOUBLE * c WHEN sell THEN 0 ELSE cost END, "
-    f"CASE WHEN buy THEN 1 WHEN sell THEN -1 ELSE 0 END FROM (SELECT b.symbol, b.seq, r.n, r.cost, b.close AS c, "
-    f"r.n = 0 OR (r.n < 1.0::DOUBLE - 1e-9::DOUBLE AND b.close < r.cost / nullif(r.n, 0) * (1 - 0.02::DOUBLE)) AS buy, "
-    f"coalesce(r.n <> 0 AND b.close > r.cost / nullif(r.n, 0) * (1 + 0.02::DOUBLE), FALSE) AS sell FROM r JOIN b ON b.symbol = r.symbol AND b.seq = r.seq + 1)) "
+    f"SELECT symbol, seq, CASE WHEN buy THEN n + 0.1::DOUBLE ELSE n END, CASE WHEN buy THEN cost + 0.1::DOUBLE * c ELSE cost END, buy::INTEGER "
+    f"FROM (SELECT b.symbol, b.seq, r.n, r.cost, b.close AS c, (r.cost / r.n - b.close) / (r.cost / r.n) >= 0.02::DOUBLE AS buy "
+    f"FROM r JOIN b ON b.symbol = r.symbol AND b.seq = r.seq + 1)) "
     f"SELECT symbol, {stamp('b.ts')} AS ts, sig AS signal, {cut_sql('cost / nullif(n, 0)')} AS average_cost FROM r JOIN b USING (symbol, seq)")
 SQL["martingale_ledger"] = (
     f"WITH RECURSIVE {numbered('flag_daily')}, r(symbol, seq, size, run, p, pnl) AS (SELECT symbol, seq, 1.0::DOUBLE, 0.0::DOUBLE, close, 0.0::DOUBLE FROM b WHERE seq = 0 UNION ALL "

@@ -257,6 +257,8 @@ def roll(fn, x, n, need=None, hi=0, y=None, p=None):
 
     Null until ``need`` (default ``n``) non-null values are in the frame.
     """
+    if fn in BLOCKWISE and n >= LONG_FRAME and hi == 0 and need in (None, n):
+        return _from_blocks(fn, ex(x), n)
     args = [fn, hi - n + 1, hi, n if need is None else need, ex(x)]
     if y is not None:
         args.append(ex(y))
@@ -265,6 +267,33 @@ def roll(fn, x, n, need=None, hi=0, y=None, p=None):
     return Expr("roll", *args)
 
 
+LONG_FRAME = 40
+BLOCKWISE = {"max", "min", "sum", "avg"}
+
+
+def _from_blocks(fn, x, n):
+    """A long frame as a few lagged short ones: work per bar grows with the root of n, not with n."""
+    b = max(2, math.isqrt(n))
+    if fn in ("max", "min"):
+        part = roll(fn, x, b)
+        parts = [lag(part, min(k, n - b)) for k in range(0, n, b)]
+        whole = (greatest if fn == "max" else least)(*parts)
+        missing = isnull(parts[0])
+        for p in parts[1:]:
+            missing = missing | isnull(p)
+        out = when(missing, None, otherwise=whole)
+    else:
+        part = roll("sum", x, b)
+        out = part
+        for k in range(b, n - b + 1, b):
+            out = out + lag(part, k)
+        rest = n % b
+        if rest:
+            out = out + lag(roll("sum", x, rest), n - rest)
+        out = out / float(n) if fn == "avg" else out
+    return out if x.lead is None else known(out, x.lead + n - 1)
+
+
 def sma(x, n, need=None):
     return roll("avg", x, n, need)
 

@@ -214,15 +214,13 @@ def double_down(laid: Laid, stake: float = 1.0, keep=None) -> DataFrame:
 
 
 def _scale_in_step(state, x, amount, drop):
-    """size, cost: add a slice at each ``drop`` under the running average entry, up to a full position"""
+    """size, cost: add a slice whenever the price is ``drop`` or more under the average entry"""
     size, cost = state
     sig = np.zeros(len(x["close"]))
     avg = np.full(len(sig), NAN)
     for i, p in enumerate(x["close"].tolist()):
-        if size == 0 or (size < 1.0 - 1e-9 and p < cost / size * (1 - drop)):
+        if size == 0 or (cost / size - p) / (cost / size) >= drop:
             size, cost, sig[i] = size + amount, cost + amount * p, 1.0
-        elif size and p > cost / size * (1 + drop):
-            size, cost, sig[i] = 0.0, 0.0, -1.0
         avg[i] = cost / size if size else NAN
     return [size, cost], {"signal": sig, "average_cost": avg}
 
