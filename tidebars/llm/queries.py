@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, jaccard_join, mixing, near_vectors, quality, spotsigs, substring_sort, substring_tree, token_counts, toxicity
+from tidebars.llm import bpe, jaccard_join, mixing, near_vectors, quality, spotsigs, sql, substring_sort, substring_tree, token_counts, toxicity
 from tidebars.llm.textkit import documents, shared_folder
 
 
@@ -82,4 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_sort": op10_substring_sort,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_jaccard_join": sql.component_ids(width=3, percent=90),
+    "op9_substring_tree": sql.removed_words(window=13),
+    "op10_substring_sort": sql.removed_bytes(window=200),
+}
