@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.plans.layout import forget
+
 #: A word is a run of characters other than these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
@@ -154,4 +156,5 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and is computed once."""
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
+    forget(df.sparkSession, folder)
     return df.sparkSession.read.parquet(folder)
