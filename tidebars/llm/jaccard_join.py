@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from tidebars.llm.graph import components
 from tidebars.llm.textkit import Rolling, byte_values, flat_text, mix, row_key, settle, shuffle_partitions, slices, spread, word_spans
 
-#: Groups of a point; the tree's boxes have COARSE coordinates, sums of as many groups each.
+#: Groups of a point; points in cells have SMALL coordinates and the tree's boxes COARSE, sums of as many groups each.
 DIMENSIONS = 256
+SMALL = 128
 COARSE = 16
 LEAF = 32
 FAN = 8
@@ -112,12 +113,20 @@ def points(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _blob(point: np.ndarray) -> bytes:
-    return point.astype(np.uint16 if point.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+    most = point.max(initial=0)
+    return point.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
 
 
-def _points(blobs: list[bytes]) -> np.ndarray:
-    wide = [np.frombuffer(b, np.uint16 if len(b) == 2 * DIMENSIONS else np.uint32) for b in blobs]
-    return np.stack(wide).astype(np.int32) if wide else np.zeros((0, DIMENSIONS), np.int32)
+def _points(blobs: list[bytes], size: int = DIMENSIONS) -> np.ndarray:
+    kinds = {size: np.uint8, 2 * size: np.uint16, 4 * size: np.uint32}
+    wide = [np.frombuffer(b, kinds[len(b)]) for b in blobs]
+    return np.stack(wide).astype(np.int32) if wide else np.zeros((0, size), np.int32)
+
+
+def _folded(vectors: np.ndarray, size: int) -> np.ndarray:
+    """Points of fewer coordinates: sums of neighbouring groups."""
+    width = vectors.shape[1] // size
+    return vectors.reshape(len(vectors), size, width).sum(axis=2) if width > 1 else vectors
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -130,7 +139,7 @@ class CountTree:
 
     def __init__(self, vectors: np.ndarray):
         self.points, self.sizes = vectors, vectors.sum(axis=1)
-        coarse = self._folded(vectors)
+        coarse = _folded(vectors, COARSE)
         self.folded, self.order = coarse, self._packed(coarse)
         top, least = coarse[self.order], self.sizes[self.order]
         self.levels = []
@@ -143,11 +152,6 @@ class CountTree:
                 break
             size = FAN
 
-    @staticmethod
-    def _folded(vectors: np.ndarray) -> np.ndarray:
-        width = vectors.shape[1] // COARSE
-        return vectors.reshape(len(vectors), COARSE, width).sum(axis=2) if width > 1 else vectors
-
     @staticmethod
     def _packed(vectors: np.ndarray) -> np.ndarray:
         out, todo = [], [np.argsort(vectors.sum(axis=1), kind="stable")]
@@ -164,7 +168,7 @@ class CountTree:
 
     def search(self, queries: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(queries, points) that the bound does not rule out, in blocks of queries."""
-        sizes, coarse = queries.sum(axis=1), self._folded(queries)
+        sizes, coarse = queries.sum(axis=1), _folded(queries, COARSE)
         for begin in range(0, len(queries), 256):
             q = np.arange(begin, min(begin + 256, len(queries)))
             top, least, _ = self.levels[-1]
@@ -247,7 +251,7 @@ def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFram
 
 
 def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """name, hashes (ordered blob), point of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
+    """name, hashes (ordered blob), point and its sums (small) of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # equal rows have one name and come to one task
@@ -257,9 +261,9 @@ def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
                 cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 vectors = points(hashes, owner, part.num_rows)
                 fresh = [(i, n) for i, n in enumerate(part.column("name").to_pylist()) if n not in done and not done.add(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i, _ in fresh], pa.binary()), pa.array([_blob(vectors[i]) for i, _ in fresh], pa.binary())], ["name", "hashes", "point"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i, _ in fresh], pa.binary()), *(pa.array([_blob(p[i]) for i, _ in fresh], pa.binary()) for p in (vectors, _folded(vectors, SMALL)))], ["name", "hashes", "point", "small"])
 
-    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary, point binary")
+    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary, point binary, small binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,16 +283,16 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _bounded(pairs: DataFrame, boxes: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, boxes: DataFrame, percent: int, column: str = "point", size: int = DIMENSIONS) -> DataFrame:
     """Those of pairs(a, b) whose points do not rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (_points(batch.column(c).to_pylist()) for c in ("p", "q"))
+            x, y = (_points(batch.column(c).to_pylist(), size) for c in ("p", "q"))
             keep = pa.array(np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    both = pairs.join(boxes.select(F.col("name").alias("a"), F.col("point").alias("p")), "a").join(boxes.select(F.col("name").alias("b"), F.col("point").alias("q")), "b")
+    both = pairs.join(boxes.select(F.col("name").alias("a"), F.col(column).alias("p")), "a").join(boxes.select(F.col("name").alias("b"), F.col(column).alias("q")), "b")
     return both.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -296,14 +300,14 @@ def _across(cells: DataFrame, roots: DataFrame, boxes: DataFrame, percent: int)
     """a, b of different components in cells(cell, chunk, member) that hold several, by trees over blocks of the cells."""
     member = cells.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
     split = member.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("chunk").alias("chunks")).filter("lo != hi").select("cell", "chunks")
-    open_ = settle(member.join(split, "cell").join(boxes.withColumnRenamed("name", "member"), "member").select("cell", "chunk", "chunks", "member", "root", "point"), "open")
+    open_ = member.join(split, "cell").join(boxes.select(F.col("name").alias("member"), F.col("small").alias("point")), "member")
     # Block (i, j), i <= j, of a cell compares its chunks i and j; chunk c belongs to the blocks (i, c) and (c, j).
     blocks = F.transform(F.sequence(F.lit(0), F.col("chunks")), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
     dealt = open_.withColumn("block", F.explode(blocks)).select("cell", "block.i", "block.j", "chunk", "member", "root", "point")
 
     def search(table: pa.Table) -> pa.Table:
         chunk, name, root = (table.column(c).to_numpy() for c in ("chunk", "member", "root"))
-        vectors = _points(table.column("point").to_pylist())
+        vectors = _points(table.column("point").to_pylist(), SMALL)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
         found = [np.zeros((0, 2), np.int64)]
@@ -327,16 +331,16 @@ def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     names = single.select(F.col("member").alias("name")).distinct()
     source = described.join(names, "name", "left_semi").groupBy("name").agg(F.min("at").alias("at"))
     found = settle(sets_of(df, source, width), "sets")
-    boxes = found.select("name", "point")
+    boxes = found.select("name", "point", "small")
     # The member that meets most others (an original among its edits) is the centre of each of its cells, so the cells of
     # a family mostly propose the same pairs, and pairs that link.
     crowd = single.groupBy("cell").agg(F.count("*").alias("held"))
     score = single.join(crowd, "cell").groupBy("member").agg(F.sum("held").alias("score"))
     first = single.join(score, "member").groupBy("cell").agg(F.max(F.struct("score", "member")).alias("first"))
     stars = single.join(first.select("cell", F.col("first.member").alias("a")), "cell").filter("a != member").select("a", F.col("member").alias("b")).distinct()
-    links = settle(verified(_bounded(stars, boxes, percent), found, percent), "links")
+    links = settle(verified(_bounded(stars, boxes, percent, "small", SMALL), found, percent), "links")
     roots = components(links)
-    more = settle(verified(_across(single, roots, boxes, percent), found, percent), "links")
+    more = settle(verified(_bounded(_across(single, roots, boxes, percent), boxes, percent), found, percent), "links")
     if more.head(1):
         roots = components(links.unionByName(more))
     return described.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("at", "doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))
