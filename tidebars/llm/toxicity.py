@@ -35,6 +35,8 @@ from tidebars.llm.textkit import settle, shuffle_partitions, slices, spread
 MOST_TOXIC, MOST_CLEAN = 8192, 16384
 MOST_TERMS = 4096
 LEAST_CHI2 = 40.0
+#: With many examples a slight difference is sure too; a telling term is so many times as frequent in toxic ones.
+LEAST_LIFT = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
 PRIOR_VOTES = 0.05
@@ -182,7 +184,7 @@ def choose_terms(examples: DataFrame) -> tuple[list[str], int, int]:
     a, b, n = F.col("a"), F.col("b"), pos + neg
     cross = (a * neg - b * pos).cast("double")
     chi2 = F.lit(float(n)) * cross * cross / (F.lit(float(pos)) * neg * (a + b) * (n - a - b))
-    chosen = table.filter((cross > 0) & (a >= 2) & (a + b < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS)
+    chosen = table.filter((a * neg >= F.lit(LEAST_LIFT) * b * pos) & (cross > 0) & (a >= 2) & (a + b < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS)
     return [r.term for r in chosen.collect()], pos, neg
 
 
