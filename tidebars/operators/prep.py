@@ -126,17 +126,18 @@ LAGS = {"train": [1, 2, 3, 5, 10], "buy": [61, 93, 64, 60, 77], "sell": [70, 24,
 
 
 def lag_matrix(columns: dict[str, Expr], target: str, lags=None) -> dict[str, Expr]:
-    """Every column at every lag, plus mean and sample deviation of the target's lags."""
+    """Every column at every lag, plus mean and sample deviation of those lags of the target that exist."""
     lags = list(lags or LAGS["train"])
     out = {f"{n}_lag_{k}": lag(x, k) for n, x in columns.items() for k in lags}
     ts = [lag(columns[target], k) for k in lags]
-    n = float(len(ts))
-    mean = sum(ts[1:], start=ts[0]) / n
-    from tidebars.functions.expr import sqrtx
+    from tidebars.functions.expr import fill0, isnull, sqrtx
 
-    var = sum(((t - mean) * (t - mean) for t in ts[1:]), start=(ts[0] - mean) * (ts[0] - mean)) / (n - 1.0)
+    there = [when(isnull(t), 0.0, otherwise=1.0) for t in ts]
+    n = sum(there[1:], start=there[0])
+    mean = sum((fill0(t) for t in ts[1:]), start=fill0(ts[0])) / n
+    off = [fill0((t - mean) * (t - mean)) for t in ts]
     out[f"{target}_lag_mean"] = mean
-    out[f"{target}_lag_std"] = sqrtx(var)
+    out[f"{target}_lag_std"] = when(n > 1.0, sqrtx(sum(off[1:], start=off[0]) / (n - 1.0)), otherwise=None)
     return out
 
 

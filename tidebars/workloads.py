@@ -318,14 +318,6 @@ def winsor_rank_log(spark, sf):
     return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], ["volume_log", "volume_winsor", "volume_rank"], 5)
 
 
-def lag_matrix(spark, sf):
-    from tidebars.functions.expr import H, L, O, V
-
-    feats = prep.lag_matrix({"close": C, "open": O, "high": H, "low": L, "volume": V, "mean14": sma(C, 14), "rsi14": rsi(14)}, "close")
-    d = add_features(shelf(spark, sf, "flag_daily"), feats, ["symbol", "ts"])
-    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], list(feats))
-
-
 def robust_scale(spark, sf):
     laid = shelf(spark, sf, "flag_daily")
     d = prep.robust_scale(laid.df, ["close", "volume"], prep.chronological_split(0.8))
