@@ -190,19 +190,20 @@ class CountTree:
 
 
 def describe(df: DataFrame, width: int) -> DataFrame:
-    """at, doc_id, n_shingles, name of every row of df(at, doc_id, text)."""
+    """at, doc_id, n_shingles, name, point and its sums (small) of every row of df(at, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 hashes, owner = shingles(*flat_text(part.column("text")), width)
                 n = part.num_rows
+                vectors = points(hashes, owner, n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("at"), part.column("doc_id"), pa.array(np.bincount(owner, minlength=n), pa.int64()), pa.array(_names(hashes, owner, n))],
-                    ["at", "doc_id", "n_shingles", "name"],
+                    [part.column("at"), part.column("doc_id"), pa.array(np.bincount(owner, minlength=n), pa.int64()), pa.array(_names(hashes, owner, n)), *(pa.array([_blob(v) for v in p], pa.binary()) for p in (vectors, _folded(vectors, SMALL)))],
+                    ["at", "doc_id", "n_shingles", "name", "point", "small"],
                 )
 
-    return df.select("at", "doc_id", "text").mapInArrow(run, "at bigint, doc_id bigint, n_shingles bigint, name bigint")
+    return df.select("at", "doc_id", "text").mapInArrow(run, "at bigint, doc_id bigint, n_shingles bigint, name bigint, point binary, small binary")
 
 
 def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
@@ -251,7 +252,7 @@ def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFram
 
 
 def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """name, hashes (ordered blob), point and its sums (small) of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
+    """name, hashes (ordered blob) of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # equal rows have one name and come to one task
@@ -259,15 +260,17 @@ def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
             for part in slices(batch):
                 hashes, owner = shingles(*flat_text(part.column("text")), width)
                 cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                vectors = points(hashes, owner, part.num_rows)
                 fresh = [(i, n) for i, n in enumerate(part.column("name").to_pylist()) if n not in done and not done.add(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i, _ in fresh], pa.binary()), *(pa.array([_blob(p[i]) for i, _ in fresh], pa.binary()) for p in (vectors, _folded(vectors, SMALL)))], ["name", "hashes", "point", "small"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i, _ in fresh], pa.binary())], ["name", "hashes"])
 
-    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary, point binary, small binary")
+    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that link."""
+def verified(pairs: DataFrame, df: DataFrame, boxes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of pairs(a, b) that link; only sets that stand in a pair are made and moved."""
+    pairs = settle(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    sets = settle(sets_of(df, boxes.select("name", "at").join(ends, "name", "left_semi"), width), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,18 +332,17 @@ def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     cells = settle(shared_cells(df, width, percent, rows), "cells")
     single = cells.select("cell", "chunk", F.explode("members").alias("member"))
     names = single.select(F.col("member").alias("name")).distinct()
-    source = described.join(names, "name", "left_semi").groupBy("name").agg(F.min("at").alias("at"))
-    found = settle(sets_of(df, source, width), "sets")
-    boxes = found.select("name", "point", "small")
+    same = F.min(F.struct("at", "point", "small")).alias("one")
+    boxes = settle(described.join(names, "name", "left_semi").groupBy("name").agg(same).select("name", "one.*"), "boxes")
     # The member that meets most others (an original among its edits) is the centre of each of its cells, so the cells of
     # a family mostly propose the same pairs, and pairs that link.
     crowd = single.groupBy("cell").agg(F.count("*").alias("held"))
     score = single.join(crowd, "cell").groupBy("member").agg(F.sum("held").alias("score"))
     first = single.join(score, "member").groupBy("cell").agg(F.max(F.struct("score", "member")).alias("first"))
     stars = single.join(first.select("cell", F.col("first.member").alias("a")), "cell").filter("a != member").select("a", F.col("member").alias("b")).distinct()
-    links = settle(verified(_bounded(stars, boxes, percent, "small", SMALL), found, percent), "links")
+    links = settle(verified(_bounded(stars, boxes, percent, "small", SMALL), df, boxes, width, percent), "links")
     roots = components(links)
-    more = settle(verified(_bounded(_across(single, roots, boxes, percent), boxes, percent), found, percent), "links")
+    more = settle(verified(_bounded(_across(single, roots, boxes, percent), boxes, percent), df, boxes, width, percent), "links")
     if more.head(1):
         roots = components(links.unionByName(more))
     return described.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("at", "doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))
