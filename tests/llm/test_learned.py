@@ -180,3 +180,16 @@ def test_no_vectors(spark):
     assert near_vectors.near_groups(none).count() == 0
     bad = spark.createDataFrame([(1, None, 1), (2, [0.0], 1), (None, [1.0], 1)], "vec_id bigint, embedding array<float>, label int")
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_vectors.near_groups(bad).collect()) == [("1", 0, "1", True), ("2", 0, "2", True), ("None", 0, "None", False)]
+
+
+def test_every_term_of_the_examples_counts(spark):
+    # Two words in two of 40 toxic examples each: far below any floor of chi-square, but the only ones that tell.
+    rare = [f"{a}{b}" for a in "qrstuvwxyz" for b in ("onk", "urp")]
+    rows = [(i, f"{rare[i % 20]} plain talk here {VOCAB[300 + i // 20]}", 1) for i in range(40)] + [(100 + i, f"plain talk {w} here", 0) for i, w in enumerate(VOCAB[:200])]
+    new = [(1000 + i, f"here {w} talk") for i, w in enumerate(rare)] + [(2000, "here talk plain"), (2001, "unheard")]
+    docs = spark.createDataFrame([r[:2] for r in rows] + new, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_documents(docs, labels, "toxic", F.lit(True)).collect()}
+    for i in range(20):
+        assert {i, i + 20} == set(got[1000 + i].near_ids[:2]) and got[1000 + i].score > 0.5
+    assert len(got[2000].near_ids) == 15 and not got[2001].near_ids

@@ -1,19 +1,25 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
+"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine through an inverted index with bounds.
 
 Terms are words (letters only, case aside) and their first four and five letters.
-From a bounded sample of labelled documents the terms that go with the label are
-chosen by a chi-square test; their document frequencies are counted over all
-documents.  The examples that hold such terms form the index: postings in blocks
-of examples, each with its largest weight.  A document takes blocks in the order
-of their bounds and stops when no block left can reach its k-th neighbour, so
-its neighbours are exact.  Votes weigh with cosine; a step function fitted on
-the examples' own leave-one-out votes turns them into probabilities.
-
-A document without any chosen term has no neighbours and gets the smoothed share
-of toxic examples among those like it.  Null text is empty.  Without examples of
-both kinds every score is the smoothed share of the label.  Repeated rows give
-repeated results; a document with two labels is an example for each; extra
-columns are ignored.
+All terms of a bounded sample of labelled documents are indexed; none is left out.
+Document frequencies are counted over all documents.  A term weighs its inverse
+document frequency times one plus the root of its chi-square with the label, so
+telling terms weigh more and no term weighs nothing.  Terms that no example holds
+meet none; lengths of vectors are over the terms of the examples.
+
+Rare terms have postings, which are added up in full.  What the frequent terms can
+add to an example is bounded twice, by its block's largest weights and by the
+lengths of both vectors (Cauchy-Schwarz); only examples whose bound reaches the
+k-th neighbour are completed, so neighbours are exact.  Votes weigh with cosine;
+a step function fitted on the examples' own leave-one-out votes turns them into
+probabilities.
+
+A document that shares no term with an example has no neighbours and gets the
+smoothed share of toxic examples among those whose own votes are not over the prior.
+Null text is empty.
+Without examples of both kinds every score is the smoothed share of the label.
+Repeated rows give repeated results; a document with two labels is an example for
+each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +40,15 @@ from tidebars.llm.textkit import settle, shuffle_partitions, slices, spread
 
 #: At most so many examples of each label are learned from (those with the least hashes of their ids).
 MOST_TOXIC, MOST_CLEAN = 8192, 16384
-MOST_TERMS = 4096
-LEAST_CHI2 = 40.0
-#: With many examples a slight difference is sure too; a telling term is so many times as frequent in toxic ones.
-LEAST_LIFT = 4.0
 NEIGHBOURS = 15
 BLOCK = 64
+#: A term that more than this share of the examples hold is frequent.
+OFTEN = 0.3
+#: So many examples are completed first, to learn what the k-th neighbour must reach.
+FIRST = 64
+ROUNDING = 1e-9
+#: Words whose terms a task remembers.
+KNOWN_WORDS = 200_000
 PRIOR_VOTES = 0.05
 PREFIXES = (4, 5)
 
@@ -56,95 +66,104 @@ def all_terms(words: list[str]) -> set[str]:
 
 
 class Vocabulary:
-    """Chosen terms by number, found in a list of words."""
+    """Terms by number, found in a list of words."""
 
     def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.whole = {t: i for t, i in self.number.items() if not t.endswith("*")}
-        self.prefix = [(n, {t[:-1]: i for t, i in self.number.items() if t.endswith("*") and len(t) == n + 1}) for n in PREFIXES]
+        number = {t: i for i, t in enumerate(terms)}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.whole = {t: i for t, i in number.items() if not t.endswith("*")}
+        self.prefix = [(n, {t[:-1]: i for t, i in number.items() if t.endswith("*") and len(t) == n + 1}) for n in PREFIXES]
+
+    def _of(self, word: str) -> tuple[int, ...]:
+        if len(self.known) >= KNOWN_WORDS:
+            self.known.clear()
+        heads = [i for n, found in self.prefix if len(word) > n and (i := found.get(word[:n])) is not None]
+        self.known[word] = out = (*heads, self.whole[word]) if word in self.whole else tuple(heads)
+        return out
 
     def counts(self, words: list[str]) -> dict[int, int]:
-        out: Counter[int] = Counter()
-        distinct = set(words)
-        found = [(w, [i]) for w in distinct & self.whole.keys() for i in (self.whole[w],)]
-        for n, heads in self.prefix:
-            if heads:
-                found += [(w, [heads[w[:n]]]) for w in distinct if w[:n] in heads and len(w) > n]
-        if found:
-            total = Counter(words)
-            for w, ids in found:
-                for i in ids:
-                    out[i] += total[w]
+        out: dict[int, int] = {}
+        known = self.known
+        for w, n in Counter(words).items():
+            ids = known.get(w)
+            for i in self._of(w) if ids is None else ids:
+                out[i] = out.get(i, 0) + n
         return out
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples as postings in blocks."""
+    """Unit vectors of the examples: postings of rare terms, rows and block maxima of frequent ones."""
 
     idf: np.ndarray
     doc: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     label: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    starts: dict = field(default_factory=dict)  # (term) -> arrays (blocks, largest weight, first posting, last)
-    post_doc: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    post_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    blocks: int = 0
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w**2).sum())
+        return w / np.sqrt((w**2).sum()) if len(w) else w
 
     @staticmethod
     def build(idf: np.ndarray, docs: list[tuple[int, float, np.ndarray, np.ndarray]]) -> Index:
         index = Index(idf)
         # Examples with the same leading terms share blocks, which keeps bounds tight.
         made = [(d, y, t, index.vector(t, c)) for d, y, t, c in docs]
-        made.sort(key=lambda m: (m[2][np.argsort(-m[3], kind="stable")].tolist(), m[0]))
+        made.sort(key=lambda m: (m[2][np.argsort(-m[3], kind="stable")[:8]].tolist(), m[0]))
         index.doc = np.array([m[0] for m in made], np.int64)
         index.label = np.array([m[1] for m in made], float)
-        index.blocks = -(-len(made) // BLOCK)
         if not made:
             return index
-        term = np.concatenate([m[2] for m in made])
-        row = np.repeat(np.arange(len(made)), [len(m[2]) for m in made])
+        term = np.concatenate([m[2] for m in made]).astype(np.int32)
+        row = np.repeat(np.arange(len(made), dtype=np.int32), [len(m[2]) for m in made])
         weight = np.concatenate([m[3] for m in made])
-        order = np.lexsort((row, term))
-        term, index.post_doc, index.post_weight = term[order], row[order], weight[order]
-        block = index.post_doc // BLOCK
-        cut = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])])
-        most = np.maximum.reduceat(index.post_weight, cut)
-        stop = np.r_[cut[1:], len(term)]
-        head = np.flatnonzero(np.r_[True, np.diff(term[cut]) != 0])
-        for a, b in zip(head, np.r_[head[1:], len(cut)]):
-            index.starts[int(term[cut[a]])] = (block[cut[a:b]], most[a:b], cut[a:b], stop[a:b])
+        held = np.bincount(term, minlength=len(idf))
+        often = held > OFTEN * len(made)
+        index.slot = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        mine = often[term]
+        index.row_term, index.row_weight = index.slot[term[mine]], weight[mine]
+        index.row_start = np.r_[0, np.cumsum(np.bincount(row[mine], minlength=len(made)))]
+        index.length = np.sqrt(np.bincount(row[mine], weights=index.row_weight**2, minlength=len(made)))
+        index.most = np.zeros((int(often.sum()), -(-len(made) // BLOCK)))
+        np.maximum.at(index.most, (index.row_term, row[mine] // BLOCK), index.row_weight)
+        rare = np.flatnonzero(~mine)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        index.post_doc, index.post_weight = row[rare], weight[rare]
+        index.start = np.r_[0, np.cumsum(np.where(often, 0, held))]
         return index
 
+    def _frequent(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """What the frequent terms add to the cosines of some examples."""
+        sizes = self.row_start[rows + 1] - self.row_start[rows]
+        at = spread(self.row_start[rows], sizes)
+        return np.bincount(np.repeat(np.arange(len(rows)), sizes), weights=query[self.row_term[at]] * self.row_weight[at], minlength=len(rows))
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines of the k nearest that share a term (ties: lower number); `but` is left out."""
-        mine = [(w, *self.starts[t]) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.starts]
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        if not mine:
-            return best, cosine
-        block, first, last = (np.concatenate([m[i] for m in mine]) for i in (1, 3, 4))
-        weight = np.repeat([m[0] for m in mine], [len(m[1]) for m in mine])
-        bound = np.bincount(block, weights=weight * np.concatenate([m[2] for m in mine]), minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
-        at, step = 0, 4
-        while at < len(order) and not (len(cosine) == k and bound[order[at]] <= cosine[-1]):
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at : at + step]] = True
-            at, step = at + step, step * 2
-            part = chosen[block]
-            sizes = last[part] - first[part]
-            posting = spread(first[part], sizes)
-            score = np.bincount(self.post_doc[posting], weights=np.repeat(weight[part], sizes) * self.post_weight[posting], minlength=len(self.doc))
-            found = np.flatnonzero(score)
-            if but is not None:
-                found = found[self.doc[found] != but]
-            best, cosine = np.r_[best, found], np.r_[cosine, score[found]]
-            top = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[top], cosine[top]
-        return best, cosine
+        if not len(self.doc) or not len(terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        slot = self.slot[terms]
+        rare, often = slot < 0, slot >= 0
+        first = self.start[terms[rare]]
+        sizes = self.start[terms[rare] + 1] - first
+        posting = spread(first, sizes)
+        cosine = np.bincount(self.post_doc[posting], weights=np.repeat(weights[rare], sizes) * self.post_weight[posting], minlength=len(self.doc)).astype(float)
+        if but is not None:
+            cosine[self.doc == but] = -np.inf
+        if often.any():
+            query = np.zeros(len(self.most))
+            query[slot[often]] = weights[often]
+            blocks = np.repeat(weights[often] @ self.most[slot[often]], BLOCK)[: len(self.doc)]
+            upper = cosine + np.minimum(np.sqrt((weights[often] ** 2).sum()) * self.length, blocks)
+            some = np.argpartition(-upper, FIRST)[:FIRST] if len(upper) > FIRST else np.arange(len(upper))
+            full = np.sort(cosine[some] + self._frequent(some, query))[::-1]
+            least = max(0.0, full[k - 1]) if len(full) >= k else 0.0
+            found = np.flatnonzero(upper >= least - ROUNDING)
+            cosine = cosine[found] + self._frequent(found, query)
+        else:
+            found = np.arange(len(cosine))
+        found, cosine = found[cosine > 0], cosine[cosine > 0]
+        top = np.lexsort((found, -cosine))[:k]
+        return found[top], cosine[top]
 
     def vote(self, terms: np.ndarray, counts: np.ndarray, prior: float, but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
         near, cosine = self.nearest(terms, self.vector(terms, counts), NEIGHBOURS, but)
@@ -164,8 +183,8 @@ def examples_of(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
     return one.select("d.doc_id", "y", "d.text")
 
 
-def choose_terms(examples: DataFrame) -> tuple[list[str], int, int]:
-    """Terms that go with the label, and the numbers of toxic and clean examples."""
+def terms_of(examples: DataFrame) -> tuple[list[str], np.ndarray, int, int]:
+    """All terms of the examples, how telling each is (1 or more), and the numbers of toxic and clean examples."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,24 +198,44 @@ def choose_terms(examples: DataFrame) -> tuple[list[str], int, int]:
     sizes = {r.y: r["count"] for r in examples.groupBy("y").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
-        return [], pos, neg
-    table = examples.select("text", "y").mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b, n = F.col("a"), F.col("b"), pos + neg
-    cross = (a * neg - b * pos).cast("double")
-    chi2 = F.lit(float(n)) * cross * cross / (F.lit(float(pos)) * neg * (a + b) * (n - a - b))
-    chosen = table.filter((a * neg >= F.lit(LEAST_LIFT) * b * pos) & (cross > 0) & (a >= 2) & (a + b < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS)
-    return [r.term for r in chosen.collect()], pos, neg
+        return [], np.zeros(0), pos, neg
+    table = examples.select("text", "y").mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # bounded by the sample
+    terms = table.column("term").to_pylist()
+    order = sorted(range(len(terms)), key=terms.__getitem__)
+    a, b = (table.column(c).to_numpy()[order].astype(float) for c in ("a", "b"))
+    n = float(pos + neg)
+    spare = n - a - b
+    chi2 = np.where(spare > 0, n * (a * neg - b * pos) ** 2 / (float(pos) * neg * (a + b) * np.maximum(spare, 1)), 0.0)
+    return [terms[i] for i in order], 1 + np.sqrt(chi2), pos, neg
+
+
+def frequencies(docs: DataFrame, vocabulary: Broadcast[Vocabulary], size: int) -> tuple[np.ndarray, int]:
+    """In how many documents each term stands, and the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = np.zeros(size, np.int64), 0
+        for batch in batches:
+            for part in slices(batch):
+                rows += part.num_rows
+                for t in part.column("text").to_pylist():
+                    held[list(vocabulary.value.counts(words_of(t)))] += 1
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, held[some]])], ["term", "n"])
 
+    found = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row for each term
+    out = np.zeros(size + 1, np.int64)
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out[:size], int(out[size])
 
-def term_counts(docs: DataFrame, terms: list[str], keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, terms array<int>, counts array<int> (chosen terms only) of every row of docs."""
+
+def term_counts(docs: DataFrame, vocabulary: Broadcast[Vocabulary], keep: tuple[str, ...]) -> DataFrame:
+    """`keep`, terms array<int>, counts array<int> of every row of docs."""
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(terms)
         for batch in batches:
             for part in slices(batch):
-                found = [sorted(vocabulary.counts(words_of(t)).items()) for t in part.column("text").to_pylist()]
+                found = [sorted(vocabulary.value.counts(words_of(t)).items()) for t in part.column("text").to_pylist()]
                 columns = [pa.array([[f[k] for f in fs] for fs in found], pa.list_(pa.int32())) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, "terms", "counts"])
 
@@ -207,48 +246,43 @@ def term_counts(docs: DataFrame, terms: list[str], keep: tuple[str, ...]) -> Dat
 class Judge:
     index: Index
     prior: float
-    no_terms: float
+    alone: float
     edges: np.ndarray
     levels: np.ndarray
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(terms) or not len(self.index.doc):
-            return self.no_terms, np.zeros(0, np.int64), np.zeros(0)
         vote, near, cosine = self.index.vote(terms, counts, self.prior)
-        if not len(near):
-            return self.no_terms, near, cosine
-        return float(np.interp(vote, self.edges, self.levels)), near, cosine
+        return float(np.interp(vote, self.edges, self.levels)) if len(near) else self.alone, near, cosine
+
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in column]
 
-def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: DataFrame | None = None) -> tuple[Judge, DataFrame, list[str]]:
-    """The judge, doc_id/terms/counts of all documents, and the chosen terms."""
+
+def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> tuple[Judge, Broadcast[Vocabulary]]:
+    """The judge, and the terms of the examples."""
+    context = docs.sparkSession.sparkContext
     examples = settle(examples_of(docs, labels, label, learn), "examples")
-    terms, pos, neg = choose_terms(examples)
-    counted = settle(term_counts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), terms, ("doc_id",)), "terms")
-    total = counted.count()
-    frequency = np.zeros(len(terms))
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row for each chosen term
-        frequency[r.t] = r["count"]
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-    coded = settle(term_counts(examples, terms, ("doc_id", "y")), "coded")
-    sample = coded.collect()  # the bounded sample, in term numbers
-    held = [(r.doc_id, float(r.y), np.array(r.terms), np.array(r.counts)) for r in sample if r.terms]
-    bare = [r.y for r in sample if not r.terms]
+    terms, telling, pos, neg = terms_of(examples)
+    vocabulary = context.broadcast(Vocabulary(terms))  # bounded by the sample
+    frequency, total = frequencies(docs, vocabulary, len(terms)) if terms else (np.zeros(0), 0)
+    weight = telling * (np.log((1 + total) / (1 + frequency)) + 1)
+    coded = settle(term_counts(examples, vocabulary, ("doc_id", "y")), "coded")
+    sample = coded.toArrow()  # the bounded sample, in term numbers
+    rows = list(zip(sample.column("doc_id").to_pylist(), sample.column("y").to_pylist(), _lists(sample.column("terms")), _lists(sample.column("counts"))))
+    held = [(d, float(y), t, c) for d, y, t, c in rows if len(t)]
     prior = (pos + 0.5) / (pos + neg + 1)
-    no_terms = (sum(bare) + prior) / (len(bare) + 1) if terms else prior
-    index = Index.build(idf, held)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample and the chosen terms
+    index = Index.build(weight, held)
+    shared = context.broadcast(index)  # bounded by the sample
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for d, y, t, c in zip(*(b.column(n).to_pylist() for n in ("doc_id", "y", "terms", "counts"))):
-                vote, near, _ = shared.value.vote(np.array(t), np.array(c), prior, but=d)
-                if len(near):
-                    out.append((vote, float(y)))
+                out.append((shared.value.vote(np.array(t, int), np.array(c, int), prior, but=d)[0], float(y)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.float64())], ["vote", "y"])
 
-    own = coded.filter(F.size("terms") > 0).repartition(shuffle_partitions(docs)).mapInArrow(without_itself, "vote double, y double").collect()
+    own = coded.repartition(shuffle_partitions(docs)).mapInArrow(without_itself, "vote double, y double").collect()
     votes, truth = [r.vote for r in own], [r.y for r in own]
     order = np.argsort(votes, kind="stable")
     votes, truth = np.array(votes)[order], np.array(truth)[order]
@@ -257,47 +291,44 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column, r
         edges, levels = isotonic(values, np.diff(np.r_[start, len(votes)]), np.add.reduceat(truth, start))
     else:
         edges, levels = np.array([prior]), np.array([prior])
-    return Judge(index, prior, no_terms, edges, levels), counted, terms
+    quiet = truth[votes <= prior]
+    return Judge(index, prior, float((quiet.sum() + prior) / (len(quiet) + 1)), edges, levels), vocabulary
 
 
-def apply_judge(counted: DataFrame, judge: Judge, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, score, and as evidence the nearest examples with their cosines."""
-    schema = ", ".join(f"`{c}` {counted.schema[c].dataType.simpleString()}" for c in keep)
-    shared = counted.sparkSession.sparkContext.broadcast(judge)  # bounded by the sample and the chosen terms
+def _judged(texts: list[str | None], judge: Judge, vocabulary: Vocabulary) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    found = [sorted(vocabulary.counts(words_of(t)).items()) for t in texts]
+    return [judge.score(np.array([f[0] for f in fs], int), np.array([f[1] for f in fs], int)) for fs in found]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for b in batches:
-            made = [own.score(np.array(t or [], int), np.array(c or [], int)) for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array([m[0] for m in made], pa.float64()), pa.array([own.index.doc[m[1]].tolist() for m in made], pa.list_(pa.int64())), pa.array([m[2].tolist() for m in made], pa.list_(pa.float64()))],
-                [*keep, "score", "near_ids", "near_cosines"],
-            )
 
-    return counted.select(*keep, "terms", "counts").mapInArrow(run, f"{schema}, score double, near_ids array<bigint>, near_cosines array<double>")
+def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """doc_id, score, and as evidence the nearest examples with their cosines, of every document."""
+    judge, vocabulary = learn_judge(docs, labels, label, learn)
+    shared = docs.sparkSession.sparkContext.broadcast(judge)  # bounded by the sample
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                made = _judged(part.column("text").to_pylist(), own, vocabulary.value)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([m[0] for m in made], pa.float64()), pa.array([own.index.doc[m[1]].tolist() for m in made], pa.list_(pa.int64())), pa.array([m[2].tolist() for m in made], pa.list_(pa.float64()))],
+                    ["doc_id", "score", "near_ids", "near_cosines"],
+                )
 
-def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """doc_id, score, near_ids, near_cosines of every document."""
-    judge, counted, _ = learn_judge(docs, labels, label, learn)
-    return apply_judge(counted, judge)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, score double, near_ids array<bigint>, near_cosines array<double>")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below `limit`, unchanged."""
-    judge, _, terms = learn_judge(docs, labels, label, learn)
-    shared = docs.sparkSession.sparkContext.broadcast(judge)  # bounded by the sample and the chosen terms
+    judge, vocabulary = learn_judge(docs, labels, label, learn)
+    shared = docs.sparkSession.sparkContext.broadcast(judge)  # bounded by the sample
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vocabulary = shared.value, Vocabulary(terms)
         for batch in batches:
             for part in slices(batch, text):
-                keep = []
-                for t in part.column(text).to_pylist():
-                    found = sorted(vocabulary.counts(words_of(t)).items())
-                    keep.append(own.score(np.array([f[0] for f in found], int), np.array([f[1] for f in found], int))[0] < limit)
+                keep = [m[0] < limit for m in _judged(part.column(text).to_pylist(), shared.value, vocabulary.value)]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     renamed = docs.toDF(*names)
