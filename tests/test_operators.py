@@ -177,3 +177,18 @@ def test_stream_drops_repeats_and_late_rows(spark, tmp_path):
     q.stop()
     d = spark.table("late_bars").filter(F.col("ts") == F.lit(t(0, 0))).toPandas()
     assert d[["open", "high", "low", "close", "volume"]].values.tolist() == [[1.0, 3.0, 1.0, 3.0, 2.0]]
+
+
+def test_cycle_period_is_the_strongest_bin_of_the_whole_spectrum(spark):
+    from tidebars.operators.sessions import cycle_signals
+
+    rnd, rows, want = np.random.default_rng(8), [], {}
+    for name, n, cycle in (("long", 997, 249), ("short", 1000, 2.5), ("walk", 641, None), ("odd", 7, 3), ("two", 2, 2)):
+        x = rnd.normal(size=n).cumsum() if cycle is None else 50 + 3 * np.sin(np.arange(n) * 2 * np.pi / cycle + 1) + rnd.normal(size=n) / 9
+        want[name] = int(np.round(n / (np.argmax(np.abs(np.fft.fft(x - x.mean())[1 : n // 2 + 1])) + 1)))
+        rows += [(name, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(x)]
+    assert want["long"] > 64 and want["short"] < 4
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
+    for chunk in (100, 5000):
+        got = {r.symbol: r.period for r in cycle_signals(lay_out(bars, chunk)).select("symbol", "period").distinct().collect()}
+        assert got == want
