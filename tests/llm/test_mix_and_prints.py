@@ -145,3 +145,23 @@ def test_near_pairs_equal_all_pairs(spark):
 def test_native_plan(spark, docs):
     plan = spotsigs.compare_edits(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+def test_one_rule_for_texts_and_runs_of_all_lengths(spark):
+    rnd, pairs = random.Random(9), []
+    word = lambda: "".join(rnd.choice("bcdfghklm") for _ in range(6))
+    for i in range(20):  # near copies on either side of 400 characters
+        words = ["the" if j % 7 == 0 else word() for j in range(62)]
+        pairs.append((" ".join(words), " ".join(words[:56])))
+    for i in range(20):  # runs between anchors of about 75 and 85 characters in long texts
+        runs = [[word() for _ in range(11)] for _ in range(12)]
+        pairs.append((" the ".join(" ".join(r) for r in runs), " the ".join(" ".join(r + [word()]) for r in runs)))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    df = spotsigs.with_signatures(spotsigs.with_signatures(df, "a", "sa"), "b", "sb")
+    got = {r.i: r for r in df.select("i", "sa", "sb", spotsigs.likeness(F.col("sa"), F.col("sb")).alias("near")).collect()}
+    assert all(len(a) > 400 > len(b) for a, b in pairs[:20]) and all(len(a) > 400 for a, _ in pairs[20:])
+    assert sum(got[i].near for i in range(20)) / 20 > 0.75
+    assert sum(got[i].near for i in range(20, 40)) / 20 > 0.6
+    assert all(set(got[i].sb) & set(got[i].sa) for i in got)
+    bare = spark.createDataFrame([("zebra",), ("zebra qux",), ("",)], "t string")
+    assert [len(r.s) for r in spotsigs.with_signatures(bare, "t", "s").collect()][::2] == [1, 0]

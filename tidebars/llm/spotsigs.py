@@ -1,7 +1,9 @@
 """Document fingerprints after SpotSigs, in DataFrame expressions only.
 
 A signature is a common word (the anchor) with the two content words that follow
-it; common words between them are skipped.  The set of a text's hashed
+it; common words between them are skipped.  Of the chains that begin at a content
+word those are signatures that their own hash chooses, so the rule is the same for
+texts of any length; a text without any signature is described by its words.  The set of a text's hashed
 signatures is its fingerprint.  Letters and digits make words, case aside; a text of
 fewer than two is described by what stands between white space, and one of white
 space only has an empty fingerprint.
@@ -28,9 +30,8 @@ ANCHORS = (
     "el en que los las una del",
 )
 CHAIN = 2
-#: Characters: texts and runs between anchors in which every word counts.
-SHORT_TEXT = 400
-BARE_RUN = 80
+#: One in so many of the chains that begin at a content word is a signature too.
+SHARE = 4
 #: What stands between words: ASCII other than letters and digits.
 OTHER = r"[^a-z0-9\x{80}-\x{10ffff}]+"
 ROWS_PER_RANGE = 4000
@@ -47,19 +48,18 @@ def _any_of(words: set[str]) -> str:
 def with_signatures(df: DataFrame, text: str, out: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
     """df and, in `out`, the sorted distinct signature hashes (array<int>) of column `text`.
 
-    Anchors are marked once; what follows looks for the mark.  In short texts, and in long runs without an anchor, every
-    word is one.  Each step is a column of its own, so that none is computed twice."""
+    Anchors are marked once; what follows looks for the mark.  Each step is a column of its own, so that none is computed twice."""
     marked, chains, raw = F.col("_marked"), F.col("_chains"), F.col(text)
+    bare = lambda found: F.filter(F.split(F.regexp_replace(F.array_join(found, "\x01"), " \x02[^ ]++", ""), "\x01"), lambda w: w != "")
     words = _any_of({w for line in anchors for w in line.split()})
     plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(raw), OTHER, " ")), F.lit(" "))
     df = df.withColumn("_marked", F.regexp_replace(plain, rf" ({words})(?= )", " \x02$1"))
     links = "(?:(?: \x02[^ ]++)*+ [^ \x02][^ ]*+)"
     spots = F.regexp_extract_all(marked, F.lit(f"(?=(\x02[^ ]++{links}{{1,{chain}}}))\x02"), F.lit(1))
-    rest = F.when(F.length(marked) < SHORT_TEXT, marked).otherwise(F.array_join(F.regexp_extract_all(marked, F.lit(f"[^\x02]{{{BARE_RUN},}}+"), F.lit(0)), "  "))
-    others = F.regexp_extract_all(rest, F.lit(f"(?<= )(?=([^ \x02][^ ]*+{links}{{1,{chain}}}))[^ ]"), F.lit(1))
-    df = df.withColumn("_chains", F.array_join(F.concat(spots, others), "\x01"))
+    others = F.regexp_extract_all(marked, F.lit(f"(?<= )(?=([^ \x02][^ ]*+{links}{{1,{chain}}}))[^ ]"), F.lit(1))
+    df = df.withColumn("_chains", F.concat(bare(spots), F.filter(bare(others), lambda w: F.pmod(F.hash(w), F.lit(SHARE)) == 0)))
     every = F.filter(F.split(F.when(F.trim(marked) == "", F.lower(raw)).otherwise(marked), r"\s+"), lambda w: w != "")
-    parts = F.when(chains != "", F.split(F.regexp_replace(chains, " \x02[^ ]++", ""), "\x01")).otherwise(every)
+    parts = F.when(F.size(chains) > 0, chains).otherwise(every)
     return df.withColumn(out, F.sort_array(F.array_distinct(F.transform(parts, lambda w: F.hash(w))))).drop("_marked", "_chains")
 
 
