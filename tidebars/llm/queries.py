@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, jaccard_join, mixing, near_vectors, quality, spotsigs, sql, substring_sort, substring_tree, token_counts, toxicity
+from tidebars.llm import bpe, jaccard_join, lexical_scan, merkle, mixing, near_vectors, phrase_index, quality, spotsigs, sql, substring_sort, substring_tree, token_counts, toxicity
 from tidebars.llm.textkit import documents, shared_folder
 
 
@@ -69,6 +69,23 @@ def op10_substring_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_sort.remove_repeats(documents(spark, sf_dir))
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.contamination(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_scan.rank(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(documents(spark, sf_dir), tampered, F.translate("text", "\n", ""))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -80,10 +97,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_tree": op9_substring_tree,
     "op10_substring_sort": op10_substring_sort,
+    "op11_phrase_index": op11_phrase_index,
+    "op12_lexical_scan": op12_lexical_scan,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
     "op8_jaccard_join": sql.component_ids(width=3, percent=90),
     "op9_substring_tree": sql.removed_words(window=13),
     "op10_substring_sort": sql.removed_bytes(window=200),
+    "op11_phrase_index": sql.contaminated(width=10),
+    "op12_lexical_scan": sql.ranked(best=20),
+    "op13_merkle": sql.manifest(fanout=3),
 }
