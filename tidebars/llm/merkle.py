@@ -16,6 +16,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.llm.textkit import settle, shuffle_partitions
+from tidebars.llm.textkit import settle, shuffle_partitions, slices
 
 FANOUT = 3
 #: A block holds FANOUT ** LEVELS leaves.
@@ -35,13 +36,26 @@ def digest(*parts: str) -> str:
     return sha256("".join(parts).encode()).hexdigest()
 
 
-def field(value: Column) -> Column:
-    value = value.cast("string")
-    return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value))
+def field(value: bytes | None) -> bytes:
+    return b"-" if value is None else b"%d:%s" % (len(value), value)
 
 
-def leaf_of(columns: dict[str, Column]) -> Column:
-    return F.sha2(F.concat(*(field(columns[c]) for c in FIELDS)), 256)
+def leaves_of(docs: DataFrame, tampered: Column, change: Callable[[str], str]) -> DataFrame:
+    """source, doc_id, leaf, and the leaf of the text as it was given (stored)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                raw = [[None if v is None else v.encode() for v in part.column(c).cast(pa.string()).to_pylist()] for c in FIELDS]
+                leaf, given = [], []
+                for *fields, text, odd in zip(*raw, part.column("tampered").to_pylist()):
+                    head = b"".join(map(field, fields))
+                    leaf.append(sha256(head + field(text)).hexdigest())
+                    given.append(sha256(head + field(change(text.decode()).encode())).hexdigest() if odd and text is not None else leaf[-1])
+                yield pa.RecordBatch.from_arrays([part.column("source"), part.column("doc_id"), pa.array(leaf), pa.array(given)], ["source", "doc_id", "leaf", "given"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in FIELDS[1:]), F.coalesce(tampered, F.lit(False)).alias("tampered"))
+    return settle(rows.mapInArrow(run, "source string, doc_id bigint, leaf string, given string"), "digests")
 
 
 def numbered_leaves(leaves: DataFrame) -> DataFrame:
@@ -187,12 +201,9 @@ def proofs(leaves: DataFrame, tops: DataFrame) -> DataFrame:
     return kept.groupBy(*keys).cogroup(tops.groupBy(*keys)).applyInArrow(run, "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 
-def manifest(docs: DataFrame, tampered: Column, change: Column) -> DataFrame:
-    """The manifest of docs, checked against texts that were changed to `change` where `tampered` holds."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *FIELDS[1:])
-    columns = {c: F.col(c) for c in FIELDS}
-    given = F.when(F.coalesce(tampered, F.lit(False)), leaf_of({**columns, "text": change})).otherwise(leaf_of(columns))
-    leaves = numbered_leaves(docs.select("source", "doc_id", leaf_of(columns).alias("leaf"), given.alias("given")))
+def manifest(docs: DataFrame, tampered: Column, change: Callable[[str], str]) -> DataFrame:
+    """The manifest of docs, checked against texts that `change` has altered where `tampered` holds (null: not)."""
+    leaves = numbered_leaves(leaves_of(docs, tampered, change))
     known = sources_of(leaves)
     same = F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.part") == F.col("r.part"))
     at = (F.col("before") + F.col("local")).cast("bigint")

@@ -83,7 +83,7 @@ def op12_lexical_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
-    return merkle.manifest(documents(spark, sf_dir), tampered, F.translate("text", "\n", ""))
+    return merkle.manifest(documents(spark, sf_dir), tampered, lambda text: text.replace("\n", ""))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
