@@ -62,29 +62,66 @@ def test_toxic_rows_go_and_others_stay(docs, labels):
     assert sorted(ids, key=str) == sorted(want, key=str)
 
 
-def test_nearest_equal_all_cosines():
+@pytest.mark.parametrize("often", [0, 7, 60])
+@pytest.mark.parametrize("many", [0, 1024])
+def test_nearest_equal_all_cosines(monkeypatch, often, many):
+    monkeypatch.setattr(toxicity, "OFTEN", often)
+    monkeypatch.setattr(toxicity, "MANY", many)
     rnd = np.random.default_rng(0)
     idf = rnd.uniform(1, 5, 60)
-    docs = []
-    for i in range(500):
-        t = np.sort(rnd.choice(60, rnd.integers(1, 9), replace=False))
-        docs.append((i, float(i % 3 == 0), t, rnd.integers(1, 5, len(t))))
-    index = toxicity.Index.build(idf, docs)
+    terms = [np.sort(rnd.choice(60, rnd.integers(1, 9), replace=False)) for _ in range(500)]
+    counts = [rnd.integers(1, 5, len(t)) for t in terms]
+    doc, label = np.arange(500) * 3, (np.arange(500) % 3 == 0).astype(float)
+    index = toxicity.Index.build(np.arange(60, dtype=np.uint64), idf, doc, label, np.array([len(t) for t in terms]), np.concatenate(terms), np.concatenate(counts))
+    assert sorted(index.doc) == doc.tolist()
     dense = np.zeros((500, 60))
     for row, d in enumerate(index.doc):
-        _, _, t, c = docs[d]
-        dense[row, t] = index.vector(t, c)
-    for _ in range(50):
-        t = np.sort(rnd.choice(60, rnd.integers(1, 9), replace=False))
-        w = index.vector(t, np.ones(len(t)))
-        q = np.zeros(60)
-        q[t] = w
-        cos = dense @ q
-        want = np.lexsort((np.arange(500), -cos))[:15]
-        want = want[cos[want] > 0]
-        near, found = index.nearest(t, w, 15)
-        assert np.allclose(found, cos[want])
-        assert np.allclose(np.sort(cos[near]), np.sort(cos[want]))
+        dense[row, terms[d // 3]] = index.vector(terms[d // 3], counts[d // 3])
+    asked = [np.sort(rnd.choice(60, rnd.integers(1, 9), replace=False)) for _ in range(50)] + [np.zeros(0, np.int64)]
+    queries = [(t, index.vector(t, np.ones(len(t)))) for t in asked]
+    for but in (None, [int(d) for d in rnd.choice(doc, len(asked))]):
+        for i, ((t, w), (near, found), (vote, *_)) in enumerate(zip(queries, index.nearest(queries, 15, but), index.votes([(t, np.ones(len(t))) for t in asked], 0.3, but))):
+            cos = dense[:, t] @ w
+            if but:
+                cos[index.doc == but[i]] = 0
+            want = np.lexsort((np.arange(500), -cos))[:15]
+            want = want[cos[want] > 0]
+            assert np.allclose(found, cos[want], atol=1e-6) and np.allclose(np.sort(cos[near]), np.sort(cos[want]), atol=1e-6)
+            assert vote == pytest.approx((cos[near] ** 2 @ index.label[near] + 0.05 * 0.3) / ((cos[near] ** 2).sum() + 0.05), abs=1e-5)
+
+
+def test_words_of_many_texts():
+    import pyarrow as pa
+
+    texts = ["Ab ab\u00a0cd", None, "", "x\u2014y «É» é\u3000z", "1a2", "é", "ab" * 9000]
+    text, term, count = toxicity.terms_in(pa.array(texts))
+    assert [sorted(count[text == i].tolist()) for i in range(7)] == [[1, 2], [], [], [1, 1, 1, 2], [1], [1], [1]]
+    alone = [toxicity.terms_in(pa.array([t], pa.string())) for t in texts]
+    assert [term[text == i].tolist() for i in range(7)] == [a[1].tolist() for a in alone]
+    assert set(term[text == 5]) < set(term[text == 3])
+
+
+def test_calibration_by_hand(spark, docs, labels):
+    """Votes of the half that taught no weight, from brute-force neighbours, through the same step function."""
+    judge = toxicity.learn_judge(docs, labels, "toxic", F.lit(True))
+    index = judge.index.value
+    dense = np.zeros((len(index.doc), len(index.vocabulary)))
+    for t in range(len(index.vocabulary)):
+        dense[index.row[index.start[t] : index.start[t + 1]], t] = index.weight[index.start[t] : index.start[t + 1]]
+    cos = dense @ dense.T
+    np.fill_diagonal(cos, 0)
+    cos[index.doc[:, None] == index.doc[None, :]] = 0
+    votes = []
+    for row in np.flatnonzero(~toxicity.half_of(index.doc)):
+        near = np.lexsort((np.arange(len(cos)), -cos[row]))[:15]
+        near = near[cos[row][near] > 0]
+        w = cos[row][near] ** 2
+        votes.append(((w @ index.label[near] + 0.05 * judge.prior) / (w.sum() + 0.05), index.label[row]))
+    v, y = np.array(sorted(votes)).T
+    got = np.interp(v, judge.edges, judge.levels)
+    assert (np.diff(got) >= 0).all()
+    # A step function keeps totals: the levels of all votes add up to about the toxic ones.
+    assert abs(got.sum() - y.sum()) < 0.1 * len(y) and ((got >= 0.5) == (y == 1)).mean() > 0.97
 
 
 def test_no_labels(spark, docs):

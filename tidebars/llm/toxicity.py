@@ -1,18 +1,19 @@
-"""Toxicity by nearest labelled examples: exact weighted TF-IDF cosine through an inverted index with bounds.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine through an inverted index with block maxima.
 
-Terms are words (letters only, case aside) and their first four and five letters.
+Terms are words (runs of letters, case aside), as 64-bit hashes.  Letters are a-z and
+all above ASCII but for the punctuation of U+0080-00BF, U+2000-207F and U+3000-303F.
 All terms of a bounded sample of labelled documents are indexed; none is left out.
-Document frequencies are counted over all documents.  A term weighs its inverse
-document frequency times one plus the root of its chi-square with the label, so
-telling terms weigh more and no term weighs nothing.  Terms that no example holds
-meet none; lengths of vectors are over the terms of the examples.
-
-Rare terms have postings, which are added up in full.  What the frequent terms can
-add to an example is bounded twice, by its block's largest weights and by the
-lengths of both vectors (Cauchy-Schwarz); only examples whose bound reaches the
-k-th neighbour are completed, so neighbours are exact.  Votes weigh with cosine;
-a step function fitted on the examples' own leave-one-out votes turns them into
-probabilities.
+A weight is (1 + ln tf) times the inverse document frequency, counted over all
+documents, times one plus the root of the term's chi-square with the label.  The
+chi-square is taken from one half of the examples only; the other half, whose labels
+no weight has seen, calibrates.  Lengths of vectors are over the terms of the examples.
+
+Examples lie in blocks.  The postings of rarer terms are added up; the OFTEN most
+frequent terms have block maxima, which bound what they can add to any example of a
+block, and only examples whose bound reaches the k-th neighbour are completed.  Where
+very many remain, the texts of a batch are completed together.  Neighbours are exact.
+Votes weigh with cosine; a step function fitted on leave-one-out votes turns them
+into probabilities.
 
 A document that shares no term with an example has no neighbours and gets the
 smoothed share of toxic examples among those whose own votes are not over the prior.
@@ -24,151 +25,176 @@ each; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.quality import isotonic
-from tidebars.llm.textkit import settle, shuffle_partitions, slices, spread
+from tidebars.llm.textkit import Rolling, byte_values, flat_text, settle, shuffle_partitions, slices, spread
 
 #: At most so many examples of each label are learned from (those with the least hashes of their ids).
 MOST_TOXIC, MOST_CLEAN = 8192, 16384
 NEIGHBOURS = 15
-BLOCK = 64
-#: A term that more than this share of the examples hold is frequent.
-OFTEN = 0.3
-#: So many examples are completed first, to learn what the k-th neighbour must reach.
-FIRST = 64
-ROUNDING = 1e-9
-#: Words whose terms a task remembers.
-KNOWN_WORDS = 200_000
+BLOCK = 8
+#: So many of the terms that most examples hold have block maxima instead of postings.
+OFTEN = 256
+#: Examples completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
+FIRST, MANY = 64, 1024
+#: Texts looked at together.
+BATCH = 32
+#: Rounding of single precision, in bounds and products of unit vectors.
+ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
-PREFIXES = (4, 5)
-
-_words = re.compile(r"[^\W\d_]+").findall
-
-
-def words_of(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
-
-
-def all_terms(words: list[str]) -> set[str]:
-    """Distinct terms; a prefix is written with a trailing star."""
-    distinct = set(words)
-    return distinct.union(*({w[:n] + "*" for w in distinct if len(w) > n} for n in PREFIXES))
-
-
-class Vocabulary:
-    """Terms by number, found in a list of words."""
-
-    def __init__(self, terms: list[str]):
-        number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.whole = {t: i for t, i in number.items() if not t.endswith("*")}
-        self.prefix = [(n, {t[:-1]: i for t, i in number.items() if t.endswith("*") and len(t) == n + 1}) for n in PREFIXES]
-
-    def _of(self, word: str) -> tuple[int, ...]:
-        if len(self.known) >= KNOWN_WORDS:
-            self.known.clear()
-        heads = [i for n, found in self.prefix if len(word) > n and (i := found.get(word[:n])) is not None]
-        self.known[word] = out = (*heads, self.whole[word]) if word in self.whole else tuple(heads)
-        return out
-
-    def counts(self, words: list[str]) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known = self.known
-        for w, n in Counter(words).items():
-            ids = known.get(w)
-            for i in self._of(w) if ids is None else ids:
-                out[i] = out.get(i, 0) + n
-        return out
+#: Counts of so many terms travel as one row.
+CHUNK = 1 << 14
+
+_LETTER = np.zeros(256, bool)
+_LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+
+
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, stop and text of every word of lower-cased texts."""
+    inside = np.r_[_LETTER[raw], False]
+    for lead, low, high, size in ((0xC2, 0x80, 0xBF, 2), (0xE2, 0x80, 0x81, 3), (0xE3, 0x80, 0x80, 3)):
+        at = np.flatnonzero(raw[:-1] == lead)
+        at = at[(raw[at + 1] >= low) & (raw[at + 1] <= high)]
+        inside[spread(at, np.full(len(at), size))] = False
+    edge = np.zeros(len(inside), bool)
+    edge[offsets] = True
+    before = np.r_[False, inside[:-1]]
+    starts = np.flatnonzero(inside & (~before | edge))
+    stops = np.flatnonzero(before & (~inside | edge))
+    return starts, stops, np.searchsorted(offsets, starts, "right") - 1
+
+
+def terms_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, term, count: each distinct term of each text, by text and term."""
+    raw, offsets = flat_text(pc.utf8_lower(texts.cast(pa.large_string())))
+    start, stop, text = word_spans(raw, offsets)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes = Rolling(byte_values(raw))
+    known, word = np.unique(hashes.of(start, stop), return_inverse=True)
+    pairs, count = np.unique(text * len(known) + word, return_counts=True)
+    return pairs // len(known), known[pairs % len(known)], count
+
+
+def find(vocabulary: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Number of each term in the sorted vocabulary, -1 where it is not there."""
+    if not len(vocabulary):
+        return np.full(len(terms), -1)
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == terms, at, -1)
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples: postings of rare terms, rows and block maxima of frequent ones."""
+    """Unit vectors of the examples by term: `row` and `weight` from start[term] to start[term + 1]."""
 
+    vocabulary: np.ndarray
     idf: np.ndarray
-    doc: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    label: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    doc: np.ndarray
+    label: np.ndarray
+    start: np.ndarray
+    row: np.ndarray
+    weight: np.ndarray
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w**2).sum()) if len(w) else w
 
     @staticmethod
-    def build(idf: np.ndarray, docs: list[tuple[int, float, np.ndarray, np.ndarray]]) -> Index:
-        index = Index(idf)
+    def build(vocabulary: np.ndarray, idf: np.ndarray, doc: np.ndarray, label: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
+        """Examples with `sizes` terms each, whose numbers and counts follow each other in `term` and `tf`."""
+        row = np.repeat(np.arange(len(doc)), sizes)
+        weight = ((1 + np.log(tf)) * idf[term]).astype(np.float32)
         # Examples with the same leading terms share blocks, which keeps bounds tight.
-        made = [(d, y, t, index.vector(t, c)) for d, y, t, c in docs]
-        made.sort(key=lambda m: (m[2][np.argsort(-m[3], kind="stable")[:8]].tolist(), m[0]))
-        index.doc = np.array([m[0] for m in made], np.int64)
-        index.label = np.array([m[1] for m in made], float)
-        if not made:
-            return index
-        term = np.concatenate([m[2] for m in made]).astype(np.int32)
-        row = np.repeat(np.arange(len(made), dtype=np.int32), [len(m[2]) for m in made])
-        weight = np.concatenate([m[3] for m in made])
-        held = np.bincount(term, minlength=len(idf))
-        often = held > OFTEN * len(made)
-        index.slot = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        mine = often[term]
-        index.row_term, index.row_weight = index.slot[term[mine]], weight[mine]
-        index.row_start = np.r_[0, np.cumsum(np.bincount(row[mine], minlength=len(made)))]
-        index.length = np.sqrt(np.bincount(row[mine], weights=index.row_weight**2, minlength=len(made)))
-        index.most = np.zeros((int(often.sum()), -(-len(made) // BLOCK)))
-        np.maximum.at(index.most, (index.row_term, row[mine] // BLOCK), index.row_weight)
-        rare = np.flatnonzero(~mine)
-        rare = rare[np.argsort(term[rare], kind="stable")]
-        index.post_doc, index.post_weight = row[rare], weight[rare]
-        index.start = np.r_[0, np.cumsum(np.where(often, 0, held))]
-        return index
-
-    def _frequent(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """What the frequent terms add to the cosines of some examples."""
-        sizes = self.row_start[rows + 1] - self.row_start[rows]
-        at = spread(self.row_start[rows], sizes)
-        return np.bincount(np.repeat(np.arange(len(rows)), sizes), weights=query[self.row_term[at]] * self.row_weight[at], minlength=len(rows))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the k nearest that share a term (ties: lower number); `but` is left out."""
-        if not len(self.doc) or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        slot = self.slot[terms]
-        rare, often = slot < 0, slot >= 0
-        first = self.start[terms[rare]]
-        sizes = self.start[terms[rare] + 1] - first
-        posting = spread(first, sizes)
-        cosine = np.bincount(self.post_doc[posting], weights=np.repeat(weights[rare], sizes) * self.post_weight[posting], minlength=len(self.doc)).astype(float)
-        if but is not None:
-            cosine[self.doc == but] = -np.inf
-        if often.any():
-            query = np.zeros(len(self.most))
-            query[slot[often]] = weights[often]
-            blocks = np.repeat(weights[often] @ self.most[slot[often]], BLOCK)[: len(self.doc)]
-            upper = cosine + np.minimum(np.sqrt((weights[often] ** 2).sum()) * self.length, blocks)
-            some = np.argpartition(-upper, FIRST)[:FIRST] if len(upper) > FIRST else np.arange(len(upper))
-            full = np.sort(cosine[some] + self._frequent(some, query))[::-1]
-            least = max(0.0, full[k - 1]) if len(full) >= k else 0.0
-            found = np.flatnonzero(upper >= least - ROUNDING)
-            cosine = cosine[found] + self._frequent(found, query)
-        else:
-            found = np.arange(len(cosine))
-        found, cosine = found[cosine > 0], cosine[cosine > 0]
-        top = np.lexsort((found, -cosine))[:k]
-        return found[top], cosine[top]
-
-    def vote(self, terms: np.ndarray, counts: np.ndarray, prior: float, but: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cosine = self.nearest(terms, self.vector(terms, counts), NEIGHBOURS, but)
-        weight = np.maximum(cosine, 0) ** 2
-        return float((weight @ self.label[near] + PRIOR_VOTES * prior) / (weight.sum() + PRIOR_VOTES)), near, cosine
+        best = np.lexsort((term, -weight, row))
+        heads = (np.cumsum(sizes) - sizes)[:, None] + np.minimum(np.arange(3), np.maximum(sizes - 1, 0)[:, None])
+        lead = term[best][heads] if len(term) else np.zeros((len(doc), 3), np.int64)
+        order = np.lexsort((doc, *lead.T[::-1]))
+        number = np.empty(len(doc), np.int64)
+        number[order] = np.arange(len(doc))
+        row = number[row]
+        weight /= np.sqrt(np.bincount(row, weights=weight.astype(float) ** 2, minlength=len(doc))).astype(np.float32)[row]
+        by = np.lexsort((row, term))
+        small = np.uint16 if len(doc) <= 1 << 16 else np.int32
+        return Index(vocabulary, idf, doc[order], label[order], np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))].astype(np.int32), row[by].astype(small), weight[by])
+
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each term among the frequent ones (-1: none), weights of these by example, and their block maxima."""
+        held = np.diff(self.start)
+        often = np.sort(np.argsort(-held, kind="stable")[:OFTEN])
+        place = np.full(len(held), -1, np.int16)
+        place[often] = np.arange(len(often))
+        blocks = -(-len(self.doc) // BLOCK)
+        rows = np.zeros((blocks * BLOCK, len(often)), np.float32)
+        at = spread(self.start[often], held[often])
+        rows[self.row[at], np.repeat(np.arange(len(often)), held[often])] = self.weight[at]
+        return place, rows[: len(self.doc)], rows.reshape(blocks, BLOCK, len(often)).max(axis=1)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "frequent"}
+
+    def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        first = self.start[terms]
+        sizes = self.start[terms + 1] - first
+        at = spread(first, sizes)
+        return np.bincount(self.row[at], weights=np.repeat(weights, sizes) * self.weight[at], minlength=len(self.doc)).astype(float)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (terms, weights) the example numbers and cosines of the k nearest that share a term (ties: lower number).
+
+        Example but[i] is left out for query i."""
+        n = len(self.doc)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        place, rows, most = self.frequent
+        often = np.zeros((len(queries), rows.shape[1]))
+        rare = np.empty((len(queries), n))
+        for i, (terms, weights) in enumerate(queries):
+            mine = place[terms] >= 0
+            often[i, place[terms[mine]]] = weights[mine]
+            rare[i] = self._rare(terms[~mine], weights[~mine])
+            if but is not None:
+                rare[i, self.doc == but[i]] = -np.inf
+        single = often.astype(np.float32)
+        upper = single @ most.T
+        complete = lambda i, some: rare[i, some] + rows[some].astype(float) @ often[i]
+        kth = lambda x: max(0.0, np.partition(x, len(x) - k)[len(x) - k]) if len(x) >= k else 0.0
+        left = {}
+        for i in range(len(queries)):
+            bound = rare[i] + np.repeat(upper[i], BLOCK)[:n]
+            some = np.argpartition(-bound, FIRST)[:FIRST] if n > FIRST else np.arange(n)
+            left[i] = np.flatnonzero(bound >= kth(complete(i, some)) - ROUNDING)
+        many = [i for i in left if len(left[i]) > MANY]
+        if many:
+            for i, cosine in zip(many, single[many] @ rows.T):
+                cosine = rare[i] + cosine
+                left[i] = np.flatnonzero(cosine >= kth(cosine) - ROUNDING)
+        out = []
+        for i, found in left.items():
+            cosine = complete(i, found)
+            found, cosine = found[cosine > 0], cosine[cosine > 0]
+            top = np.lexsort((found, -cosine))[:k]
+            out.append((found[top], cosine[top]))
+        return out
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]], prior: float, but: list[int] | None = None) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Share of toxic votes, neighbours and cosines of texts given by their terms and counts."""
+        for at in range(0, len(texts), BATCH):
+            queries = [(t, self.vector(t, c)) for t, c in texts[at : at + BATCH]]
+            for near, cosine in self.nearest(queries, NEIGHBOURS, but and but[at : at + BATCH]):
+                weight = cosine**2
+                yield float((weight @ self.label[near] + PRIOR_VOTES * prior) / (weight.sum() + PRIOR_VOTES)), near, cosine
 
 
 def examples_of(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
@@ -183,135 +209,133 @@ def examples_of(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
     return one.select("d.doc_id", "y", "d.text")
 
 
-def terms_of(examples: DataFrame) -> tuple[list[str], np.ndarray, int, int]:
-    """All terms of the examples, how telling each is (1 or more), and the numbers of toxic and clean examples."""
+def coded(examples: DataFrame) -> DataFrame:
+    """doc_id, y, terms, counts: the terms of every example as blobs (stored)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                seen: list[Counter] = [Counter(), Counter()]
-                for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist()):
-                    seen[y].update(all_terms(words_of(text)))
-                terms = [*seen[0].keys() | seen[1].keys()]
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "a", "b"])
-
-    sizes = {r.y: r["count"] for r in examples.groupBy("y").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        return [], np.zeros(0), pos, neg
-    table = examples.select("text", "y").mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # bounded by the sample
-    terms = table.column("term").to_pylist()
-    order = sorted(range(len(terms)), key=terms.__getitem__)
-    a, b = (table.column(c).to_numpy()[order].astype(float) for c in ("a", "b"))
-    n = float(pos + neg)
-    spare = n - a - b
-    chi2 = np.where(spare > 0, n * (a * neg - b * pos) ** 2 / (float(pos) * neg * (a + b) * np.maximum(spare, 1)), 0.0)
-    return [terms[i] for i in order], 1 + np.sqrt(chi2), pos, neg
+                text, term, count = terms_in(part.column("text"))
+                cut = np.searchsorted(text, np.arange(1, part.num_rows))
+                blobs = [pa.array([x.tobytes() for x in np.split(v, cut)], pa.binary()) for v in (term, count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *blobs], ["doc_id", "y", "terms", "counts"])
 
+    return settle(examples.mapInArrow(run, "doc_id bigint, y int, terms binary, counts binary"), "coded")
 
-def frequencies(docs: DataFrame, vocabulary: Broadcast[Vocabulary], size: int) -> tuple[np.ndarray, int]:
+
+def frequencies(docs: DataFrame, vocabulary: Broadcast[np.ndarray], size: int) -> tuple[np.ndarray, int]:
     """In how many documents each term stands, and the number of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = np.zeros(size, np.int64), 0
+        held, rows = np.zeros(size + 1, np.int64), 0
         for batch in batches:
             for part in slices(batch):
                 rows += part.num_rows
-                for t in part.column("text").to_pylist():
-                    held[list(vocabulary.value.counts(words_of(t)))] += 1
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, held[some]])], ["term", "n"])
-
-    found = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row for each term
-    out = np.zeros(size + 1, np.int64)
-    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+                at = find(vocabulary.value, terms_in(part.column("text"))[1])
+                held += np.bincount(at[at >= 0], minlength=size + 1)
+        held[size] = rows
+        chunks = range(0, size + 1, CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK for c in chunks], pa.int32()), pa.array([held[c : c + CHUNK].tobytes() for c in chunks], pa.binary())], ["chunk", "held"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py(), np.int64) for b in table.column("held"))
+        return pa.table({"chunk": table.column("chunk")[:1], "held": pa.array([total.tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(run, "chunk int, held binary").groupBy("chunk").applyInArrow(add, "chunk int, held binary")
+    rows = parts.toArrow().sort_by("chunk").column("held").to_pylist()  # one number for each term
+    out = np.concatenate([np.frombuffer(b, np.int64) for b in rows]) if rows else np.zeros(size + 1, np.int64)
     return out[:size], int(out[size])
 
 
-def term_counts(docs: DataFrame, vocabulary: Broadcast[Vocabulary], keep: tuple[str, ...]) -> DataFrame:
-    """`keep`, terms array<int>, counts array<int> of every row of docs."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                found = [sorted(vocabulary.value.counts(words_of(t)).items()) for t in part.column("text").to_pylist()]
-                columns = [pa.array([[f[k] for f in fs] for fs in found], pa.list_(pa.int32())) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], [*keep, "terms", "counts"])
-
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, terms array<int>, counts array<int>")
+def telling(term: np.ndarray, toxic: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """One plus the root of each term's chi-square with the label, from the examples given (term and label of each posting)."""
+    a, b = np.bincount(term[toxic], minlength=size), np.bincount(term[~toxic], minlength=size)
+    pos, neg = (float(s) for s in sizes)
+    n = pos + neg
+    spare = n - a - b
+    return 1 + np.sqrt(np.where((spare > 0) & (a + b > 0), n * (a * neg - b * pos) ** 2 / max(pos * neg, 1) / (np.maximum(a + b, 1) * np.maximum(spare, 1)), 0.0))
 
 
 @dataclass
 class Judge:
-    index: Index
+    index: Broadcast[Index]
     prior: float
     alone: float
     edges: np.ndarray
     levels: np.ndarray
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        vote, near, cosine = self.index.vote(terms, counts, self.prior)
-        return float(np.interp(vote, self.edges, self.levels)) if len(near) else self.alone, near, cosine
-
-
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    return [x.values.to_numpy() for x in column]
+    def judged(self, texts: pa.Array) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, neighbours and cosines of each text."""
+        index = self.index.value
+        text, term, count = terms_in(texts)
+        at = find(index.vocabulary, term)
+        text, at, count = text[at >= 0], at[at >= 0], count[at >= 0]
+        cut = np.searchsorted(text, np.arange(len(texts) + 1))
+        found = index.votes([(at[a:b], count[a:b]) for a, b in zip(cut[:-1], cut[1:])], self.prior)
+        return [(float(np.interp(vote, self.edges, self.levels)) if len(near) else self.alone, near, cosine) for vote, near, cosine in found]
 
 
-def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> tuple[Judge, Broadcast[Vocabulary]]:
-    """The judge, and the terms of the examples."""
+def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Judge:
     context = docs.sparkSession.sparkContext
-    examples = settle(examples_of(docs, labels, label, learn), "examples")
-    terms, telling, pos, neg = terms_of(examples)
-    vocabulary = context.broadcast(Vocabulary(terms))  # bounded by the sample
-    frequency, total = frequencies(docs, vocabulary, len(terms)) if terms else (np.zeros(0), 0)
-    weight = telling * (np.log((1 + total) / (1 + frequency)) + 1)
-    coded = settle(term_counts(examples, vocabulary, ("doc_id", "y")), "coded")
-    sample = coded.toArrow()  # the bounded sample, in term numbers
-    rows = list(zip(sample.column("doc_id").to_pylist(), sample.column("y").to_pylist(), _lists(sample.column("terms")), _lists(sample.column("counts"))))
-    held = [(d, float(y), t, c) for d, y, t, c in rows if len(t)]
-    prior = (pos + 0.5) / (pos + neg + 1)
-    index = Index.build(weight, held)
-    shared = context.broadcast(index)  # bounded by the sample
+    rows = coded(examples_of(docs, labels, label, learn))
+    sample = rows.toArrow()  # the terms of the bounded sample, twelve bytes each
+    doc, y = sample.column("doc_id").to_numpy(), sample.column("y").to_numpy().astype(float)
+    terms, counts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(b.as_py(), t) for b in sample.column(c))]) for c, t in (("terms", np.uint64), ("counts", np.int32)))
+    sizes = np.array([len(b.as_py()) // 8 for b in sample.column("terms")], np.int64)
+    del sample
+    prior = ((y == 1).sum() + 0.5) / (len(y) + 1)
+    vocabulary, term = np.unique(terms, return_inverse=True) if (y == 1).any() and (y == 0).any() else (terms[:0], np.zeros(0, np.int64))
+    del terms
+    if not len(vocabulary):
+        doc, y, sizes, counts = doc[:0], y[:0], sizes[:0], counts[:0]
+    shared = context.broadcast(vocabulary)  # bounded by the sample
+    frequency, total = frequencies(docs, shared, len(vocabulary)) if len(vocabulary) else (np.zeros(0), 0)
+    shared.unpersist()
+    half = half_of(doc)
+    teach = np.repeat(half, sizes)
+    told = telling(term[teach], np.repeat(y == 1, sizes)[teach], len(vocabulary), ((y[half] == 1).sum(), (y[half] == 0).sum()))
+    held = sizes > 0
+    index = context.broadcast(Index.build(vocabulary, told * (np.log((1 + total) / (1 + frequency)) + 1), doc[held], y[held], sizes[held], term, counts))  # bounded by the sample
+    del term, counts, frequency
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
         for b in batches:
-            out = []
-            for d, y, t, c in zip(*(b.column(n).to_pylist() for n in ("doc_id", "y", "terms", "counts"))):
-                out.append((shared.value.vote(np.array(t, int), np.array(c, int), prior, but=d)[0], float(y)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.float64())], ["vote", "y"])
+            b = b.filter(pa.array(~half_of(b.column("doc_id").to_numpy()) & (pc.binary_length(b.column("terms")).to_numpy() > 0)))
+            texts = [(find(own.vocabulary, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int32)) for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist())]
+            votes = [v[0] for v in own.votes(texts, prior, b.column("doc_id").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column("y").cast(pa.float64())], ["vote", "y"])
 
-    own = coded.repartition(shuffle_partitions(docs)).mapInArrow(without_itself, "vote double, y double").collect()
-    votes, truth = [r.vote for r in own], [r.y for r in own]
+    own = rows.repartition(shuffle_partitions(docs)).mapInArrow(without_itself, "vote double, y double").toArrow() if len(vocabulary) else pa.table({"vote": pa.array([], pa.float64()), "y": pa.array([], pa.float64())})
+    votes, truth = own.column("vote").to_numpy(), own.column("y").to_numpy()
     order = np.argsort(votes, kind="stable")
-    votes, truth = np.array(votes)[order], np.array(truth)[order]
+    votes, truth = votes[order], truth[order]
     if len(votes):
         values, start = np.unique(votes, return_index=True)
         edges, levels = isotonic(values, np.diff(np.r_[start, len(votes)]), np.add.reduceat(truth, start))
     else:
         edges, levels = np.array([prior]), np.array([prior])
     quiet = truth[votes <= prior]
-    return Judge(index, prior, float((quiet.sum() + prior) / (len(quiet) + 1)), edges, levels), vocabulary
+    return Judge(index, float(prior), float((quiet.sum() + prior) / (len(quiet) + 1)), edges, levels)
 
 
-def _judged(texts: list[str | None], judge: Judge, vocabulary: Vocabulary) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    found = [sorted(vocabulary.counts(words_of(t)).items()) for t in texts]
-    return [judge.score(np.array([f[0] for f in fs], int), np.array([f[1] for f in fs], int)) for fs in found]
+def half_of(doc: np.ndarray) -> np.ndarray:
+    """Which examples teach the weights of terms; the others calibrate."""
+    x = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(63)).astype(bool)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
     """doc_id, score, and as evidence the nearest examples with their cosines, of every document."""
-    judge, vocabulary = learn_judge(docs, labels, label, learn)
-    shared = docs.sparkSession.sparkContext.broadcast(judge)  # bounded by the sample
+    judge = learn_judge(docs, labels, label, learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
             for part in slices(batch):
-                made = _judged(part.column("text").to_pylist(), own, vocabulary.value)
+                made = judge.judged(part.column("text"))
+                doc = judge.index.value.doc
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([m[0] for m in made], pa.float64()), pa.array([own.index.doc[m[1]].tolist() for m in made], pa.list_(pa.int64())), pa.array([m[2].tolist() for m in made], pa.list_(pa.float64()))],
+                    [part.column("doc_id"), pa.array([m[0] for m in made], pa.float64()), pa.array([doc[m[1]].tolist() for m in made], pa.list_(pa.int64())), pa.array([m[2].tolist() for m in made], pa.list_(pa.float64()))],
                     ["doc_id", "score", "near_ids", "near_cosines"],
                 )
 
@@ -320,16 +344,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: float = 0.5) -> DataFrame:
     """The rows of docs that score below `limit`, unchanged."""
-    judge, vocabulary = learn_judge(docs, labels, label, learn)
-    shared = docs.sparkSession.sparkContext.broadcast(judge)  # bounded by the sample
+    judge = learn_judge(docs, labels, label, learn)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                keep = [m[0] < limit for m in _judged(part.column(text).to_pylist(), shared.value, vocabulary.value)]
-                yield part.filter(pa.array(keep, pa.bool_()))
+                yield part.filter(pa.array([m[0] < limit for m in judge.judged(part.column(text))], pa.bool_()))
 
     renamed = docs.toDF(*names)
     kept = renamed.mapInArrow(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)))
