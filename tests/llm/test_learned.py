@@ -63,7 +63,7 @@ def test_toxic_rows_go_and_others_stay(docs, labels):
 
 
 @pytest.mark.parametrize("often", [0, 7, 60])
-@pytest.mark.parametrize("many", [0, 1024])
+@pytest.mark.parametrize("many", [0, 64])
 def test_nearest_equal_all_cosines(monkeypatch, often, many):
     monkeypatch.setattr(toxicity, "OFTEN", often)
     monkeypatch.setattr(toxicity, "MANY", many)
@@ -73,9 +73,11 @@ def test_nearest_equal_all_cosines(monkeypatch, often, many):
     counts = [rnd.integers(1, 5, len(t)) for t in terms]
     doc, label = np.arange(500) * 3, (np.arange(500) % 3 == 0).astype(float)
     index = toxicity.Index.build(np.arange(60, dtype=np.uint64), idf, doc, label, np.array([len(t) for t in terms]), np.concatenate(terms), np.concatenate(counts))
-    assert sorted(index.doc) == doc.tolist()
-    dense = np.zeros((500, 60))
+    assert sorted(index.doc[index.doc >= 0]) == doc.tolist()
+    dense = np.zeros((len(index.doc), 60))
     for row, d in enumerate(index.doc):
+        if d < 0:
+            continue
         dense[row, terms[d // 3]] = index.vector(terms[d // 3], counts[d // 3])
     asked = [np.sort(rnd.choice(60, rnd.integers(1, 9), replace=False)) for _ in range(50)] + [np.zeros(0, np.int64)]
     queries = [(t, index.vector(t, np.ones(len(t)))) for t in asked]
@@ -84,7 +86,7 @@ def test_nearest_equal_all_cosines(monkeypatch, often, many):
             cos = dense[:, t] @ w
             if but:
                 cos[index.doc == but[i]] = 0
-            want = np.lexsort((np.arange(500), -cos))[:15]
+            want = np.lexsort((np.arange(len(cos)), -cos))[:15]
             want = want[cos[want] > 0]
             assert np.allclose(found, cos[want], atol=1e-6) and np.allclose(np.sort(cos[near]), np.sort(cos[want]), atol=1e-6)
             assert vote == pytest.approx((cos[near] ** 2 @ index.label[near] + 0.05 * 0.3) / ((cos[near] ** 2).sum() + 0.05), abs=1e-5)
@@ -107,12 +109,13 @@ def test_calibration_by_hand(spark, docs, labels):
     index = judge.index.value
     dense = np.zeros((len(index.doc), len(index.vocabulary)))
     for t in range(len(index.vocabulary)):
-        dense[index.row[index.start[t] : index.start[t + 1]], t] = index.weight[index.start[t] : index.start[t + 1]]
+        row, weight = index.parts(index.posting[index.start[t] : index.start[t + 1]])
+        dense[row, t] = weight
     cos = dense @ dense.T
     np.fill_diagonal(cos, 0)
     cos[index.doc[:, None] == index.doc[None, :]] = 0
     votes = []
-    for row in np.flatnonzero(~toxicity.half_of(index.doc)):
+    for row in np.flatnonzero(~toxicity.half_of(index.doc) & (index.doc >= 0)):
         near = np.lexsort((np.arange(len(cos)), -cos[row]))[:15]
         near = near[cos[row][near] > 0]
         w = cos[row][near] ** 2

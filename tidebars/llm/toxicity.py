@@ -44,11 +44,11 @@ MOST_TOXIC, MOST_CLEAN = 8192, 16384
 NEIGHBOURS = 15
 BLOCK = 8
 #: So many of the terms that most examples hold have block maxima instead of postings.
-OFTEN = 256
-#: Examples completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
-FIRST, MANY = 64, 1024
+OFTEN = 512
+#: Blocks completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
+FIRST, MANY = 8, 16
 #: Texts looked at together.
-BATCH = 32
+BATCH = 64
 #: Rounding of single precision, in bounds and products of unit vectors.
 ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
@@ -96,15 +96,16 @@ def find(vocabulary: np.ndarray, terms: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Unit vectors of the examples by term: `row` and `weight` from start[term] to start[term + 1]."""
+    """Unit vectors of the examples by term: row and weight in the two halves of posting[start[term] : start[term + 1]].
+
+    Block b holds the rows b, b + blocks, b + 2 * blocks, ...; rows that fill up the last ones have doc -1 and no terms."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
     doc: np.ndarray
     label: np.ndarray
     start: np.ndarray
-    row: np.ndarray
-    weight: np.ndarray
+    posting: np.ndarray
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -120,13 +121,21 @@ class Index:
         heads = (np.cumsum(sizes) - sizes)[:, None] + np.minimum(np.arange(3), np.maximum(sizes - 1, 0)[:, None])
         lead = term[best][heads] if len(term) else np.zeros((len(doc), 3), np.int64)
         order = np.lexsort((doc, *lead.T[::-1]))
+        blocks = -(-len(doc) // BLOCK)
+        place = np.arange(len(doc)) % BLOCK * blocks + np.arange(len(doc)) // BLOCK
         number = np.empty(len(doc), np.int64)
-        number[order] = np.arange(len(doc))
+        number[order] = place
+        names, kinds = np.full(blocks * BLOCK, -1, np.int64), np.zeros(blocks * BLOCK)
+        names[place], kinds[place] = doc[order], label[order]
         row = number[row]
-        weight /= np.sqrt(np.bincount(row, weights=weight.astype(float) ** 2, minlength=len(doc))).astype(np.float32)[row]
+        weight /= np.sqrt(np.bincount(row, weights=weight.astype(float) ** 2, minlength=len(names))).astype(np.float32)[row]
         by = np.lexsort((row, term))
-        small = np.uint16 if len(doc) <= 1 << 16 else np.int32
-        return Index(vocabulary, idf, doc[order], label[order], np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))].astype(np.int32), row[by].astype(small), weight[by])
+        posting = row[by] << 32 | weight[by].view(np.uint32).astype(np.int64)
+        return Index(vocabulary, idf, names, kinds, np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))].astype(np.int32), posting)
+
+    @staticmethod
+    def parts(posting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return posting >> 32, posting.astype(np.uint32).view(np.float32)
 
     @cached_property
     def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,20 +144,21 @@ class Index:
         often = np.sort(np.argsort(-held, kind="stable")[:OFTEN])
         place = np.full(len(held), -1, np.int16)
         place[often] = np.arange(len(often))
-        blocks = -(-len(self.doc) // BLOCK)
-        rows = np.zeros((blocks * BLOCK, len(often)), np.float32)
-        at = spread(self.start[often], held[often])
-        rows[self.row[at], np.repeat(np.arange(len(often)), held[often])] = self.weight[at]
-        return place, rows[: len(self.doc)], rows.reshape(blocks, BLOCK, len(often)).max(axis=1)
+        rows = np.zeros((len(self.doc), len(often)), np.float32)
+        row, weight = self.parts(self.posting[spread(self.start[often], held[often])])
+        rows[row, np.repeat(np.arange(len(often)), held[often])] = weight
+        return place, rows, rows.reshape(BLOCK, len(rows) // BLOCK, len(often)).max(axis=0)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "frequent"}
 
     def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        first = self.start[terms]
-        sizes = self.start[terms + 1] - first
-        at = spread(first, sizes)
-        return np.bincount(self.row[at], weights=np.repeat(weights, sizes) * self.weight[at], minlength=len(self.doc)).astype(float)
+        """What the postings of some terms add to the cosine of every example."""
+        if not len(terms):
+            return np.zeros(len(self.doc))
+        first, last = self.start[terms], self.start[terms + 1]
+        row, weight = self.parts(np.concatenate([self.posting[a:b] for a, b in zip(first.tolist(), last.tolist())]))
+        return np.bincount(row, weights=np.repeat(weights, last - first) * weight, minlength=len(self.doc))
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms, weights) the example numbers and cosines of the k nearest that share a term (ties: lower number).
@@ -168,20 +178,26 @@ class Index:
                 rare[i, self.doc == but[i]] = -np.inf
         single = often.astype(np.float32)
         upper = single @ most.T
+        blocks = len(most)
+        inside = np.arange(BLOCK)[:, None] * blocks
         complete = lambda i, some: rare[i, some] + rows[some].astype(float) @ often[i]
         kth = lambda x: max(0.0, np.partition(x, len(x) - k)[len(x) - k]) if len(x) >= k else 0.0
-        left = {}
+        left, least = {}, {}
         for i in range(len(queries)):
-            bound = rare[i] + np.repeat(upper[i], BLOCK)[:n]
-            some = np.argpartition(-bound, FIRST)[:FIRST] if n > FIRST else np.arange(n)
-            left[i] = np.flatnonzero(bound >= kth(complete(i, some)) - ROUNDING)
+            bound = rare[i].reshape(BLOCK, blocks).max(axis=0) + upper[i]
+            some = np.argpartition(-bound, FIRST)[:FIRST] if blocks > FIRST else np.arange(blocks)
+            least[i] = kth(complete(i, (inside + some).ravel())) - ROUNDING
+            left[i] = np.flatnonzero(bound >= least[i])
         many = [i for i in left if len(left[i]) > MANY]
+        left = {i: np.sort((inside + x).ravel()) for i, x in left.items() if len(x) <= MANY}
         if many:
             for i, cosine in zip(many, single[many] @ rows.T):
                 cosine = rare[i] + cosine
-                left[i] = np.flatnonzero(cosine >= kth(cosine) - ROUNDING)
+                found = np.flatnonzero(cosine >= least[i])
+                left[i] = found[cosine[found] >= kth(cosine[found]) - ROUNDING]
         out = []
-        for i, found in left.items():
+        for i in range(len(queries)):
+            found = left[i]
             cosine = complete(i, found)
             found, cosine = found[cosine > 0], cosine[cosine > 0]
             top = np.lexsort((found, -cosine))[:k]
