@@ -104,10 +104,13 @@ SQL["seasonal_signal"] = (
     f"FROM ({BARS['flag_daily']}) b LEFT JOIN ({_FREQ}) f ON b.symbol = f.symbol AND month(b.ts) = f.month")
 
 SQL["adaptive_cyber_cycle"] = (
-    f"WITH {numbered('flag_daily')}, x AS (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS x FROM b), "
-    f"pw AS (SELECT symbol, p, pow(sum(x * cos(2 * pi() * (seq % p) / p)), 2) + pow(sum(x * sin(2 * pi() * (seq % p) / p)), 2) AS w FROM x, range(4, 65) t(p) GROUP BY 1, 2), "
-    f"d AS (SELECT symbol, arg_max(p, w) AS p FROM pw GROUP BY 1), s AS (SELECT b.symbol, b.ts, b.seq, d.p, sin((b.seq % d.p) * 2 * pi() / d.p) AS a, sin(((b.seq - 1 + d.p) % d.p) * 2 * pi() / d.p) AS z FROM b JOIN d USING (symbol)) "
-    f"SELECT symbol, {TS} AS ts, p::INTEGER AS period, CASE WHEN seq > 0 AND a > 0.5 AND z <= 0.5 THEN 1 WHEN seq > 0 AND a < -0.5 AND z >= -0.5 THEN -1 ELSE 0 END AS signal FROM s")
+    f"WITH {numbered('flag_daily')}, x AS (SELECT *, close - avg(close) OVER (PARTITION BY symbol) AS x, count(*) OVER (PARTITION BY symbol) AS n FROM b), "
+    f"pw AS (SELECT symbol, n, k, pow(sum(x * cos(2 * pi() * ((seq * k) % n) / n)), 2) + pow(sum(x * sin(2 * pi() * ((seq * k) % n) / n)), 2) AS w "
+    f"FROM x, (SELECT unnest(range(1, (SELECT max(n) // 2 + 1 FROM x))) AS k) WHERE k <= n // 2 GROUP BY 1, 2, 3), "
+    f"d AS (SELECT symbol, round_even(any_value(n) / arg_max(k, w), 0) AS p FROM pw GROUP BY 1), "
+    f"v AS (SELECT x.symbol, ts, seq, p, sin(2 * pi() * seq / (n - 1) * (2 * pi() / p)) AS a FROM x JOIN d USING (symbol)), "
+    f"s AS (SELECT *, a - avg(a) OVER (PARTITION BY symbol) AS c FROM v), t AS (SELECT *, lag(c) OVER (PARTITION BY symbol ORDER BY seq) AS z FROM s) "
+    f"SELECT symbol, {TS} AS ts, p::INTEGER AS period, CASE WHEN c > 0.5 AND z <= 0.5 THEN 1 WHEN c < -0.5 AND z >= -0.5 THEN -1 ELSE 0 END AS signal FROM t")
 
 # --- state rules as recursive queries: one bar per step -----------------------------------
 _PSAR = f"""{numbered('flag_daily')},

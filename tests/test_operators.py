@@ -189,6 +189,34 @@ def test_cycle_period_is_the_strongest_bin_of_the_whole_spectrum(spark):
         rows += [(name, dt.datetime(2020, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(x)]
     assert want["long"] > 64 and want["short"] < 4
     bars = spark.createDataFrame(rows, "symbol string, ts timestamp, close double")
-    for chunk in (100, 5000):
+    for chunk in (16, 100, 5000):
         got = {r.symbol: r.period for r in cycle_signals(lay_out(bars, chunk)).select("symbol", "period").distinct().collect()}
         assert got == want
+
+
+def test_spectrum_equals_a_plain_transform(spark):
+    from tidebars.operators.spectrum import Grid, column_group, power_spectrum
+
+    rnd = np.random.default_rng(3)
+    series = {f"n{n}": rnd.normal(size=n) for n in (1, 2, 3, 4, 5, 16, 17, 100, 509, 1024)}
+    rows = [(name, i, len(x), float(v)) for name, x in series.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, seq bigint, bars bigint, x double")
+    for cells in (4, 64, 4096):
+        for n in (2, 3, 5, 17, 100, 1024, 10**9):
+            grid = Grid.of(n, cells)
+            assert grid.tall * grid.wide >= 2 * n - 1 and grid.columns * grid.groups == grid.wide and grid.rows * grid.groups == grid.tall and n >= grid.wide
+            assert grid.groups in (1, grid.wide) or grid.tall * grid.columns <= cells
+        groups = {(r.symbol, r.seq): r.g for r in df.filter("bars > 1").select("symbol", "seq", column_group(F.col("seq"), F.col("bars"), cells).alias("g")).collect()}
+        for (name, seq), g in groups.items():
+            grid = Grid.of(len(series[name]), cells)
+            assert g == seq % grid.wide // grid.columns
+        got = power_spectrum(df, cells).collect()
+        for name, x in series.items():
+            mine = [r for r in got if r.symbol == name]
+            plain = np.abs(np.fft.fft(x)[: len(x) // 2 + 1]) ** 2
+            assert all(abs(r.power - plain[r.k]) < 1e-9 * plain.sum() for r in mine)
+            if len(x) > 1:
+                assert max((r.power, -r.k) for r in mine)[1] == -(np.argmax(plain[1:]) + 1)
+                # What is exchanged grows with the series: a row for each pair of groups.
+                grid = Grid.of(len(x), cells)
+                assert len({r.group for r in mine}) <= grid.groups <= len(x)

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions.expr import C, lag, true, when
+from tidebars.operators.spectrum import power_spectrum
 from tidebars.plans.features import add_features
 from tidebars.plans.layout import Laid
 
@@ -61,55 +58,32 @@ def dominant_period(laid: Laid, periods: list[int]) -> DataFrame:
     return row.select("symbol", (-F.array_max(power)["p"]).alias("period"))
 
 
-def _bins(x: np.ndarray, start: int, bars: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Fourier bins 1 to bars / 2 of a series of `bars` values that is x from `start` on and 0 elsewhere, in blocks (bin numbers, values).
-
-    A chirp transform of each block; phases are reduced as whole numbers, so they stay exact on long series."""
-    turn = lambda m, whole: np.exp(-2j * math.pi * (m % whole) / whole)
-    last, j = bars // 2, np.arange(len(x))
-    width = min(max(len(x), 1024), last)
-    size = 1 << (len(x) + width - 2).bit_length()
-    m = np.arange(-len(x) + 1, width)
-    chirp = np.fft.fft(np.conj(turn(m * m, 2 * bars)), size)
-    for first in range(1, last + 1, width):
-        k = np.arange(min(width, last + 1 - first))
-        y = np.fft.fft(x * turn(j * first, bars) * turn(j * j, 2 * bars), size)
-        out = np.fft.ifft(y * chirp)[len(x) - 1 : len(x) - 1 + len(k)]
-        yield first + k, out * turn(k * k, 2 * bars) * turn((first + k) * start, bars)
-
-
-def spectral_period(laid: Laid) -> DataFrame:
+def spectral_period(laid: Laid, cells: int | None = None) -> DataFrame:
     """Bars / k, rounded, of the strongest Fourier bin k = 1 .. bars / 2 of the mean-free close, per symbol (the least such k).
 
-    Each chunk gives its share of every bin; shares add up per (symbol, bin).  A symbol of one bar has no period."""
-
-    def share(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        seq, bars = table.column("seq").to_numpy(), table.column("bars")[0].as_py()
-        start = int(seq.min())
-        x = np.zeros(int(seq.max()) - start + 1)
-        x[seq - start] = np.nan_to_num(table.column("_x").to_numpy())
-        for k, value in _bins(x, start, bars):
-            yield pa.RecordBatch.from_arrays([pa.array([table.column("symbol")[0].as_py()] * len(k)), pa.array([bars] * len(k), pa.int64()), pa.array(k), pa.array(value.real), pa.array(value.imag)], ["symbol", "bars", "k", "re", "im"])
-
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from share(pa.Table.from_batches(list(batches)))
-
-    kind = laid.df.schema["symbol"].dataType.simpleString()
-    parts = _mean_free(laid).filter("bars > 1").select("symbol", "chunk", "seq", F.col("bars").cast("bigint").alias("bars"), "_x")
-    bins = parts.groupBy("symbol", "chunk").applyInArrow(shares, f"symbol {kind}, bars bigint, k bigint, re double, im double")
-    power = bins.groupBy("symbol", "bars", "k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    best = power.groupBy("symbol", "bars").agg(F.max(F.struct((F.col("re") ** 2 + F.col("im") ** 2).alias("power"), (-F.col("k")).alias("k"))).alias("best"))
+    Groups of the transform hold as many values as a chunk, or `cells`.  A symbol of one bar has no period."""
+    bins = power_spectrum(_mean_free(laid).select("symbol", "seq", "bars", F.col("_x").alias("x")), cells or laid.rows)
+    best = bins.groupBy("symbol", "bars").agg(F.max(F.struct("power", (-F.col("k")).alias("k"))).alias("best"))
     return best.select("symbol", F.rint(F.col("bars") / -F.col("best.k")).cast("int").alias("period"))
 
 
-def cycle_signals(laid: Laid, periods=None, threshold: float = 0.5) -> DataFrame:
-    """Sine of the dominant period crossing the threshold up (long) or its negative down (short).
+def cycle_signals(laid: Laid, periods=None, threshold: float = 0.5, turning: bool = False) -> DataFrame:
+    """A sine of the dominant period, less its mean, crossing the threshold up (long) or its negative down (short).
 
-    The period is that of the strongest bin of the whole spectrum, or the strongest of `periods`."""
+    The period is that of the strongest bin of the whole spectrum, or the strongest of `periods`.  The sine is taken of
+    one turn spread over the whole series, times 2 pi / period; with `turning` it turns once in every period instead."""
     best = dominant_period(laid, list(periods)) if periods else spectral_period(laid)
     keys = laid.df.select("symbol", "chunk").distinct().join(best, "symbol", "left")  # one row per chunk
-    d = laid.df.join(keys, ["symbol", "chunk"])
-    wave = lambda k: F.sin(F.pmod(F.col("seq") - k, F.col("period")) * (2 * math.pi) / F.col("period"))
-    up = (F.col("seq") > 0) & (wave(0) > threshold) & (wave(1) <= threshold)
-    down = (F.col("seq") > 0) & (wave(0) < -threshold) & (wave(1) >= -threshold)
+    d = laid.df.select("symbol", "chunk", "seq", "bars", "ts").join(keys, ["symbol", "chunk"])
+    if turning:
+        wave = lambda k: F.sin(F.pmod(F.col("seq") - k, F.col("period")) * (2 * math.pi) / F.col("period"))
+    else:
+        wave = lambda k: F.sin((F.col("seq") - k) * (2 * math.pi) / (F.col("bars") - 1) * (2 * math.pi / F.col("period")))
+    part = d.groupBy("symbol", "chunk").agg(F.sum(wave(0)).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("symbol")  # one row per chunk
+    part = part.select("symbol", "chunk", (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_mean"))
+    d = d.join(part, ["symbol", "chunk"])
+    now, before = wave(0) - F.col("_mean"), wave(1) - F.col("_mean")
+    up = (F.col("seq") > 0) & (now > threshold) & (before <= threshold)
+    down = (F.col("seq") > 0) & (now < -threshold) & (before >= -threshold)
     return d.select("symbol", "ts", "period", F.when(up, 1).when(down, -1).otherwise(0).alias("signal"))
