@@ -367,3 +367,37 @@ SQL["stream_signals"] = (
     f"r.g + (greatest(m.d, 0) - r.g) / 14 AS g, r.l + (greatest(-m.d, 0) - r.l) / 14 AS l, r.last, coalesce(m.close > m.sma, FALSE) AND (r.last < 0 OR m.seq - r.last >= 10) AS hit "
     f"FROM r JOIN m ON m.symbol = r.symbol AND m.seq = r.seq + 1)) SELECT symbol, {stamp('m.ts')} AS ts, sig AS signal, {q('close')}, {q('sma')}, {cut_sql('ef')} AS ema_fast, {cut_sql('es')} AS ema_slow, "
     f"{cut_sql('CASE WHEN seq >= 13 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / nullif(l, 0)) END END')} AS rsi FROM r JOIN m USING (symbol, seq)")
+
+# --- walk forward: every fold fitted by a join to all rows whose label bar lies before it -----------------------
+_QUARTER = "(year({0}) * 4 + quarter({0}) - 1)"
+_WALK = f"""{numbered('flag_daily')},
+e AS (SELECT *, avg(close) OVER w AS a, min(close) OVER w AS lo, max(close) OVER w AS hi, lag(close) OVER o AS c1, lag(close, 5) OVER o AS c5,
+ lead(close, 5) OVER o / close - 1 AS ahead, lead(ts, 5) OVER o AS seen, {_QUARTER.format('ts')} AS fold
+ FROM b WINDOW o AS (PARTITION BY symbol ORDER BY seq), w AS (PARTITION BY symbol ORDER BY seq ROWS 19 PRECEDING)),
+x AS MATERIALIZED (SELECT * FROM (SELECT symbol, seq, ts, fold, {_QUARTER.format('seen')} AS known, ahead, model, feature, v, count(v) OVER (PARTITION BY symbol, seq, model) = count(*) OVER (PARTITION BY symbol, seq, model) AS whole
+ FROM e, LATERAL (VALUES ('trend', 1, CASE WHEN seq >= 19 THEN close / a - 1 END), ('trend', 2, close / c5 - 1), ('trend', 3, CASE WHEN seq >= 19 AND hi > lo THEN (close - lo) / (hi - lo) END),
+  ('swing', 1, close / c1 - 1), ('swing', 2, (high - low) / close)) t(model, feature, v)) WHERE whole),
+y AS MATERIALIZED (SELECT *, CASE WHEN side = 'buy' THEN ahead > 0.002 ELSE ahead < -0.002 END AS hit FROM x, (VALUES ('buy'), ('sell')) t(side) WHERE ahead IS NOT NULL),
+fit AS (SELECT g.symbol, g.fold, side, model, feature, count(*) FILTER (hit) AS n1, count(*) FILTER (NOT hit) AS n0, avg(v) AS m, sqrt(var_pop(v)) AS d,
+ avg(v) FILTER (hit) AS m1, avg(v) FILTER (NOT hit) AS m0, greatest(var_pop(v) FILTER (hit), var_pop(v) * 1e-6) AS v1, greatest(var_pop(v) FILTER (NOT hit), var_pop(v) * 1e-6) AS v0
+ FROM (SELECT DISTINCT symbol, fold FROM e) g JOIN y ON y.symbol = g.symbol AND y.known < g.fold GROUP BY ALL HAVING n1 >= 50 AND n0 >= 50),
+z AS (SELECT x.symbol, seq, side, model, ln(any_value(n1) / any_value(n0)) + sum(power(h - m0, 2) / (2 * v0) + ln(v0) / 2 - power(h - m1, 2) / (2 * v1) - ln(v1) / 2) AS z
+ FROM (SELECT x.*, f.* EXCLUDE (symbol, fold, model, feature), greatest(least(v, m + 5 * d), m - 5 * d) AS h FROM x JOIN fit f USING (symbol, fold, model, feature)) x GROUP BY ALL),
+p AS MATERIALIZED (SELECT symbol, seq, side, model, 1 / (1 + exp(-(2 / (1 + exp(-z)) - 1))) AS p FROM z),
+k AS MATERIALIZED (SELECT b.symbol, b.seq, m.side, m.model, coalesce(p.p > 0.5, false) AS hit FROM b CROSS JOIN (SELECT DISTINCT side, model FROM p) m LEFT JOIN p ON p.symbol = b.symbol AND p.seq = b.seq AND p.side = m.side AND p.model = m.model),
+r(symbol, side, model, seq, last, sig) AS (SELECT symbol, side, model, seq, CASE WHEN hit THEN seq ELSE -1 END, hit FROM k WHERE seq = 0 UNION ALL
+ SELECT k.symbol, k.side, k.model, k.seq, CASE WHEN k.hit AND (last < 0 OR k.seq - last >= 10) THEN k.seq ELSE last END, k.hit AND (last < 0 OR k.seq - last >= 10)
+ FROM r JOIN k ON k.symbol = r.symbol AND k.side = r.side AND k.model = r.model AND k.seq = r.seq + 1),
+w AS (SELECT p.symbol, p.seq, p.side, p.model, p.p, r.sig::INTEGER AS signal FROM p JOIN r USING (symbol, seq, side, model)
+ UNION ALL SELECT symbol, seq, side, 'ensemble', avg(p), (avg(p) > 0.4)::INTEGER FROM p GROUP BY ALL)"""
+SQL["walk_forward"] = (
+    f"WITH RECURSIVE {_WALK} SELECT w.symbol, {stamp('e.ts')} AS ts, e.fold::INTEGER AS fold, side, model, signal, {q('p', 4, 'probability')} FROM w JOIN e USING (symbol, seq)")
+SQL["walk_forward_trades"] = (
+    f"""WITH RECURSIVE {_WALK},
+g AS (SELECT b.symbol, b.seq, b.close, coalesce(s, 0) AS s FROM b LEFT JOIN (SELECT symbol, seq, sum(CASE WHEN side = 'buy' THEN signal ELSE -signal END) AS s FROM w WHERE model = 'trend' GROUP BY ALL) USING (symbol, seq)),
+h AS (SELECT *, coalesce(last_value(nullif(s, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) AS held FROM g),
+t AS (SELECT *, lag(held) OVER (PARTITION BY symbol ORDER BY seq) AS old FROM h),
+u AS (SELECT *, lead(seq) OVER o AS exit_seq, lead(close) OVER o AS exit_px FROM t WHERE old IS NULL OR held <> old WINDOW o AS (PARTITION BY symbol ORDER BY seq)),
+v AS (SELECT *, (exit_px - close) * held AS pnl FROM u WHERE held <> 0)
+SELECT symbol, CASE WHEN held > 0 THEN 'long' ELSE 'short' END AS side, seq AS entry_seq, exit_seq::DOUBLE AS exit_seq, {q('pnl', 2)},
+ CASE WHEN exit_seq IS NOT NULL THEN {cut_sql('sum(pnl) OVER (PARTITION BY symbol ORDER BY seq) + 10000.0::DOUBLE', 2)} END AS balance FROM v""")

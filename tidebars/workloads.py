@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebars.functions.expr import C, SEQ, cross_dn, cross_up, ema, glob, lag, ncol, pct, run, sma, true, when
+from tidebars.functions.expr import C, H, L, SEQ, cross_dn, cross_up, ema, glob, lag, lead, ncol, pct, roll, run, sma, true, when
 from tidebars.operators import cross_asset as X
 from tidebars.operators import folds, labels, ledger
 from tidebars.operators.indicators import rsi
@@ -488,6 +488,50 @@ def structure_report(spark, sf):
     return r.select("rows", "features", "nulls", "positives", cut(F.col("rate"), 6).alias("rate"))
 
 
+# --- walk forward ---------------------------------------------------------------------------------
+def _walk(laid, models, unit="quarter"):
+    """Two sides of a five-bar change, from five features."""
+    from tidebars.operators.walk_forward import walk_forward
+
+    low, high = roll("min", C, 20), roll("max", C, 20)
+    features = {
+        "gap20": C / sma(C, 20) - 1.0, "change5": C / lag(C, 5) - 1.0, "change1": C / lag(C) - 1.0,
+        "width": (H - L) / C, "place": when((high - low) > 0.0, (C - low) / (high - low)),
+    }
+    ahead = lead(C, 5) / C - 1.0
+    side = lambda hit: when(true(hit), 1, true(ahead.eq(ahead)), 0)
+    return walk_forward(laid, features, {"buy": side(ahead > 0.002), "sell": side(ahead < -0.002)}, models, 5, unit)
+
+
+def _sum_models(kind):
+    from tidebars.operators.walk_forward import Model
+
+    names = {"trend": ("gap20", "change5", "place"), "swing": ("change1", "width")}
+    return [Model(n, side, f, kind) for n, f in names.items() for side in ("buy", "sell")]
+
+
+def walk_forward(spark, sf):
+    d = _walk(shelf(spark, sf, "flag_daily"), _sum_models("bayes"))
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts", "fold", "side", "model", "signal"], ["probability"])
+
+
+def walk_forward_trades(spark, sf):
+    from tidebars.operators.walk_forward import walk_ledger
+
+    laid = shelf(spark, sf, "flag_daily")
+    t = walk_ledger(laid, _walk(laid, _sum_models("bayes")), "buy", "sell", "trend")
+    d = ledger.balance(t, 10000.0).select("symbol", "entry_ts", "balance").join(t, ["symbol", "entry_ts"], "right")
+    return _rounded(d.select("symbol", "side", "entry_seq", F.col("exit_seq").cast("double").alias("exit_seq"), "pnl", "balance"), ["symbol", "side", "entry_seq", "exit_seq"], ["pnl", "balance"], 2)
+
+
+def walk_forward_summary(spark, sf):
+    """Ridge scores and a forest refitted every year, summed up by model and side."""
+    from tidebars.operators.walk_forward import Model
+
+    forest = [Model("forest", side, ("gap20", "change5", "change1", "width", "place"), "forest", 0.55) for side in ("buy", "sell")]
+    return evaluate.model_summary(_walk(shelf(spark, sf, "flag_daily"), _sum_models("ridge") + forest, "year"))
+
+
 # --- streaming ------------------------------------------------------------------------------------
 def _drain(spark, stream, label):
     """Run a bounded stream to its end into a table in the shared folder."""
