@@ -48,7 +48,7 @@ OFTEN = 512
 #: Blocks completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
 FIRST, MANY = 8, 16
 #: Texts looked at together.
-BATCH = 64
+BATCH = 128
 #: Rounding of single precision, in bounds and products of unit vectors.
 ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
@@ -113,24 +113,24 @@ class Index:
 
     @staticmethod
     def build(vocabulary: np.ndarray, idf: np.ndarray, doc: np.ndarray, label: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
-        """Examples with `sizes` terms each, whose numbers and counts follow each other in `term` and `tf`."""
-        row = np.repeat(np.arange(len(doc)), sizes)
+        """Examples with `sizes` terms each (one at least), whose numbers and counts follow each other in `term` and `tf`."""
+        row = np.repeat(np.arange(len(doc), dtype=np.int32), sizes)
         weight = ((1 + np.log(tf)) * idf[term]).astype(np.float32)
-        # Examples with the same leading terms share blocks, which keeps bounds tight.
-        best = np.lexsort((term, -weight, row))
-        heads = (np.cumsum(sizes) - sizes)[:, None] + np.minimum(np.arange(3), np.maximum(sizes - 1, 0)[:, None])
-        lead = term[best][heads] if len(term) else np.zeros((len(doc), 3), np.int64)
-        order = np.lexsort((doc, *lead.T[::-1]))
+        # Examples with the same leading term share blocks, which keeps bounds tight.
+        lead = (weight.view(np.uint32).astype(np.int64) << 32) | term
+        lead = np.maximum.reduceat(lead, np.cumsum(sizes) - sizes) & 0xFFFFFFFF if len(lead) else np.zeros(len(doc), np.int64)
+        order = np.lexsort((doc, label, lead))
+        del lead
         blocks = -(-len(doc) // BLOCK)
         place = np.arange(len(doc)) % BLOCK * blocks + np.arange(len(doc)) // BLOCK
-        number = np.empty(len(doc), np.int64)
+        number = np.empty(len(doc), np.int32)
         number[order] = place
         names, kinds = np.full(blocks * BLOCK, -1, np.int64), np.zeros(blocks * BLOCK)
         names[place], kinds[place] = doc[order], label[order]
+        weight /= np.sqrt(np.bincount(row, weights=weight**2, minlength=len(doc))).astype(np.float32)[row]
         row = number[row]
-        weight /= np.sqrt(np.bincount(row, weights=weight.astype(float) ** 2, minlength=len(names))).astype(np.float32)[row]
-        by = np.lexsort((row, term))
-        posting = row[by] << 32 | weight[by].view(np.uint32).astype(np.int64)
+        by = np.argsort(term.astype(np.int64) * len(names) + row)
+        posting = row[by].astype(np.int64) << 32 | weight[by].view(np.uint32).astype(np.int64)
         return Index(vocabulary, idf, names, kinds, np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))].astype(np.int32), posting)
 
     @staticmethod
@@ -158,7 +158,7 @@ class Index:
             return np.zeros(len(self.doc))
         first, last = self.start[terms], self.start[terms + 1]
         row, weight = self.parts(np.concatenate([self.posting[a:b] for a, b in zip(first.tolist(), last.tolist())]))
-        return np.bincount(row, weights=np.repeat(weights, last - first) * weight, minlength=len(self.doc))
+        return np.bincount(row, weights=np.repeat(weights.astype(np.float32), last - first) * weight, minlength=len(self.doc))
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (terms, weights) the example numbers and cosines of the k nearest that share a term (ties: lower number).
@@ -291,19 +291,30 @@ class Judge:
         return [(float(np.interp(vote, self.edges, self.levels)) if len(near) else self.alone, near, cosine) for vote, near, cosine in found]
 
 
+def _values(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The blobs of a column, one after another."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(flat_blob(c), kind) for c in column.chunks)])
+
+
+def flat_blob(chunk: pa.BinaryArray) -> pa.Buffer | bytes:
+    _, offsets, data = chunk.buffers()
+    at = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+    return data[int(at[0]) : int(at[-1])] if data is not None else b""
+
+
 def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Judge:
     context = docs.sparkSession.sparkContext
     rows = coded(examples_of(docs, labels, label, learn))
     sample = rows.toArrow()  # the terms of the bounded sample, twelve bytes each
     doc, y = sample.column("doc_id").to_numpy(), sample.column("y").to_numpy().astype(float)
-    terms, counts = (np.concatenate([np.zeros(0, t), *(np.frombuffer(b.as_py(), t) for b in sample.column(c))]) for c, t in (("terms", np.uint64), ("counts", np.int32)))
-    sizes = np.array([len(b.as_py()) // 8 for b in sample.column("terms")], np.int64)
-    del sample
+    terms, counts = (_values(sample.column(c), t) for c, t in (("terms", np.uint64), ("counts", np.int32)))
+    sizes = pc.binary_length(sample.column("terms")).to_numpy().astype(np.int64) // 8
     prior = ((y == 1).sum() + 0.5) / (len(y) + 1)
-    vocabulary, term = np.unique(terms, return_inverse=True) if (y == 1).any() and (y == 0).any() else (terms[:0], np.zeros(0, np.int64))
-    del terms
-    if not len(vocabulary):
-        doc, y, sizes, counts = doc[:0], y[:0], sizes[:0], counts[:0]
+    if not ((y == 1).any() and (y == 0).any()):
+        terms, doc, y, sizes, counts = terms[:0], doc[:0], y[:0], sizes[:0], counts[:0]
+    vocabulary = np.unique(terms)
+    term = np.searchsorted(vocabulary, terms).astype(np.int32)
+    del terms, sample
     shared = context.broadcast(vocabulary)  # bounded by the sample
     frequency, total = frequencies(docs, shared, len(vocabulary)) if len(vocabulary) else (np.zeros(0), 0)
     shared.unpersist()
