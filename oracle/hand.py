@@ -401,3 +401,9 @@ u AS (SELECT *, lead(seq) OVER o AS exit_seq, lead(close) OVER o AS exit_px FROM
 v AS (SELECT *, (exit_px - close) * held AS pnl FROM u WHERE held <> 0)
 SELECT symbol, CASE WHEN held > 0 THEN 'long' ELSE 'short' END AS side, seq AS entry_seq, exit_seq::DOUBLE AS exit_seq, {q('pnl', 2)},
  CASE WHEN exit_seq IS NOT NULL THEN {cut_sql('sum(pnl) OVER (PARTITION BY symbol ORDER BY seq) + 10000.0::DOUBLE', 2)} END AS balance FROM v""")
+_W20 = "OVER (PARTITION BY symbol ORDER BY seq ROWS 19 PRECEDING)"
+SQL["stream_context"] = (
+    f"WITH RECURSIVE {numbered('events_hourly')}, m AS MATERIALIZED (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY seq) AS c, "
+    f"CASE WHEN seq >= 19 THEN sum((high + low + close) / 3 * volume) {_W20} / nullif(sum(volume) {_W20}, 0) END AS vwap, CASE WHEN seq >= 19 THEN max(high) {_W20} END AS top, CASE WHEN seq >= 19 THEN min(low) {_W20} END AS bottom FROM b), "
+    f"r(symbol, seq, atr) AS (SELECT symbol, seq, (high - low)::DOUBLE FROM m WHERE seq = 0 UNION ALL SELECT m.symbol, m.seq, r.atr + (greatest(m.high, m.c) - least(m.low, m.c) - r.atr) / 14 FROM r JOIN m ON m.symbol = r.symbol AND m.seq = r.seq + 1) "
+    f"SELECT symbol, {stamp('m.ts')} AS ts, 0::BIGINT AS repeats, {cut_sql('atr')} AS atr, {cut_sql('sum(coalesce(sign(close - c), 0) * volume) OVER (PARTITION BY symbol ORDER BY seq)')} AS obv, {q('vwap')}, {q('top')}, {q('bottom')} FROM r JOIN m USING (symbol, seq)")

@@ -533,18 +533,6 @@ def walk_forward_summary(spark, sf):
 
 
 # --- streaming ------------------------------------------------------------------------------------
-def _drain(spark, stream, label):
-    """Run a bounded stream to its end into a table in the shared folder."""
-    import uuid
-
-    from tidebars.plans.layout import scratch_dir
-
-    root = f"{scratch_dir(spark)}/tidebars/{label}-{uuid.uuid4().hex}"
-    q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
-
-
 def _event_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(str(sf))
@@ -552,26 +540,31 @@ def _event_stream(spark, sf):
 
 
 def stream_bars(spark, sf):
-    """Hourly bars: those the watermark has closed, and at the end of the input those still open."""
+    """Hourly bars of the event stream; the close of the input is marked, and the windows still open come out of state."""
+    from tidebars.streaming.bars import drained
     from tidebars.streaming.bars import stream_bars as build
 
-    s = build(_event_stream(spark, sf), F.col("event_type"), F.col("value"), F.lit(1.0), ["ts", "event_id"], "1 hour", "1 hour", "ts", ["event_id"])
-    closed = _drain(spark, s, "stream-bars")
-    # Only the last hours, which no watermark has passed, are built from the table.
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    end = closed.agg(F.max("ts")).first()[0]
-    late = events if end is None else events.filter(F.col("ts") >= F.lit(end))
-    tail = B.ticks_to_bars(late, F.col("event_type"), F.date_trunc("hour", "ts").cast("timestamp"), F.col("value"), F.lit(1.0), ["ts", "event_id"])
-    bars = closed.unionByName(tail.join(closed, ["symbol", "ts"], "left_anti").select(*closed.columns))
+    hourly = lambda s: build(s, F.col("event_type"), F.col("value"), F.lit(1.0), ["ts", "event_id"], "1 hour", "1 hour", "ts", ["event_id"])
+    bars = drained(spark, _event_stream(spark, sf), hourly, "stream-bars")
     return _rounded(bars.withColumn("ts", stamp()), ["symbol", "ts"], list(B.PRICE_COLUMNS))
 
 
+def _streamed_indicators(spark, sf):
+    """Bars replayed in weekly files, two a batch."""
+    from tidebars.streaming.bars import drained, replayed, state_in_rocksdb, stream_indicators
+
+    bars = shelf(spark, sf, "events_hourly").df.select("symbol", "ts", *B.PRICE_COLUMNS)
+    with state_in_rocksdb(spark):
+        return drained(spark, replayed(bars, "week", "replay", 2), stream_indicators, "stream-indicators")
+
+
 def stream_signals(spark, sf):
     """Incremental indicators and cooled-down signals over bars read as a stream."""
-    from tidebars.streaming.bars import stream_indicators
-
-    laid = shelf(spark, sf, "events_hourly")
-    path = laid.df.inputFiles()[0].rsplit("/", 1)[0]
-    bars = spark.readStream.schema(laid.df.schema).parquet(path)
-    d = _drain(spark, stream_indicators(bars.select("symbol", "ts", "close"), ttl_ms=None), "stream-signals")
+    d = _streamed_indicators(spark, sf)
     return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts", "signal"], ["close", "sma", "ema_fast", "ema_slow", "rsi"])
+
+
+def stream_context(spark, sf):
+    """Range, volume and extremes of the rolling context, from the same stream."""
+    d = _streamed_indicators(spark, sf)
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts", "repeats"], ["atr", "obv", "vwap", "top", "bottom"])
