@@ -191,6 +191,29 @@ _TRUTH = (
     f"trades AS MATERIALIZED (SELECT symbol, 'long' AS side, seq AS entry_seq, x AS exit_seq, profit FROM rl JOIN cl USING (symbol, seq) WHERE keep UNION ALL "
     f"SELECT symbol, 'short', seq, x, profit FROM rs JOIN cs USING (symbol, seq) WHERE keep)")
 SQL["truth_trades_suffix"] = f"WITH RECURSIVE {_TRUTH} SELECT symbol, side, entry_seq, exit_seq, {q('profit')} FROM trades"
+
+
+def _optimal(name, sign):
+    """Backwards, bar by bar, with lists of all later prices and of what each is worth as an exit; then forwards."""
+    return (
+        f"{name}(symbol, seq, dp, ps, ws, x) AS (SELECT symbol, seq, 0.0::DOUBLE, [close * {sign}]::DOUBLE[], [close * {sign}]::DOUBLE[], NULL::BIGINT FROM g WHERE seq = (SELECT max(seq) FROM g o WHERE o.symbol = g.symbol) UNION ALL "
+        f"SELECT symbol, seq, greatest(dp, coalesce(best, dp)), list_append(ps, p), list_append(ws, p + dp), CASE WHEN best > dp THEN seq + 1 + len(ws) - list_position(open, list_max(open)) END FROM ("
+        f"SELECT g.symbol, g.seq, r.dp, r.ps, r.ws, g.close * {sign} AS p, list_transform(r.ws, lambda w, i: CASE WHEN g.ok AND r.ps[i] - g.close * {sign} >= g.need THEN w END) AS open, list_max(list_transform(r.ws, lambda w, i: CASE WHEN g.ok AND r.ps[i] - g.close * {sign} >= g.need THEN w END)) - g.close * {sign} AS best "
+        f"FROM {name} r JOIN g ON g.symbol = r.symbol AND g.seq = r.seq - 1))"
+    )
+
+
+def _taken(name, of):
+    return (
+        f"{name}(symbol, seq, last, keep) AS (SELECT symbol, seq, coalesce(x, -1), x IS NOT NULL FROM {of} WHERE seq = 0 UNION ALL SELECT c.symbol, c.seq, CASE WHEN c.x IS NOT NULL AND c.seq > r.last THEN c.x ELSE r.last END, "
+        f"c.x IS NOT NULL AND c.seq > r.last FROM {name} r JOIN {of} c ON c.symbol = r.symbol AND c.seq = r.seq + 1)"
+    )
+
+
+SQL["truth_trades_optimal"] = (
+    f"WITH RECURSIVE {_GATES}, {_optimal('ol', '1')}, {_optimal('os', '-1')}, xl AS MATERIALIZED (SELECT symbol, seq, x FROM ol), xs AS MATERIALIZED (SELECT symbol, seq, x FROM os), {_taken('kl', 'xl')}, {_taken('ks', 'xs')}, "
+    f"o AS (SELECT symbol, 'long' AS side, 1 AS s, seq, x FROM kl JOIN xl USING (symbol, seq) WHERE keep UNION ALL SELECT symbol, 'short', -1, seq, x FROM ks JOIN xs USING (symbol, seq) WHERE keep) "
+    f"SELECT t.symbol, side, t.seq AS entry_seq, x AS exit_seq, {cut_sql('(b.close - a.close) * s')} AS profit FROM o t JOIN g a ON a.symbol = t.symbol AND a.seq = t.seq JOIN g b ON b.symbol = t.symbol AND b.seq = t.x")
 SQL["close_marks"] = (
     f"WITH RECURSIVE {_TRUTH}, n AS (SELECT *, lead(entry_seq) OVER (PARTITION BY symbol ORDER BY entry_seq, side) - 1 AS bn FROM trades), "
     f"k AS (SELECT symbol, CASE WHEN bn > entry_seq THEN bn ELSE exit_seq END AS seq FROM n) "

@@ -50,18 +50,28 @@ def brute_optimal(p, need, ok):
 
 
 @pytest.mark.parametrize("side", ["long", "short"])
-def test_optimal_trades_match_brute_force(spark, side):
-    laid = laid_of(spark, zigzag(120, 11), 25)
+@pytest.mark.parametrize("rows, warm", [(25, 512), (25, 3), (7, 1), (1000, 512)])
+def test_optimal_trades_match_brute_force(spark, side, rows, warm):
+    laid = laid_of(spark, zigzag(120, 11), rows)
     g = labels.gates(laid).toPandas().sort_values("seq")
     sign = 1 if side == "long" else -1
     best = brute_optimal((g["close"] * sign).tolist(), g["need"].tolist(), g["open_ok"].tolist())
-    t = labels.optimal_trades(laid, side).toPandas().sort_values("entry_seq")
+    t = labels.optimal_trades(laid, side, warm).toPandas().sort_values("entry_seq")
     assert abs(t["profit"].sum() - best) < 1e-9
     assert (t["entry_seq"].values[1:] > t["exit_seq"].values[:-1]).all()
     greedy = labels.truth_trades(laid, side).toPandas()["profit"].sum()
     assert best >= greedy - 1e-9
 
 
+@pytest.mark.parametrize("chunks", [8, 40])
+def test_optimal_trades_forget_far_exits(spark, chunks):
+    # However many chunks there are, a few rounds settle a series that swings.
+    x = 50 + 10 * np.sin(np.arange(chunks * 50) / 4) + np.random.default_rng(2).normal(size=chunks * 50)
+    a = labels.optimal_trades(laid_of(spark, x, 50), "long", 60, 2).toPandas().sort_values("entry_seq")
+    b = labels.optimal_trades(laid_of(spark, x, 100_000), "long").toPandas().sort_values("entry_seq")
+    assert a["entry_seq"].tolist() == b["entry_seq"].tolist() and a["exit_seq"].tolist() == b["exit_seq"].tolist() and len(a) > 2 * chunks
+
+
 def test_best_later_exit_matches_brute_force(spark):
     laid = laid_of(spark, zigzag(100, 5), 12)
     g = labels.gates(laid).toPandas().sort_values("seq", ignore_index=True)

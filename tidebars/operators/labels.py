@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.expr import C, H, L, V, absx, greatest, lag, lead, ncol, roll, signx, sma, when
+from tidebars.functions.expr import C, H, L, V, absx, greatest, lag, lead, ncol, roll, run, signx, sma, when
 from tidebars.operators import folds
 from tidebars.operators.indicators import TR0
 from tidebars.plans.features import add_features
 from tidebars.plans.layout import Laid, lay_out, settle
-from tidebars.plans.scan import chunk_sweep
 
 
 def gates(laid: Laid, min_profit=0.0015, atr_mult=1.0, vol_mult=1.0) -> DataFrame:
@@ -60,48 +59,55 @@ def truth_trades(laid: Laid, side: str = "long", **limits) -> DataFrame:
 
 
 def _optimal_step(state, x):
-    """Backward sweep.  state: dp of the next bar, last bar's future values, then the
-    frontier (price, worth, exit) in falling price order; worth = price + dp after the exit."""
-    dp_next = state[0] if state else 0.0
-    k = (len(state) - 1) // 3 if state else 0
-    negp, worth, exits = (list(state[1 + i * k : 1 + (i + 1) * k]) for i in range(3)) if k else ([], [], [])
-    p, need, ok, seq = x["_p"], x["need"], x["_ok"], x["seq"]
-    n = len(p)
-    exit_, dp = np.full(n, np.nan), np.zeros(n)
-    for i in range(n - 1, -1, -1):
-        best = dp_next
+    """One chunk of bars, last bar first.  state: the exits that can still be best, as a staircase of falling price
+    (negative prices, worths, exits); the worth of an exit is its price and what the bars after it earn, less what the
+    bars from here on earn.  Every gain lowers all worths, and an exit worth no more than any entry still to come is
+    dropped, so a state forgets bars that are some good trades away."""
+    k = len(state) // 3
+    negp, worth, exits = (list(state[i * k : (i + 1) * k]) for i in range(3))
+    p, need, ok, at, least = (x[c].tolist() for c in ("_p", "need", "_ok", "_at", "_least"))
+    out = [np.nan] * len(p)
+    for i, price in enumerate(p):
+        gain = 0.0
         if ok[i] == 1.0:
             # highest worth among prices >= entry + need: worth rises as the price falls
-            at = bisect_left(negp, -(p[i] + need[i]) + 1e-15 * abs(p[i])) - 1
-            while at + 1 < len(negp) and -negp[at + 1] - p[i] >= need[i]:
-                at += 1
-            while at >= 0 and -negp[at] - p[i] < need[i]:
-                at -= 1
-            if at >= 0 and worth[at] - p[i] > best:
-                best, exit_[i] = worth[at] - p[i], exits[at]
-        # bar i as an exit: what remains after it is the dp of the bar behind
-        w = p[i] + dp_next
-        at = bisect_left(negp, -p[i])
-        if at == 0 or worth[at - 1] < w or (worth[at - 1] == w):
-            end = at
+            j = bisect_left(negp, -(price + need[i]) + 1e-15 * abs(price)) - 1
+            while j + 1 < len(negp) and -negp[j + 1] - price >= need[i]:
+                j += 1
+            while j >= 0 and -negp[j] - price < need[i]:
+                j -= 1
+            if j >= 0 and worth[j] - price > 0.0:
+                gain, out[i] = worth[j] - price, exits[j]
+                worth = [w - gain for w in worth]
+        # this bar as an exit: what remains after it is what the bars behind it earn
+        w = price - gain
+        j = bisect_left(negp, -price)
+        if j == 0 or worth[j - 1] <= w:
+            end = j
             while end < len(negp) and worth[end] <= w:
                 end += 1
-            negp[at:end], worth[at:end], exits[at:end] = [-p[i]], [w], [seq[i]]
-        dp_next = best
-        dp[i] = best
-    return [dp_next] + negp + worth + exits, {"exit_seq": exit_, "dp": dp}
+            negp[j:end], worth[j:end], exits[j:end] = [-price], [w], [at[i]]
+        dead = len(worth) if np.isnan(least[i]) else bisect_right(worth, least[i])
+        if dead:
+            del negp[:dead], worth[:dead], exits[:dead]
+    return negp + worth + exits, {"exit_seq": np.array(out)}
 
 
-def optimal_trades(laid: Laid, side: str = "long", **limits) -> DataFrame:
+def optimal_trades(laid: Laid, side: str = "long", warm: int = 512, max_rounds: int | None = None, **limits) -> DataFrame:
     """Non-overlapping trades with the largest total profit.
 
-    A backward sweep chunk by chunk keeps the exits that can still be best (a
-    staircase of price against worth); the trades follow by a forward greedy pass.
-    """
+    Backwards, each bar needs the exits that can still be best.  All chunks start at once from what the ``warm`` bars
+    behind them leave, and only those whose guess was wrong run again; the trades follow by a forward greedy pass."""
     sign = 1.0 if side == "long" else -1.0
     g = gates(laid, **limits).withColumn("_p", F.col("close") * sign).withColumn("_ok", F.col("open_ok").cast("double"))
     base = Laid(settle(g, "gates"), laid.rows)
-    choice = settle(chunk_sweep(base, _optimal_step, ["_p", "need", "_ok"], ["exit_seq", "dp"], reverse=True), "choice")
+    entry = when(ncol("_ok").eq(1.0), ncol("_p"))
+    low = add_features(base, {"_least": run("min", entry)}, ["symbol", "seq", "bars", "_p", "need", "_ok"])
+    back = F.col("bars") - 1 - F.col("seq")
+    turned = low.withColumns({"_at": F.col("seq").cast("double"), "seq": back.cast("long"), "chunk": F.floor(back / laid.rows).cast("long")})
+    turned = Laid(settle(turned, "turned"), laid.rows)
+    choice = folds.chunk_fold(turned, _optimal_step, [], ["_p", "need", "_ok", "_at", "_least"], ["exit_seq"], ["symbol", "_at"], warm, max_rounds=max_rounds)
+    choice = settle(choice.select("symbol", F.col("_at").cast("long").alias("seq"), "exit_seq"), "choice")
     cand = base.df.join(choice, ["symbol", "seq"])
     kept = folds.non_overlapping(Laid(settle(cand, "cand"), laid.rows), ["symbol", "seq", "ts", "close", "exit_seq"])
     trades = kept.filter("kept = 1")

@@ -7,9 +7,6 @@ the guesses are then checked against the true end state of the chunk before,
 and only chunks whose guess was wrong are run again, until all agree.  The
 result is the sequential one; with states that forget their past, one or two
 rounds suffice.
-
-``chunk_sweep`` is the plain sequential form: chunk after chunk, all symbols in
-parallel, the state between chunks kept in a table.
 """
 
 from __future__ import annotations
@@ -94,47 +91,3 @@ def chunk_fold(
         return res
 
     return full.groupBy("symbol", "chunk").applyInPandas(emit, T.StructType(fields))
-
-
-def chunk_sweep(
-    laid: Laid, step: Callable, columns: list[str], outputs: list[str], reverse: bool = False,
-) -> DataFrame:
-    """Sequential over chunks, parallel over symbols; one job per chunk number.
-
-    ``step(state, columns) -> (state, outputs)`` where the state is a list of
-    floats of any length and starts empty.
-    """
-    cols = list(dict.fromkeys(columns + ["seq"]))
-    # one directory per chunk number, so each job reads its own rows only
-    slim = settle(laid.df.select("symbol", "chunk", *cols).repartition("chunk", "symbol"), "sweep", by="chunk")
-    span = slim.agg(F.max("chunk")).first()[0]
-    if span is None:
-        raise ValueError("no bars")
-    schema = "symbol string, seq long, " + ", ".join(f"{o} double" for o in outputs) + ", state array<double>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", ignore_index=True)
-        first = pdf["state"].iloc[0]
-        state = [] if first is None else list(first)
-        state, out = step(state, _arrays(pdf, cols))
-        res = pdf[["symbol", "seq"]].copy()
-        for o in outputs:
-            res[o] = out[o]
-        res["state"] = [None] * (len(res) - 1) + [list(map(float, state))]
-        return res
-
-    parts, states = None, None
-    for k in range(span, -1, -1) if reverse else range(span + 1):
-        part = slim.filter(F.col("chunk") == k)
-        if states is None:
-            part = part.withColumn("state", F.lit(None).cast("array<double>"))
-        else:
-            part = part.join(states, "symbol", "left")
-        done = settle(part.groupBy("symbol").applyInPandas(run, schema), "sweep")
-        last = done.filter(F.col("state").isNotNull()).select("symbol", "state")
-        if states is not None:
-            old = states.join(last.select("symbol"), "symbol", "left_anti")
-            last = last.unionByName(old)
-        states = last
-        parts = done if parts is None else parts.unionByName(done)
-    return parts.select("symbol", "seq", *outputs)
