@@ -38,21 +38,47 @@ def decay_scan(q: float, b: np.ndarray) -> np.ndarray:
 
 
 def general_scan(a, a2: float, b: np.ndarray) -> np.ndarray:
-    """Same with a factor per bar and an optional second-order term."""
+    """y[t] = a[t]*y[t-1] + a2*y[t-2] + b[t]; the last result stays over missing values.
+
+    Blocks of bars run side by side: a first pass finds what each block does to its two start values (a map of two by two
+    and a shift), the maps are chained block by block, and a second pass runs all blocks from their true start values."""
     out = np.full(len(b), np.nan)
-    ok = np.flatnonzero(~np.isnan(b))
-    if len(ok) == 0:
+    factors = np.broadcast_to(np.asarray(a, dtype=float), b.shape)
+    if not len(b) or np.isnan(b).all():
         return out
-    factors = np.broadcast_to(np.asarray(a, dtype=float), b.shape).tolist()
-    y1 = y2 = 0.0
-    vals = b.tolist()
-    for t in range(ok[0], len(vals)):
-        if vals[t] == vals[t] and factors[t] == factors[t]:
-            y1, y2 = factors[t] * y1 + a2 * y2 + vals[t], y1
-        out[t] = y1
+    start = int(np.argmin(np.isnan(b)))
+    known = ~(np.isnan(b[start:]) | np.isnan(factors[start:]))
+    at = np.cumsum(known) - 1
+    y = _affine_blocks(factors[start:][known], a2, b[start:][known])
+    out[start:] = np.where(at < 0, 0.0, y[np.maximum(at, 0)] if len(y) else 0.0)
     return out
 
 
+def _affine_blocks(a: np.ndarray, a2: float, b: np.ndarray) -> np.ndarray:
+    n = len(b)
+    size = max(1, math.isqrt(n))
+    blocks = -(-n // size) if n else 0
+    # One row for each place in a block, one column for each block; what fills up the last block comes after the end.
+    fill = lambda x: np.ascontiguousarray(np.r_[x, np.zeros(blocks * size - n)].reshape(blocks, size).T)
+    a, b = fill(a), fill(b)
+    # Columns of the pairs: from (1, 0) without shifts, from (0, 1) without shifts, from (0, 0) with shifts.
+    now, before = np.zeros((3, blocks)), np.zeros((3, blocks))
+    now[0] = before[1] = 1.0
+    shift = np.zeros((3, blocks))
+    for t in range(size):
+        shift[2] = b[t]
+        now, before = a[t] * now + a2 * before + shift, now
+    y1, y2 = np.zeros(blocks), np.zeros(blocks)
+    for k, (p, q, r, s, u, v) in enumerate(zip(*now[:, : blocks - 1].tolist(), *before[:, : blocks - 1].tolist())):
+        y1[k + 1] = p * y1[k] + q * y2[k] + r
+        y2[k + 1] = s * y1[k] + u * y2[k] + v
+    out = np.empty((size, blocks))
+    for t in range(size):
+        y1, y2 = a[t] * y1 + a2 * y2 + b[t], y1
+        out[t] = y1
+    return out.T.ravel()[:n]
+
+
 def start_value(fn: str, x: np.ndarray, seq: np.ndarray, n: int, start: int) -> np.ndarray:
     out = np.full(len(x), np.nan)
     at = np.flatnonzero(seq == start)
