@@ -430,3 +430,23 @@ SQL["stream_context"] = (
     f"CASE WHEN seq >= 19 THEN sum((high + low + close) / 3 * volume) {_W20} / nullif(sum(volume) {_W20}, 0) END AS vwap, CASE WHEN seq >= 19 THEN max(high) {_W20} END AS top, CASE WHEN seq >= 19 THEN min(low) {_W20} END AS bottom FROM b), "
     f"r(symbol, seq, atr) AS (SELECT symbol, seq, (high - low)::DOUBLE FROM m WHERE seq = 0 UNION ALL SELECT m.symbol, m.seq, r.atr + (greatest(m.high, m.c) - least(m.low, m.c) - r.atr) / 14 FROM r JOIN m ON m.symbol = r.symbol AND m.seq = r.seq + 1) "
     f"SELECT symbol, {stamp('m.ts')} AS ts, 0::BIGINT AS repeats, {cut_sql('atr')} AS atr, {cut_sql('sum(coalesce(sign(close - c), 0) * volume) OVER (PARTITION BY symbol ORDER BY seq)')} AS obv, {q('vwap')}, {q('top')}, {q('bottom')} FROM r JOIN m USING (symbol, seq)")
+
+SQL["statements_asof"] = (
+    f"WITH b AS ({BARS['flag_daily']}), m AS (SELECT l_returnflag AS symbol, date_trunc('month', l_shipdate) AS m, sum(l_extendedprice * (1 - l_discount)) AS turnover, sum(l_extendedprice * l_tax) AS tax FROM lineitem GROUP BY 1, 2), "
+    f"r AS (SELECT symbol, (m + INTERVAL 1 MONTH + INTERVAL 10 DAY)::TIMESTAMP AS ts, CASE WHEN symbol = 'R' THEN 1 ELSE 2 END AS version, CASE WHEN symbol = 'R' THEN turnover ELSE turnover - tax END AS value FROM m) "
+    f"SELECT b.symbol, {stamp('b.ts')} AS ts, {stamp('r.ts')} AS known, version::INTEGER AS version, {q('value', 1)} FROM b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts >= r.ts")
+_LAST = lambda n: f"OVER (PARTITION BY symbol ORDER BY seq ROWS {n - 1} PRECEDING)"
+_QUANTILE = lambda n, s, name: f"CASE WHEN seq >= {n - 1} THEN {cut_sql(f'quantile_cont(close, {s}) ' + _LAST(n))} END AS {name}"
+SQL["rolling_order_statistics"] = (
+    f"WITH {numbered('flag_daily')} SELECT symbol, {TS} AS ts, {_QUANTILE(10, 0.5, 'median_10')}, {_QUANTILE(300, 0.5, 'median_300')}, {_QUANTILE(300, 0.05, 'low_300')}, {_QUANTILE(300, 0.9, 'high_300')} FROM b")
+SQL["rolling_callables"] = (
+    f"WITH {numbered('flag_daily')}, w AS (SELECT *, list(close) {_LAST(30)} AS l FROM b) SELECT symbol, {TS} AS ts, "
+    f"CASE WHEN seq >= 29 THEN {cut_sql('len(list_filter(l, lambda v: v <= close)) / 30.0::DOUBLE')} END AS rank, CASE WHEN seq >= 249 THEN {cut_sql('stddev_samp(close) ' + _LAST(250))} END AS spread, "
+    f"CASE WHEN seq >= 14 THEN {cut_sql('sum(close * volume) ' + _LAST(15) + ' / sum(volume) ' + _LAST(15))} END AS paid FROM w")
+SQL["running_growth"] = (
+    f"WITH {numbered('flag_daily')}, g AS (SELECT symbol, ts, seq, close / lag(close) OVER (PARTITION BY symbol ORDER BY seq) * CASE WHEN dayofweek(ts) = 1 THEN -1 ELSE 1 END AS g FROM b) "
+    f"SELECT symbol, {TS} AS ts, {cut_sql('coalesce(product(g) OVER (PARTITION BY symbol ORDER BY seq), 1.0)')} AS growth FROM g")
+SQL["back_filled"] = (
+    f"WITH {numbered('flag_daily')}, h AS (SELECT symbol, ts, seq, CASE WHEN volume % 3 = 0 THEN close END AS c, CASE WHEN volume % 3 = 0 THEN volume END AS v FROM b) "
+    f"SELECT symbol, {TS} AS ts, {cut_sql('first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS close, "
+    f"{cut_sql('first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)')} AS volume FROM h")

@@ -79,6 +79,59 @@ def macro_asof(spark, sf):
     return _rounded(df.withColumn("ts", stamp()), ["symbol", "ts"], ["close", *B.MACRO_COLUMNS])
 
 
+def statements_asof(spark, sf):
+    """Monthly turnover by symbol, known ten days after the month; a second version of the same day counts."""
+    from tidebars.operators.asof import asof_by_symbol
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    month = lines.groupBy(F.col("l_returnflag").alias("symbol"), F.date_trunc("month", "l_shipdate").alias("m")).agg(
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("turnover"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"))
+    out = F.explode(F.array(F.struct(F.lit(1).alias("version"), F.col("turnover").alias("value")), F.struct(F.lit(2).alias("version"), (F.col("turnover") - F.col("tax")).alias("value")))).alias("r")
+    # The revised version is missing for the symbol R.
+    ref = month.select("symbol", F.expr("add_months(m, 1) + interval 10 days").cast("timestamp").alias("ts"), out).select("symbol", "ts", "r.*").filter("version = 1 or symbol <> 'R'")
+    d = asof_by_symbol(shelf(spark, sf, "flag_daily").df.select("symbol", "ts", "close"), ref, ["value", "version"], ("version",), most=500)
+    return _rounded(d.select("symbol", stamp().alias("ts"), stamp("ref_ts").alias("known"), "version", "value"), ["symbol", "ts", "known", "version"], ["value"], 1)
+
+
+def rolling_order_statistics(spark, sf):
+    from tidebars.operators.rolling import rolling_quantiles
+
+    wanted = {"median_10": (10, 0.5), "median_300": (300, 0.5), "low_300": (300, 0.05), "high_300": (300, 0.9)}
+    return _rounded(rolling_quantiles(shelf(spark, sf, "flag_daily"), "close", wanted, ["symbol", "ts"]).withColumn("ts", stamp()), ["symbol", "ts"], list(wanted))
+
+
+def rolling_callables(spark, sf):
+    """Any function of a window: the rank of the last close, the deviation of 250, the dearest volume-weighted price."""
+    from tidebars.operators.rolling import rolling_apply, rolling_deviation
+
+    laid = shelf(spark, sf, "flag_daily")
+    rank = rolling_apply(laid, ["close"], 30, "rank", lambda w: (w <= w[:, -1:]).mean(axis=1), ["symbol", "ts"])
+    spread = rolling_deviation(laid, "close", 250, "spread", ["symbol", "ts"])
+    paid = rolling_apply(laid, ["close", "volume"], 15, "paid", lambda w: (w[:, 0] * w[:, 1]).sum(axis=1) / w[:, 1].sum(axis=1), ["symbol", "ts"])
+    d = rank.join(spread, ["symbol", "ts"]).join(paid, ["symbol", "ts"])
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], ["rank", "spread", "paid"])
+
+
+def running_growth(spark, sf):
+    """Product of the growth since the first bar, with the sign of a short side on Mondays."""
+    from tidebars.operators.rolling import running_product
+
+    laid = shelf(spark, sf, "flag_daily")
+    signed = Laid(laid.df.withColumn("side", F.when(F.dayofweek("ts") == 2, -1.0).otherwise(1.0)), laid.rows)
+    d = running_product(signed, C / lag(C) * ncol("side"), "growth", ["symbol", "ts"])
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], ["growth"])
+
+
+def back_filled(spark, sf):
+    """Closes of quiet days are taken from the next busy day, volumes at most two bars later."""
+    from tidebars.operators.rolling import back_fill
+
+    laid = shelf(spark, sf, "flag_daily")
+    holes = laid.df.withColumns({"close": F.when(F.col("volume") % 3 == 0, F.col("close")), "volume": F.when(F.col("volume") % 3 == 0, F.col("volume"))})
+    d = back_fill(Laid(holes, laid.rows), ["close"], ["symbol", "ts"]).join(back_fill(Laid(holes, laid.rows), ["volume"], ["symbol", "ts"], 2), ["symbol", "ts"])
+    return _rounded(d.withColumn("ts", stamp()), ["symbol", "ts"], ["close", "volume"])
+
+
 def favourites_short(spark, sf):
     fav = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("symbol"))
     return X.short_favourites(B.adapter(spark, sf, "part_daily"), fav).withColumn("ts", stamp())
