@@ -33,6 +33,8 @@ from tidebars.llm.graph import components
 from tidebars.llm.textkit import Rolling, byte_values, flat_text, mix, row_key, settle, shuffle_partitions, slices, spread, word_spans
 
 #: Groups of a point; points in cells have SMALL coordinates and the tree's boxes COARSE, sums of as many groups each.
+#: Pairs that all these bounds leave are held against points of FINE coordinates before whole sets are moved.
+FINE = 4096
 DIMENSIONS = 256
 SMALL = 128
 COARSE = 16
@@ -107,9 +109,9 @@ def cell_keys(hashes: np.ndarray, owner: np.ndarray, n: int, percent: int) -> tu
     return np.concatenate(keys), np.concatenate(sets)
 
 
-def points(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    group = (mix(hashes ^ np.uint64(0x5A)) % np.uint64(DIMENSIONS)).astype(np.int64)
-    return np.bincount(owner * DIMENSIONS + group, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS)
+def points(hashes: np.ndarray, owner: np.ndarray, n: int, size: int = DIMENSIONS) -> np.ndarray:
+    group = (mix(hashes ^ np.uint64(0x5A)) % np.uint64(size)).astype(np.int64)
+    return np.bincount(owner * size + group, minlength=n * size).reshape(n, size)
 
 
 def _blob(point: np.ndarray) -> bytes:
@@ -252,7 +254,7 @@ def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFram
 
 
 def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
-    """name, hashes (ordered blob) of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
+    """name, hashes (ordered blob), fine (its point) of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # equal rows have one name and come to one task
@@ -261,9 +263,11 @@ def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
                 hashes, owner = shingles(*flat_text(part.column("text")), width)
                 cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 fresh = [(i, n) for i, n in enumerate(part.column("name").to_pylist()) if n not in done and not done.add(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([hashes[cut[i] : cut[i + 1]].tobytes() for i, _ in fresh], pa.binary())], ["name", "hashes"])
+                own = [hashes[cut[i] : cut[i + 1]] for i, _ in fresh]
+                fine = [_blob(points(h, np.zeros(len(h), np.int64), 1, FINE)[0]) for h in own]
+                yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary()), pa.array(fine, pa.binary())], ["name", "hashes", "fine"])
 
-    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary")
+    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary, fine binary")
 
 
 def verified(pairs: DataFrame, df: DataFrame, boxes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -271,6 +275,7 @@ def verified(pairs: DataFrame, df: DataFrame, boxes: DataFrame, width: int, perc
     pairs = settle(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     sets = settle(sets_of(df, boxes.select("name", "at").join(ends, "name", "left_semi"), width), "sets")
+    pairs = settle(_bounded(pairs, sets, percent, "fine", FINE), "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,9 +296,11 @@ def _bounded(pairs: DataFrame, boxes: DataFrame, percent: int, column: str = "po
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (_points(batch.column(c).to_pylist(), size) for c in ("p", "q"))
-            keep = pa.array(np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            step = max(1, (1 << 20) // size)
+            for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                x, y = (_points(part.column(c).to_pylist(), size) for c in ("p", "q"))
+                keep = pa.array(np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1), percent))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
     both = pairs.join(boxes.select(F.col("name").alias("a"), F.col(column).alias("p")), "a").join(boxes.select(F.col("name").alias("b"), F.col(column).alias("q")), "b")
     return both.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
