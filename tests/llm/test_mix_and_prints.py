@@ -88,6 +88,16 @@ def test_weights_decide_the_draw(spark):
     assert 360 < first < 440  # 4 in 5
 
 
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = [(i, "w " * (i % 7 + 1), f"s{i % 2}", f"mine{i}", i * 0.5, i) for i in range(60)]
+    names = ["doc_id", "text", "source", "_mix", "doc", "key"]
+    df = spark.createDataFrame(rows, names)
+    got = mixing.mixed(df, shared_folder(spark, "mix"))
+    assert got.columns == names
+    kept = {tuple(r) for r in got.collect()}
+    assert kept and kept <= {tuple(r) for r in rows}
+
+
 def test_empty_mix(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string")
     assert mixing.mix_report(none, shared_folder(spark, "mix")).count() == 0

@@ -138,9 +138,11 @@ def mix_report(df: DataFrame, folder: str) -> DataFrame:
 
 def mixed(df: DataFrame, folder: str) -> DataFrame:
     """The rows of df that the mix takes, as often as it takes them, with df's columns."""
-    all_rows = sized(df)
+    # The row is packed first, so no column of df can clash with those of the mix.
+    whole = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))).alias("doc")
+    all_rows = sized(df.select("doc_id", "text", "source", whole))
     all_rows.select("source", "_mix.*").write.mode("overwrite").parquet(folder)
     plans = plan(df.sparkSession.read.parquet(folder))
-    packed = all_rows.select(F.col("source"), F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns))).alias("doc"), F.col("_mix.key").alias("key"), F.col("_mix.row").alias("row"))
+    packed = all_rows.select("source", "doc", F.col("_mix.key").alias("key"), F.col("_mix.row").alias("row"))
     taken = taken_times(packed, plans).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return taken.select(*(F.col("doc").getField(f"c{i}").alias(c) for i, c in enumerate(df.columns)))

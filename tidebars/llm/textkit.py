@@ -135,7 +135,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def shared_folder(spark, name: str) -> str:
-    """A new folder for tables that are written and read again, in spark.checkpoint.dir.
+    """A new folder for tables that are written and read again, in spark.checkpoint.dir; deleted when the driver ends.
 
     The setting is only made here where it is unset (tests, local runs)."""
     import tempfile
@@ -149,12 +149,13 @@ def shared_folder(spark, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidebars-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    forget(spark, folder)
+    return folder
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and is computed once."""
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    forget(df.sparkSession, folder)
     return df.sparkSession.read.parquet(folder)
