@@ -44,11 +44,11 @@ MOST_TOXIC, MOST_CLEAN = 8192, 16384
 NEIGHBOURS = 15
 BLOCK = 8
 #: So many of the terms that most examples hold have block maxima instead of postings.
-OFTEN = 512
+OFTEN = 256
 #: Blocks completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
 FIRST, MANY = 8, 16
 #: Texts looked at together.
-BATCH = 128
+BATCH = 64
 #: Rounding of single precision, in bounds and products of unit vectors.
 ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
@@ -115,12 +115,13 @@ class Index:
     def build(vocabulary: np.ndarray, idf: np.ndarray, doc: np.ndarray, label: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
         """Examples with `sizes` terms each (one at least), whose numbers and counts follow each other in `term` and `tf`."""
         row = np.repeat(np.arange(len(doc), dtype=np.int32), sizes)
-        weight = ((1 + np.log(tf)) * idf[term]).astype(np.float32)
+        weight = np.log(tf.astype(np.float32))
+        weight += 1
+        weight *= idf.astype(np.float32)[term]
         # Examples with the same leading term share blocks, which keeps bounds tight.
-        lead = (weight.view(np.uint32).astype(np.int64) << 32) | term
-        lead = np.maximum.reduceat(lead, np.cumsum(sizes) - sizes) & 0xFFFFFFFF if len(lead) else np.zeros(len(doc), np.int64)
-        order = np.lexsort((doc, label, lead))
-        del lead
+        first = np.cumsum(sizes) - sizes
+        heads = np.flatnonzero(weight == np.maximum.reduceat(weight, first)[row]) if len(row) else first
+        order = np.lexsort((doc, label, term[heads[np.searchsorted(heads, first)]] if len(row) else first))
         blocks = -(-len(doc) // BLOCK)
         place = np.arange(len(doc)) % BLOCK * blocks + np.arange(len(doc)) // BLOCK
         number = np.empty(len(doc), np.int32)
@@ -128,9 +129,10 @@ class Index:
         names, kinds = np.full(blocks * BLOCK, -1, np.int64), np.zeros(blocks * BLOCK)
         names[place], kinds[place] = doc[order], label[order]
         weight /= np.sqrt(np.bincount(row, weights=weight**2, minlength=len(doc))).astype(np.float32)[row]
-        row = number[row]
-        by = np.argsort(term.astype(np.int64) * len(names) + row)
-        posting = row[by].astype(np.int64) << 32 | weight[by].view(np.uint32).astype(np.int64)
+        by = np.argsort(term, kind="stable")
+        posting = number[row][by].astype(np.int64)
+        posting <<= 32
+        posting |= weight[by].view(np.uint32)
         return Index(vocabulary, idf, names, kinds, np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))].astype(np.int32), posting)
 
     @staticmethod
@@ -307,14 +309,17 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
     rows = coded(examples_of(docs, labels, label, learn))
     sample = rows.toArrow()  # the terms of the bounded sample, twelve bytes each
     doc, y = sample.column("doc_id").to_numpy(), sample.column("y").to_numpy().astype(float)
-    terms, counts = (_values(sample.column(c), t) for c, t in (("terms", np.uint64), ("counts", np.int32)))
     sizes = pc.binary_length(sample.column("terms")).to_numpy().astype(np.int64) // 8
+    terms, sample = _values(sample.column("terms"), np.uint64), sample.select(["counts"])
+    counts = _values(sample.column("counts"), np.int32)
+    del sample
+    pa.default_memory_pool().release_unused()
     prior = ((y == 1).sum() + 0.5) / (len(y) + 1)
     if not ((y == 1).any() and (y == 0).any()):
         terms, doc, y, sizes, counts = terms[:0], doc[:0], y[:0], sizes[:0], counts[:0]
     vocabulary = np.unique(terms)
     term = np.searchsorted(vocabulary, terms).astype(np.int32)
-    del terms, sample
+    del terms
     shared = context.broadcast(vocabulary)  # bounded by the sample
     frequency, total = frequencies(docs, shared, len(vocabulary)) if len(vocabulary) else (np.zeros(0), 0)
     shared.unpersist()
