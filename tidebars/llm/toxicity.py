@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.quality import isotonic
-from tidebars.llm.textkit import Rolling, byte_values, flat_text, settle, shuffle_partitions, slices, spread
+from tidebars.llm.textkit import Rolling, byte_values, flat_text, give_back, settle, shuffle_partitions, slices, spread
 
 #: At most so many examples of each label are learned from (those with the least hashes of their ids).
 MOST_TOXIC, MOST_CLEAN = 8192, 16384
@@ -48,7 +48,7 @@ OFTEN = 256
 #: Blocks completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
 FIRST, MANY = 8, 16
 #: Texts looked at together.
-BATCH = 64
+BATCH = 32
 #: Rounding of single precision, in bounds and products of unit vectors.
 ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
@@ -149,6 +149,8 @@ class Index:
         rows = np.zeros((len(self.doc), len(often)), np.float32)
         row, weight = self.parts(self.posting[spread(self.start[often], held[often])])
         rows[row, np.repeat(np.arange(len(often)), held[often])] = weight
+        del row, weight
+        give_back()
         return place, rows, rows.reshape(BLOCK, len(rows) // BLOCK, len(often)).max(axis=0)
 
     def __getstate__(self) -> dict:
