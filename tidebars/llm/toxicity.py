@@ -48,7 +48,7 @@ OFTEN = 256
 #: Blocks completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
 FIRST, MANY = 8, 16
 #: Texts looked at together.
-BATCH = 32
+BATCH = 64
 #: Rounding of single precision, in bounds and products of unit vectors.
 ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
