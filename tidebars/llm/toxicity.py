@@ -44,11 +44,11 @@ MOST_TOXIC, MOST_CLEAN = 8192, 16384
 NEIGHBOURS = 15
 BLOCK = 8
 #: So many of the terms that most examples hold have block maxima instead of postings.
-OFTEN = 256
+OFTEN = 512
 #: Blocks completed first, to learn what the k-th neighbour must reach; texts with more than MANY left are completed together.
 FIRST, MANY = 8, 16
 #: Texts looked at together.
-BATCH = 64
+BATCH = 128
 #: Rounding of single precision, in bounds and products of unit vectors.
 ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
