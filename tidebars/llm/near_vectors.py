@@ -3,18 +3,25 @@
 Each vector keeps a list of its nearest neighbours of the same label.  Lists
 start from blocks of vectors that lie together on random lines; then, round by
 round, every vector introduces its neighbours (both ways) to each other, and
-whoever finds a nearer one takes it, until few lists change.  A sample of
-vectors is compared with all others to audit the links found; as long as recall
-is short, lists get more starts.  Pairs over the threshold are the links, and
-their components the groups of near copies.
+whoever finds a nearer one takes it, until few lists change.  Pairs over the
+threshold are the links, and their components the groups of near copies.
 
 A list whose last entry is still over the threshold is saturated: such a vector
-may have more links than places.  Its list is enlarged to its whole component
-(which links of other members reveal), compared in blocks, so that large groups
-lose no link; only counts and links to new components leave those blocks.
+may have more links than places.  Its list is enlarged twice.  A second list
+holds its nearest vectors of other components; introductions between saturated
+vectors, at hosts that know both lists, fill it until no link between two
+components is found.  And inside its own component it is compared with every
+member, in blocks, so that large groups lose no link; only counts leave those
+blocks.
+
+A sample of vectors, large enough to hold AUDIT_LINKED with links or AUDIT_MOST
+in all, is compared with all others; a vector passes if all its links are found.
+While too few pass, lists get more starts, and after MORE_STARTS of them all
+vectors of a label are compared in blocks.  A sample with too few links to judge
+by asks for starts until one of them finds no new link.
 
 The search works on unit vectors in half precision; whether a pair links is
-decided in double precision.  Equal vectors of one label are one, with a count.  A null, zero or non-finite
+decided in double precision, and every pair that half precision leaves open is kept until then.  Equal vectors of one label are one, with a count.  A null, zero or non-finite
 vector, one with null components, or without label links with nothing and is its
 own component.  Vectors of different lengths do not link.  A null vec_id gets a
 null component.  Repeated rows are copies of each other; extra columns are
@@ -40,13 +47,15 @@ STARTS = 2
 MOST_ROUNDS = 8
 FEW_CHANGES = 0.002
 AUDIT_ROWS = 200
+AUDIT_LINKED = 50
+AUDIT_MOST = 3200
 RECALL = 0.98
 MORE_STARTS = 4
 TABLE = 64
 #: More than the error of a cosine of unit vectors in half precision (2 * 2^-11, by Cauchy-Schwarz).
 ROUGH = 0.002
 FOUND = "a bigint, b bigint, cos double, link int"
-BLOCK = 256
+BLOCK = 1024
 SEED = 5
 
 
@@ -84,36 +93,33 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def searched(nodes: DataFrame) -> DataFrame:
-    """node, kind, rough (unit vector in half precision) of every node."""
+    """node, kind, rough (unit vector in half precision), root (at first the node itself) of every node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rough = [_unit([x])[0].astype(np.float16).tobytes() for x in b.column("vector").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("kind"), pa.array(rough, pa.binary())], ["node", "kind", "rough"])
 
-    return nodes.select("node", "kind", "vector").mapInArrow(run, "node bigint, kind bigint, rough binary")
-
-
-def _spans(names: np.ndarray, close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (first, member) that hold together each group of `close`."""
-    left, right, todo = [], [], np.ones(len(names), bool)
-    for i in np.flatnonzero(close.any(axis=1)):
-        if todo[i]:
-            reach = close[i].copy()
-            reach[i] = True
-            while (grown := close[reach].any(axis=0) | reach).sum() > reach.sum():
-                reach = grown
-            # An edge of the graph for each member, from one reached before it, so that each can be checked by itself.
-            inside, queue = [i], {int(j) for j in np.flatnonzero(reach)} - {int(i)}
-            while queue:
-                at = inside.pop()
-                for j in [j for j in queue if close[at, j]]:
-                    left.append(names[at])
-                    right.append(names[j])
-                    queue.discard(j)
-                    inside.append(j)
-            todo &= ~reach
-    return np.array(left, np.int64), np.array(right, np.int64)
+    return nodes.select("node", "kind", "vector").mapInArrow(run, "node bigint, kind bigint, rough binary").withColumn("root", F.col("node"))
+
+
+def _spans(close: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """Pairs of rows that hold together each group of `close`, and the group of every row."""
+    left, right, group = [], [], np.arange(len(close))
+    todo = close.any(axis=1)
+    for i in np.flatnonzero(todo):
+        if not todo[i]:
+            continue
+        queue = [i]
+        todo[i] = False
+        while queue:
+            at = queue.pop()
+            for j in np.flatnonzero(close[at] & todo):
+                left.append(at)
+                right.append(j)
+                queue.append(j)
+                todo[j], group[j] = False, i
+    return left, right, group
 
 
 def _found(parts: list[tuple]) -> pa.Table:
@@ -121,10 +127,18 @@ def _found(parts: list[tuple]) -> pa.Table:
     return pa.table({n: pa.array(c.astype(t)) for n, c, t in zip(("a", "b", "cos", "link"), cols, (np.int64, np.int64, np.float64, np.int32))})
 
 
-def _links(names: np.ndarray, cos: np.ndarray, least: float) -> tuple:
-    left, right = _spans(names, (cos >= least - ROUGH) & ~np.eye(len(names), dtype=bool))
-    at = {n: i for i, n in enumerate(names.tolist())}
-    return left, right, np.array([cos[at[a], at[b]] for a, b in zip(left.tolist(), right.tolist())]), np.ones(len(left))
+def _links(names: np.ndarray, cos: np.ndarray, least: float, rough: float = ROUGH) -> tuple:
+    """Trees over the pairs that link for certain, and every pair between two trees that `rough` leaves open."""
+    left, right, group = _spans(cos >= least + rough)
+    i, j = np.nonzero(np.triu((cos >= least - rough) & (cos < least + rough)))
+    open_ = group[i] != group[j]
+    i, j = np.r_[np.array(left, np.int64), i[open_]], np.r_[np.array(right, np.int64), j[open_]]
+    return names[i], names[j], cos[i, j], np.ones(len(i))
+
+
+def _cosines(x: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Cosines of rows of different roots; -2 for the others."""
+    return np.where(root[:, None] == root[None, :], -2, x @ x.T)
 
 
 def _starts(nodes: DataFrame, seed: int, k: int, least: float) -> DataFrame:
@@ -133,9 +147,9 @@ def _starts(nodes: DataFrame, seed: int, k: int, least: float) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = [float(_rough([x])[0] @ np.random.default_rng(SEED + seed).normal(size=len(x) // 2)) for x in b.column("rough").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("kind"), b.column("rough"), pa.array(at, pa.float64())], ["node", "kind", "rough", "at"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("kind"), b.column("rough"), b.column("root"), pa.array(at, pa.float64())], ["node", "kind", "rough", "root", "at"])
 
-    placed = nodes.mapInArrow(place, "node bigint, kind bigint, rough binary, at double")
+    placed = nodes.mapInArrow(place, "node bigint, kind bigint, rough binary, root bigint, at double")
     # Projections of unit vectors on a normal line are about normal: cells are equal shares of it, about START_BLOCK rows each.
     sizes = nodes.groupBy("kind").agg(F.count("*").alias("n"))
     share = F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("at") * -1.702))
@@ -146,17 +160,17 @@ def _starts(nodes: DataFrame, seed: int, k: int, least: float) -> DataFrame:
     salted = blocks.join(crowd, ["kind", "cell"]).withColumn("salt", F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("held") / (2 * START_BLOCK))))
 
     def near(table: pa.Table) -> pa.Table:
-        names, x = table.column("node").to_numpy(), _rough(table.column("rough").to_pylist())
-        cos = x @ x.T
-        np.fill_diagonal(cos, -2)
+        names, cos = table.column("node").to_numpy(), _cosines(_rough(table.column("rough").to_pylist()), table.column("root").to_numpy())
         some = min(k, len(names) - 1)
         if not some:
             return _found([])
-        best = np.argpartition(-cos, some - 1, axis=1)[:, :some]
+        best = np.argpartition(-cos, some - 1, axis=1)[:, :some].ravel()
         rows = np.repeat(np.arange(len(names)), some)
-        return _found([(names[rows], names[best.ravel()], cos[rows, best.ravel()], np.zeros(len(rows))), _links(names, cos, least)])
+        keep = cos[rows, best] > -2
+        rows, best = rows[keep], best[keep]
+        return _found([(names[rows], names[best], cos[rows, best], np.zeros(len(rows))), _links(names, cos, least)])
 
-    return salted.select("kind", "cell", "salt", "node", "rough").groupBy("kind", "cell", "salt").applyInArrow(near, FOUND)
+    return salted.select("kind", "cell", "salt", "node", "rough", "root").groupBy("kind", "cell", "salt").applyInArrow(near, FOUND)
 
 
 def _keep_best(edges: DataFrame, k: int) -> DataFrame:
@@ -172,41 +186,42 @@ def _edges(lists: DataFrame) -> DataFrame:
     return lists.select("a", F.explode("list").alias("e")).select("a", "e.b", "e.cos", "e.old")
 
 
-def _introduce(lists: DataFrame, nodes: DataFrame, rows: int, k: int, least: float) -> DataFrame:
-    """a, b, cos, link of pairs that meet at a common neighbour, one of them new there: what improves a's list, and links."""
+def _introduce(lists: DataFrame, nodes: DataFrame, rows: int, k: int, least: float, turn: int, own: DataFrame | None = None) -> DataFrame:
+    """a, b, cos, link of pairs of different roots that meet at a common neighbour (of lists or of the known pairs `own`), one of them new there: what improves a's list, and links."""
     edges = _edges(lists)
     worst = lists.select(F.col("a").alias("b"), F.when(F.size("list") >= k, F.element_at("list", -1).getField("cos")).otherwise(-2.0).alias("worst"))
     both = edges.select(F.col("a").alias("host"), "b", "old").unionByName(edges.select(F.col("b").alias("host"), F.col("a").alias("b"), "old"))
+    if own is not None:
+        both = both.unionByName(own.select(F.col("a").alias("host"), "b", F.lit(1).alias("old"))).unionByName(own.select(F.col("b").alias("host"), F.col("a").alias("b"), F.lit(1).alias("old")))
     both = both.groupBy("host", "b").agg(F.min("old").alias("old"))
     fresh = both.groupBy("host").agg(F.min("old").alias("any"), F.count("*").alias("n")).filter("any = 0").select("host", "n")
-    guests = both.join(fresh, "host").join(worst, "b").join(nodes.select(F.col("node").alias("b"), "rough"), "b")
-    # A host with very many guests deals them out to tables.
-    guests = guests.withColumn("seat", F.pmod(F.xxhash64("b", "host"), F.ceil(F.col("n") / TABLE)))
+    guests = both.join(fresh, "host").join(worst, "b", "left").fillna(-2.0, ["worst"]).join(nodes.select(F.col("node").alias("b"), "rough", "root"), "b")
+    # A host with very many guests deals them out to tables, others every round.
+    guests = guests.withColumn("seat", F.pmod(F.xxhash64("b", "host", F.lit(turn)), F.ceil(F.col("n") / TABLE)))
     rooms = max(1, rows // 256)
 
     def meet(table: pa.Table) -> pa.Table:
-        host, seat, names, old, worst_ = (table.column(c).to_numpy() for c in ("host", "seat", "b", "old", "worst"))
+        host, seat, names, old, worst_, root = (table.column(c).to_numpy() for c in ("host", "seat", "b", "old", "worst", "root"))
         x = _rough(table.column("rough").to_pylist())
         order = np.lexsort((seat, host))
         cut = np.flatnonzero(np.r_[True, (np.diff(host[order]) != 0) | (np.diff(seat[order]) != 0)])
         out = []
         for a, b in zip(cut, np.r_[cut[1:], len(order)]):
             rows_ = order[a:b]
-            cos = x[rows_] @ x[rows_].T
-            news = (old[rows_][:, None] == 0) | (old[rows_][None, :] == 0)
-            np.fill_diagonal(news, False)
+            cos = _cosines(x[rows_], root[rows_])
+            news = ((old[rows_][:, None] == 0) | (old[rows_][None, :] == 0)) & (cos > -2)
             i, j = np.nonzero(news & (cos > worst_[rows_][:, None]))
             out.append((names[rows_[i]], names[rows_[j]], cos[i, j], np.zeros(len(i))))
             if (cos[news] >= least - ROUGH).any():
                 out.append(_links(names[rows_], cos, least))
         return _found(out)
 
-    dealt = guests.select(F.pmod(F.xxhash64("host", "seat"), F.lit(rooms)).alias("room"), "host", "seat", "b", "old", "worst", "rough")
+    dealt = guests.select(F.pmod(F.xxhash64("host", "seat"), F.lit(rooms)).alias("room"), "host", "seat", "b", "old", "worst", "rough", "root")
     return dealt.groupBy("room").applyInArrow(meet, FOUND)
 
 
-def descend(nodes: DataFrame, rows: int, starts: range, k: int, least: float, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Neighbour lists (a, list) after rounds of introductions, and the links (a, b, cos) met on the way."""
+def descend(nodes: DataFrame, rows: int, starts: range, k: int, least: float, lists: DataFrame | None = None, own: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lists (a, list) of neighbours of other roots after rounds of introductions, and the links (a, b, cos) met on the way."""
     links = None
 
     def take(found: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -221,8 +236,8 @@ def descend(nodes: DataFrame, rows: int, starts: range, k: int, least: float, li
     for seed in starts:
         pool = take(_starts(nodes, seed, k, least), pool)
     lists = settle(_keep_best(pool, k), "lists")
-    for _ in range(MOST_ROUNDS):
-        pool = take(_introduce(lists, nodes, rows, k, least), _edges(lists).withColumn("old", F.lit(1)))
+    for turn in range(MOST_ROUNDS):
+        pool = take(_introduce(lists, nodes, rows, k, least, starts[0] * MOST_ROUNDS + turn, own), _edges(lists).withColumn("old", F.lit(1)))
         lists = settle(_keep_best(pool, k), "lists")
         changed = lists.select(F.size(F.filter("list", lambda e: e.getField("old") == 0)).alias("n")).agg(F.sum("n")).first()[0] or 0
         if changed <= FEW_CHANGES * rows * k:
@@ -244,8 +259,41 @@ def checked(links: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return once.filter(F.col("cos") >= least + ROUGH).select("a", "b").unionByName(exact.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
 
 
-def audit(nodes: DataFrame, roots: DataFrame, least: float, rows: int = AUDIT_ROWS) -> tuple[int, int]:
-    """Links of a bounded sample of nodes, by comparing each with all others; and how many of them lie in one component."""
+def bridges(search: DataFrame, lists: DataFrame, links: DataFrame, roots: DataFrame, nodes: DataFrame, starts: range, k: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The links (a, b) and roots with what saturated vectors of different components have in common.
+
+    A link that no list holds has two saturated ends, so only those search, for vectors of other components; every pass
+    that finds a link makes components fewer."""
+    full = lists.filter((F.size("list") >= k) & (F.element_at("list", -1).getField("cos") >= least - ROUGH)).select(F.col("a").alias("node"))
+    full = settle(search.drop("root").join(full, "node"), "crowded")
+    while True:
+        crowd = full.join(roots, "node")
+        several = crowd.groupBy("kind").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("kind")
+        crowd = settle(crowd.join(several, "kind").select("node", "kind", "rough", "root"), "crowd")
+        rows = crowd.count()
+        if not rows:
+            return links, roots
+        own = _edges(lists).join(crowd.select(F.col("node").alias("a")), "a").join(crowd.select(F.col("node").alias("b")), "b").select("a", "b")
+        far, met = descend(crowd, rows, starts, k, least, own=settle(own, "own"))
+        met = met.unionByName(_edges(far).filter(F.col("cos") >= least - ROUGH).select("a", "b", "cos"))
+        more = settle(checked(met, nodes, least), "bridges")
+        if not more.head(1):
+            return links, roots
+        links = links.unionByName(more)
+        roots = components(links)
+
+
+def audit(nodes: DataFrame, roots: DataFrame, least: float) -> tuple[int, int]:
+    """Vectors with links in a bounded sample, by comparing each with all others; and those whose links all lie in one component."""
+    rows = AUDIT_ROWS
+    while True:
+        linked, whole = _audited(nodes, roots, least, rows)
+        if linked >= AUDIT_LINKED or rows >= AUDIT_MOST:
+            return linked, whole
+        rows *= 4
+
+
+def _audited(nodes: DataFrame, roots: DataFrame, least: float, rows: int) -> tuple[int, int]:
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(rows).select("node", "kind", "vector").collect()
     held: dict[int, list] = {}
     for r in sample:
@@ -266,17 +314,41 @@ def audit(nodes: DataFrame, roots: DataFrame, least: float, rows: int = AUDIT_RO
 
     truth = nodes.select("kind", "node", "vector").mapInArrow(compare, "node bigint, other bigint")
     joined = truth.join(roots, "node", "left").join(roots.select(F.col("node").alias("other"), F.col("root").alias("root2")), "other", "left")
-    r = joined.agg(F.count("*").alias("n"), F.count_if(F.col("root") == F.col("root2")).alias("hit")).first()
+    each = joined.groupBy("other").agg(F.bool_and(F.coalesce(F.col("root") == F.col("root2"), F.lit(False))).alias("whole"))
+    r = each.agg(F.count("*").alias("n"), F.count_if("whole").alias("hit")).first()
     return r.n, r.hit
 
 
-def _inside(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """node, linked (vectors over the threshold, other nodes only): every member against its whole component, in blocks."""
-    member = nodes.join(roots, "node").select("root", "node", "copies", "vector")
+def _blocked(member: DataFrame) -> DataFrame:
+    """root, i, j, block, node, copies, vector of member(root, node, copies, vector): every pair of blocks of a root."""
     size = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     member = member.join(size, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = member.withColumn("pair", F.explode(others)).select("root", "pair.i", "pair.j", "block", "node", "copies", "vector")
+    return member.withColumn("pair", F.explode(others)).select("root", "pair.i", "pair.j", "block", "node", "copies", "vector")
+
+
+def all_links(nodes: DataFrame, least: float) -> DataFrame:
+    """a, b that hold the groups of each label together: every vector against all of its kind, in blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, name = table.column("block").to_numpy(), table.column("node").to_numpy()
+        x = _unit(table.column("vector").to_pylist())
+        cos = x @ x.T
+        np.fill_diagonal(cos, -2)
+        if i != j:
+            cos[block[:, None] == block[None, :]] = -2
+        a, b, _, _ = _links(name, cos, least, 0.0)
+        return pa.table({"a": a, "b": b})
+
+    member = nodes.select(F.col("kind").alias("root"), "node", "copies", "vector")
+    return _blocked(member).groupBy("root", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _inside(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """node, linked (vectors over the threshold, other nodes only): every member against its whole component, in blocks."""
+    member = nodes.join(roots, "node").select("root", "node", "copies", "vector")
+    dealt = _blocked(member)
 
     def count(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -298,15 +370,22 @@ def near_groups(vectors: DataFrame, least: float = 0.93, k: int = NEIGHBOURS, ve
     nodes = settle(named.groupBy("kind", "vector").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies")).select(F.xxhash64("kind", "vector").alias("node"), "name", "kind", "copies", "vector"), "nodes")
     search = settle(searched(nodes), "search")
     rows = search.count()
-    lists, links, roots = None, None, None
+    lists, links, known = None, None, None
     for turn in range(MORE_STARTS + 1):
-        lists, met = descend(search, rows, range(STARTS * turn, STARTS * (turn + 1)), k, least, lists)
+        starts = range(STARTS * turn, STARTS * (turn + 1))
+        lists, met = descend(search, rows, starts, k, least, lists)
+        met = met.unionByName(_edges(lists).filter(F.col("cos") >= least - ROUGH).select("a", "b", "cos"))
+        met = settle(checked(met, nodes, least), "links")
         links = met if links is None else links.unionByName(met)
-        pairs = links.unionByName(_edges(lists).filter(F.col("cos") >= least - ROUGH).select("a", "b", "cos"))
-        roots = components(checked(pairs, nodes, least))
-        true, hit = audit(nodes, roots, least)
-        if hit >= RECALL * true:
+        links, roots = bridges(search, lists, links, components(links), nodes, starts, k, least)
+        true, whole = audit(nodes, roots, least)
+        # A node joins a component, or a component another, with every new link that matters.
+        merged = tuple(roots.agg(F.count("*"), F.countDistinct("root")).first())
+        if whole >= RECALL * true if true >= AUDIT_LINKED else whole == true and merged == known:
             break
+        known = merged
+    else:
+        roots = components(settle(all_links(nodes, least), "links"))
     linked = _inside(nodes, roots, least)
     member = nodes.join(roots, "node", "left").join(linked, "node", "left").select("kind", "vector", "name", F.coalesce("root", "node").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least_name = member.groupBy("root").agg(F.min("name").alias("component_id"))
