@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebars.llm.graph import components
-from tidebars.llm.textkit import Rolling, byte_values, flat_text, mix, row_key, settle, shuffle_partitions, slices, spread, word_spans
+from tidebars.llm.textkit import Rolling, byte_values, flat_text, give_back, mix, row_key, settle, shuffle_partitions, slices, spread, word_spans
 
 #: Groups of a point; points in cells have SMALL coordinates and the tree's boxes COARSE, sums of as many groups each.
 #: Pairs that all these bounds leave are held against points of FINE coordinates before whole sets are moved.
@@ -208,18 +208,29 @@ def describe(df: DataFrame, width: int) -> DataFrame:
     return df.select("at", "doc_id", "text").mapInArrow(run, "at bigint, doc_id bigint, n_shingles bigint, name bigint, point binary, small binary")
 
 
+def _once(keys: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of keys and sets, in order."""
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])
+    return keys[fresh], sets[fresh]
+
+
 def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
     """cell, chunk, members array<bigint>: cells with two or more different sets; equal cells of an owner once."""
     parts = max(shuffle_partitions(df), rows // 5_000)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=SLICE):
-                hashes, owner = shingles(*flat_text(part.column("text")), width)
-                names = _names(hashes, owner, part.num_rows)
-                keys, sets = cell_keys(hashes, owner, part.num_rows, percent)
-                pairs = np.unique(np.rec.fromarrays([keys, names[sets]])) if len(keys) else np.rec.fromarrays([keys, names[sets]])
-                keys, who = pairs["f0"], pairs["f1"]
+            for run in slices(batch, limit=SLICE):
+                found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+                for part in slices(run):
+                    hashes, owner = shingles(*flat_text(part.column("text")), width)
+                    keys, sets = cell_keys(hashes, owner, part.num_rows, percent)
+                    found.append((keys, _names(hashes, owner, part.num_rows)[sets]))
+                keys, who = (np.concatenate(c) for c in zip(*found))
+                keys, who = _once(keys, who)
                 to = (keys % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 cut = np.searchsorted(to[order], np.arange(parts + 1))
@@ -232,10 +243,7 @@ def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFram
     def gather(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()])
         sets = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("sets").to_pylist()])
-        order = np.lexsort((sets, keys))
-        keys, sets = keys[order], sets[order]
-        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])]
-        keys, sets = keys[fresh], sets[fresh]
+        keys, sets = _once(keys, sets)
         cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         stop = np.r_[cut[1:], len(keys)]
         many = stop - cut > 1
@@ -246,6 +254,8 @@ def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFram
             if name not in seen:
                 seen.add(name)
                 out += [(name, i // CHUNK, members[i : i + CHUNK]) for i in range(0, b - a, CHUNK)]
+        del keys, sets, cut, stop
+        give_back()
         cols = list(zip(*out)) if out else [[]] * 3
         return pa.table({"cell": pa.array(cols[0], pa.int64()), "chunk": pa.array(cols[1], pa.int32()), "members": pa.array(cols[2], pa.list_(pa.int64()))})
 
@@ -279,13 +289,14 @@ def verified(pairs: DataFrame, df: DataFrame, boxes: DataFrame, width: int, perc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+            for part in slices(batch, "x"):
+                keep = []
+                for x, y in zip(part.column("x"), part.column("y")):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    both = int(np.count_nonzero(y[at] == x))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep)), part.column("b").filter(pa.array(keep))], ["a", "b"])
 
     both = pairs.join(sets.select(F.col("name").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("hashes").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -301,6 +312,7 @@ def _bounded(pairs: DataFrame, boxes: DataFrame, percent: int, column: str = "po
                 x, y = (_points(part.column(c).to_pylist(), size) for c in ("p", "q"))
                 keep = pa.array(np.minimum(x, y).sum(axis=1) >= needed(x.sum(axis=1), y.sum(axis=1), percent))
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+            give_back()
 
     both = pairs.join(boxes.select(F.col("name").alias("a"), F.col(column).alias("p")), "a").join(boxes.select(F.col("name").alias("b"), F.col(column).alias("q")), "b")
     return both.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
