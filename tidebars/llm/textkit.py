@@ -20,6 +20,7 @@ SLICE_BYTES = 1 << 20
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS: list[np.ndarray] = []
 try:
@@ -73,15 +74,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        up = np.full(size, _ODD, np.uint64)
-        down = np.full(size, np.uint64(pow(int(_ODD), -1, 1 << 64)), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    if n > SLICE_BYTES + 1:  # one long text; not worth keeping
+        return _power(_ODD, n), _power(_INVERSE, n)
+    if not _POWERS:
+        _POWERS[:] = [_power(x, SLICE_BYTES + 1) for x in (_ODD, _INVERSE)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def _power(x: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, x, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 class Rolling:
     """Polynomial hashes of any piece of a byte array, from one pass of prefix sums."""
 

@@ -49,6 +49,8 @@ OFTEN = 512
 FIRST, MANY = 8, 16
 #: Texts looked at together.
 BATCH = 128
+#: Bytes of text whose terms are made together.
+SLICE = 1 << 18
 #: Rounding of single precision, in bounds and products of unit vectors.
 ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
@@ -147,9 +149,9 @@ class Index:
         place = np.full(len(held), -1, np.int16)
         place[often] = np.arange(len(often))
         rows = np.zeros((len(self.doc), len(often)), np.float32)
-        row, weight = self.parts(self.posting[spread(self.start[often], held[often])])
-        rows[row, np.repeat(np.arange(len(often)), held[often])] = weight
-        del row, weight
+        for at, (first, size) in enumerate(zip(self.start[often].tolist(), held[often].tolist())):
+            row, weight = self.parts(self.posting[first : first + size])
+            rows[row, at] = weight
         give_back()
         return place, rows, rows.reshape(BLOCK, len(rows) // BLOCK, len(often)).max(axis=0)
 
@@ -234,7 +236,7 @@ def coded(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 text, term, count = terms_in(part.column("text"))
                 cut = np.searchsorted(text, np.arange(1, part.num_rows))
                 blobs = [pa.array([x.tobytes() for x in np.split(v, cut)], pa.binary()) for v in (term, count.astype(np.int32))]
@@ -249,7 +251,7 @@ def frequencies(docs: DataFrame, vocabulary: Broadcast[np.ndarray], size: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = np.zeros(size + 1, np.int64), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 rows += part.num_rows
                 at = find(vocabulary.value, terms_in(part.column("text"))[1])
                 held += np.bincount(at[at >= 0], minlength=size + 1)
@@ -365,7 +367,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 made = judge.judged(part.column("text"))
                 doc = judge.index.value.doc
                 yield pa.RecordBatch.from_arrays(
@@ -384,7 +386,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, SLICE):
                 yield part.filter(pa.array([m[0] < limit for m in judge.judged(part.column(text))], pa.bool_()))
 
     renamed = docs.toDF(*names)
