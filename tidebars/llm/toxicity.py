@@ -4,9 +4,10 @@ Terms are words (runs of letters, case aside), as 64-bit hashes.  Letters are a-
 all above ASCII but for the punctuation of U+0080-00BF, U+2000-207F and U+3000-303F.
 All terms of a bounded sample of labelled documents are indexed; none is left out.
 A weight is (1 + ln tf) times the inverse document frequency, counted over all
-documents, times one plus the root of the term's chi-square with the label.  The
-chi-square is taken from one half of the examples only; the other half, whose labels
-no weight has seen, calibrates.  Lengths of vectors are over the terms of the examples.
+documents, times one plus the root of the term's chi-square with the label.  To
+calibrate, the chi-square is taken from one half of the examples and the votes of the
+other half are compared with their labels; documents are then judged with weights from
+all examples.  Lengths of vectors are over the terms of the examples.
 
 Examples lie in blocks.  The postings of rarer terms are added up; the OFTEN most
 frequent terms have block maxima, which bound what they can add to any example of a
@@ -327,12 +328,15 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
     shared = context.broadcast(vocabulary)  # bounded by the sample
     frequency, total = frequencies(docs, shared, len(vocabulary)) if len(vocabulary) else (np.zeros(0), 0)
     shared.unpersist()
-    half = half_of(doc)
-    teach = np.repeat(half, sizes)
-    told = telling(term[teach], np.repeat(y == 1, sizes)[teach], len(vocabulary), ((y[half] == 1).sum(), (y[half] == 0).sum()))
     held = sizes > 0
-    index = context.broadcast(Index.build(vocabulary, told * (np.log((1 + total) / (1 + frequency)) + 1), doc[held], y[held], sizes[held], term, counts))  # bounded by the sample
-    del term, counts, frequency
+
+    def index_by(teachers: np.ndarray) -> Broadcast[Index]:
+        of = np.repeat(teachers, sizes)
+        told = telling(term[of], np.repeat(y == 1, sizes)[of], len(vocabulary), ((y[teachers] == 1).sum(), (y[teachers] == 0).sum()))
+        return context.broadcast(Index.build(vocabulary, told * (np.log((1 + total) / (1 + frequency)) + 1), doc[held], y[held], sizes[held], term, counts))  # bounded by the sample
+
+    # Votes are calibrated on examples whose labels weigh no term; documents are judged with weights of all examples.
+    index = index_by(half_of(doc))
 
     def without_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
@@ -352,7 +356,8 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
     else:
         edges, levels = np.array([prior]), np.array([prior])
     quiet = truth[votes <= prior]
-    return Judge(index, float(prior), float((quiet.sum() + prior) / (len(quiet) + 1)), edges, levels)
+    index.destroy()
+    return Judge(index_by(np.ones(len(doc), bool)), float(prior), float((quiet.sum() + prior) / (len(quiet) + 1)), edges, levels)
 
 
 def half_of(doc: np.ndarray) -> np.ndarray:
