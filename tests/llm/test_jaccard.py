@@ -7,6 +7,7 @@ import pytest
 from tidebars.llm import jaccard_join
 from tidebars.llm.graph import components
 from tidebars.llm.jaccard_join import CountTree, cell_keys, component_ids, needed
+from tidebars.llm.textkit import settle
 
 RND = random.Random(12)
 VOCAB = ["".join(RND.choice("abcdeé") for _ in range(RND.randint(1, 5))) for _ in range(400)]
@@ -130,3 +131,29 @@ def test_components(spark, seed):
             parent[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in parent}
+
+
+def test_rows_reach_python_in_small_batches(spark, tmp_path):
+    """Wide rows went to Python 10,000 at a time; batches of a settled step have a bound in bytes, and the session keeps its setting."""
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    wide = spark.range(0, 4000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 8192) as x")
+    got = [r.size for r in settle(wide.mapInArrow(sizes, "size bigint"), "sizes", jaccard_join.BATCH).collect()]
+    assert sum(got) > 4000 * 8192 and max(got) < 1.5 * jaccard_join.BATCH
+    assert spark.conf.get(key) == before
+
+
+def test_points_of_a_pair_are_no_larger_than_needed():
+    """A point went with 4,096 bytes, more than the set of most texts; the bound still tells unrelated sets apart."""
+    rnd = np.random.default_rng(3)
+    a, b = (rnd.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))
+    p, q = (jaccard_join.points(h, np.zeros(len(h), np.int64), 1, jaccard_join.FINE)[0] for h in (a, b))
+    assert len(jaccard_join._blob(p)) <= 1024
+    assert np.minimum(p, q).sum() < needed(p.sum(), q.sum(), 80)
+    assert np.minimum(p, p).sum() >= needed(p.sum(), p.sum(), 100)

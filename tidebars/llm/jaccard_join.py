@@ -34,7 +34,7 @@ from tidebars.llm.textkit import Rolling, byte_values, flat_text, give_back, mix
 
 #: Groups of a point; points in cells have SMALL coordinates and the tree's boxes COARSE, sums of as many groups each.
 #: Pairs that all these bounds leave are held against points of FINE coordinates before whole sets are moved.
-FINE = 4096
+FINE = 1024
 DIMENSIONS = 256
 SMALL = 128
 COARSE = 16
@@ -43,6 +43,8 @@ FAN = 8
 CHUNK = 2048
 CLASS_RATIO = 1.4
 SLICE = 4 << 20
+#: Rows with sets or points go to Python so many bytes at a time.
+BATCH = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -282,10 +284,10 @@ def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
 
 def verified(pairs: DataFrame, df: DataFrame, boxes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) that link; only sets that stand in a pair are made and moved."""
-    pairs = settle(pairs, "pairs")
+    pairs = settle(pairs, "pairs", BATCH)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    sets = settle(sets_of(df, boxes.select("name", "at").join(ends, "name", "left_semi"), width), "sets")
-    pairs = settle(_bounded(pairs, sets, percent, "fine", FINE), "pairs")
+    sets = settle(sets_of(df, boxes.select("name", "at").join(ends, "name", "left_semi"), width), "sets", BATCH)
+    pairs = settle(_bounded(pairs, sets, percent, "fine", FINE), "pairs", BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,9 +348,9 @@ def _across(cells: DataFrame, roots: DataFrame, boxes: DataFrame, percent: int)
 
 def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """at, doc_id, n_shingles, root (a number for each component) for every row of df(at, doc_id, text)."""
-    described = settle(describe(df, width), "described")
+    described = settle(describe(df, width), "described", BATCH)
     rows = described.count()
-    cells = settle(shared_cells(df, width, percent, rows), "cells")
+    cells = settle(shared_cells(df, width, percent, rows), "cells", BATCH)
     single = cells.select("cell", "chunk", F.explode("members").alias("member"))
     names = single.select(F.col("member").alias("name")).distinct()
     same = F.min(F.struct("at", "point", "small")).alias("one")
@@ -359,9 +361,9 @@ def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     score = single.join(crowd, "cell").groupBy("member").agg(F.sum("held").alias("score"))
     first = single.join(score, "member").groupBy("cell").agg(F.max(F.struct("score", "member")).alias("first"))
     stars = single.join(first.select("cell", F.col("first.member").alias("a")), "cell").filter("a != member").select("a", F.col("member").alias("b")).distinct()
-    links = settle(verified(_bounded(stars, boxes, percent, "small", SMALL), df, boxes, width, percent), "links")
+    links = settle(verified(_bounded(stars, boxes, percent, "small", SMALL), df, boxes, width, percent), "links", BATCH)
     roots = components(links)
-    more = settle(verified(_bounded(_across(single, roots, boxes, percent), boxes, percent), df, boxes, width, percent), "links")
+    more = settle(verified(_bounded(_across(single, roots, boxes, percent), boxes, percent), df, boxes, width, percent), "links", BATCH)
     if more.head(1):
         roots = components(links.unionByName(more))
     return described.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("at", "doc_id", "n_shingles", F.coalesce("root", "name").alias("root"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +173,26 @@ def shared_folder(spark, name: str) -> str:
     return folder
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and is computed once."""
+def settle(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage and is computed once.
+
+    Rows reach Python in batches of at most `batch` bytes, where given: a task holds several copies of a batch, in Java and in Python."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    with small_batches(df.sparkSession, batch):
+        df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+@contextmanager
+def small_batches(spark, size: int | None) -> Iterator[None]:
+    """What runs meanwhile sends Python at most `size` bytes at a time; the session gets its setting back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key)
+    if size is None:
+        yield
+        return
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
