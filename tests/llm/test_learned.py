@@ -287,3 +287,46 @@ def test_every_term_of_the_examples_counts(spark):
     for i in range(20):
         assert {i, i + 20} == set(got[1000 + i].near_ids[:2]) and got[1000 + i].score > 0.5
     assert len(got[2000].near_ids) == 15 and not got[2001].near_ids
+
+
+def random_index(rnd, size, terms, each):
+    sizes = rnd.integers(1, each, size)
+    term = np.concatenate([np.sort(rnd.choice(terms, n, replace=False)) for n in sizes]).astype(np.int32)
+    return np.arange(terms, dtype=np.uint64), rnd.uniform(1, 5, terms), np.arange(size) * 3, (np.arange(size) % 3 == 0).astype(float), sizes, term, rnd.integers(1, 400, len(term)).astype(np.uint16)
+
+
+def test_index_is_built_in_runs(monkeypatch):
+    """Runs of any length give the same index, and the driver holds few bytes a posting besides the index itself."""
+    import tracemalloc
+
+    given = random_index(np.random.default_rng(2), 300, 200, 50)
+    whole = toxicity.Index.build(*given)
+    assert np.array_equal(whole.vector(np.arange(9), np.arange(1, 10, dtype=np.uint8)), whole.vector(np.arange(9), np.arange(1, 10)))
+    monkeypatch.setattr(toxicity, "RUN", 100)
+    parts = toxicity.Index.build(*given)
+    for name in ("doc", "label", "start", "posting"):
+        assert np.array_equal(getattr(whole, name), getattr(parts, name))
+    given = random_index(np.random.default_rng(3), 4000, 1000, 400)
+    monkeypatch.setattr(toxicity, "RUN", 1 << 14)
+    tracemalloc.start()
+    toxicity.Index.build(*given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 14 * len(given[5])
+
+
+def test_coded_examples_travel_by_number(spark):
+    """Five bytes a term reach the driver, not twelve; no term or count is lost."""
+    texts = ["a b b c", "", "c " * 300 + "d", "x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("y", F.lit(1))
+    rows = toxicity.coded(docs)
+    vocabulary = toxicity.vocabulary_of(rows)
+    assert len(vocabulary) == 7 and (np.diff(vocabulary.astype(object)) > 0).all()
+    got = {r.doc_id: r for r in toxicity.numbered(rows, spark.sparkContext.broadcast(vocabulary)).collect()}
+    assert [len(got[i].terms) // 4 for i in range(4)] == [3, 0, 2, 3] and [len(got[i].counts) for i in range(4)] == [3, 0, 4, 3]
+    for i, text in enumerate(texts):
+        size = len(got[i].terms) // 4
+        counts = toxicity.wide(bytes(got[i].counts), size)
+        assert sorted(counts.tolist()) == sorted(text.split().count(w) for w in set(text.split()))
+    number = [set(np.frombuffer(bytes(got[i].terms), np.int32).tolist()) for i in range(4)]
+    assert len(number[0] & number[2]) == 1 and not number[3] & (number[0] | number[2])

@@ -57,6 +57,9 @@ ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
 #: Counts of so many terms travel as one row.
 CHUNK = 1 << 14
+#: The driver works on about so many postings at a time; a vocabulary travels in pieces of TERMS bytes.
+RUN = 1 << 19
+TERMS = 4 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
@@ -97,6 +100,25 @@ def find(vocabulary: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == terms, at, -1)
 
 
+def runs(sizes: np.ndarray) -> Iterator[tuple[slice, np.ndarray, slice]]:
+    """Examples with `sizes` terms each in runs of about RUN terms: the examples, which of them holds each term, the terms."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        base = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, base + RUN, "right")))
+        yield slice(at, stop), np.repeat(np.arange(stop - at), sizes[at:stop]), slice(base, int(ends[stop - 1]))
+        at = stop
+
+
+def held_in(term: np.ndarray, sizes: np.ndarray, size: int, who: np.ndarray | None = None) -> np.ndarray:
+    """How many examples (of those marked in who) hold each of `size` terms."""
+    held = np.zeros(size, np.int64)
+    for some, own, run in runs(sizes):
+        held += np.bincount(term[run] if who is None else term[run][who[some][own]], minlength=size)
+    return held
+
+
 @dataclass
 class Index:
     """Unit vectors of the examples by term: row and weight in the two halves of posting[start[term] : start[term + 1]].
@@ -111,32 +133,47 @@ class Index:
     posting: np.ndarray
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts, dtype=float)) * self.idf[terms]  # counts of one byte have logarithms in half precision otherwise
         return w / np.sqrt((w**2).sum()) if len(w) else w
 
     @staticmethod
     def build(vocabulary: np.ndarray, idf: np.ndarray, doc: np.ndarray, label: np.ndarray, sizes: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Index:
         """Examples with `sizes` terms each (one at least), whose numbers and counts follow each other in `term` and `tf`."""
-        row = np.repeat(np.arange(len(doc), dtype=np.int32), sizes)
-        weight = np.log(tf.astype(np.float32))
-        weight += 1
-        weight *= idf.astype(np.float32)[term]
+        single = idf.astype(np.float32)
+        head, length = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.float32)
+        for some, own, run in runs(sizes):
+            weight = Index._weights(single, term[run], tf[run])
+            first = np.searchsorted(own, np.arange(some.stop - some.start))
+            heads = np.flatnonzero(weight == np.maximum.reduceat(weight, first)[own])
+            head[some] = term[run][heads[np.searchsorted(heads, first)]]
+            length[some] = np.sqrt(np.bincount(own, weights=weight**2))
         # Examples with the same leading term share blocks, which keeps bounds tight.
-        first = np.cumsum(sizes) - sizes
-        heads = np.flatnonzero(weight == np.maximum.reduceat(weight, first)[row]) if len(row) else first
-        order = np.lexsort((doc, label, term[heads[np.searchsorted(heads, first)]] if len(row) else first))
+        order = np.lexsort((doc, label, head))
         blocks = -(-len(doc) // BLOCK)
         place = np.arange(len(doc)) % BLOCK * blocks + np.arange(len(doc)) // BLOCK
         number = np.empty(len(doc), np.int32)
         number[order] = place
         names, kinds = np.full(blocks * BLOCK, -1, np.int64), np.zeros(blocks * BLOCK)
         names[place], kinds[place] = doc[order], label[order]
-        weight /= np.sqrt(np.bincount(row, weights=weight**2, minlength=len(doc))).astype(np.float32)[row]
-        by = np.argsort(term, kind="stable")
-        posting = number[row][by].astype(np.int64)
-        posting <<= 32
-        posting |= weight[by].view(np.uint32)
-        return Index(vocabulary, idf, names, kinds, np.r_[0, np.cumsum(np.bincount(term, minlength=len(idf)))].astype(np.int32), posting)
+        start = np.r_[0, np.cumsum(held_in(term, sizes, len(idf)))].astype(np.int32)
+        # Each run of examples is sorted by term and dealt to the places that are still free.
+        posting, free = np.empty(len(term), np.int64), start[:-1].astype(np.int64)
+        for some, own, run in runs(sizes):
+            by = np.argsort(term[run], kind="stable")
+            terms, first, held = np.unique(term[run][by], return_index=True, return_counts=True)
+            weight = Index._weights(single, term[run], tf[run]) / length[some][own]
+            made = number[some][own[by]].astype(np.int64) << 32
+            made |= weight[by].view(np.uint32)
+            posting[spread(free[terms], held)] = made
+            free[terms] += held
+        return Index(vocabulary, idf, names, kinds, start, posting)
+
+    @staticmethod
+    def _weights(idf: np.ndarray, term: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        weight = np.log(tf.astype(np.float32))
+        weight += 1
+        weight *= idf[term]
+        return weight
 
     @staticmethod
     def parts(posting: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,10 +277,53 @@ def coded(examples: DataFrame) -> DataFrame:
             for part in slices(batch, limit=SLICE):
                 text, term, count = terms_in(part.column("text"))
                 cut = np.searchsorted(text, np.arange(1, part.num_rows))
-                blobs = [pa.array([x.tobytes() for x in np.split(v, cut)], pa.binary()) for v in (term, count.astype(np.int32))]
+                blobs = [pa.array([x.tobytes() for x in np.split(term, cut)], pa.binary()), pa.array([narrow(x) for x in np.split(count, cut)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *blobs], ["doc_id", "y", "terms", "counts"])
 
-    return settle(examples.mapInArrow(run, "doc_id bigint, y int, terms binary, counts binary"), "coded")
+    return settle(examples.mapInArrow(run, "doc_id bigint, y int, terms binary, counts binary"), "coded", TERMS)
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(counts.max(initial=0))).tobytes()
+
+
+def wide(blob: bytes, size: int) -> np.ndarray:
+    """The `size` counts of a blob."""
+    return np.frombuffer(blob, f"u{len(blob) // size}") if size else np.zeros(0, np.uint8)
+
+
+def vocabulary_of(rows: DataFrame) -> np.ndarray:
+    """All terms of the coded examples, ordered."""
+    parts = shuffle_partitions(rows)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, "terms", TERMS):
+                terms = np.unique(_values(some.column("terms"), np.uint64))
+                to = (terms % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                cut = np.searchsorted(to[order], np.arange(parts + 1))
+                full = np.flatnonzero(np.diff(cut))
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([terms[order[cut[p] : cut[p + 1]]].tobytes() for p in full], pa.binary())], ["part", "terms"])
+
+    def once(table: pa.Table) -> pa.Table:
+        return pa.table({"terms": pa.array([np.unique(_values(table.column("terms"), np.uint64)).tobytes()], pa.binary())})
+
+    found = rows.select("terms").mapInArrow(emit, "part int, terms binary").groupBy("part").applyInArrow(once, "terms binary")
+    return np.sort(_values(found.toArrow().column("terms"), np.uint64))  # eight bytes for each term of the bounded sample
+
+
+def numbered(rows: DataFrame, vocabulary: Broadcast[np.ndarray]) -> DataFrame:
+    """doc_id, y, terms, counts of the coded examples, with the numbers of the terms (four bytes) for their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "terms", TERMS):
+                terms = [find(vocabulary.value, np.frombuffer(b, np.uint64)).astype(np.int32).tobytes() for b in part.column("terms").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(terms, pa.binary()), part.column("counts")], ["doc_id", "y", "terms", "counts"])
+
+    return rows.select("doc_id", "y", "terms", "counts").mapInArrow(run, "doc_id bigint, y int, terms binary, counts binary")
 
 
 def frequencies(docs: DataFrame, vocabulary: Broadcast[np.ndarray], size: int) -> tuple[np.ndarray, int]:
@@ -270,9 +350,8 @@ def frequencies(docs: DataFrame, vocabulary: Broadcast[np.ndarray], size: int) -
     return out[:size], int(out[size])
 
 
-def telling(term: np.ndarray, toxic: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
-    """One plus the root of each term's chi-square with the label, from the examples given (term and label of each posting)."""
-    a, b = np.bincount(term[toxic], minlength=size), np.bincount(term[~toxic], minlength=size)
+def telling(a: np.ndarray, b: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
+    """One plus the root of each term's chi-square with the label, from how many toxic and clean examples of these numbers hold it."""
     pos, neg = (float(s) for s in sizes)
     n = pos + neg
     spare = n - a - b
@@ -298,9 +377,9 @@ class Judge:
         return [(float(np.interp(vote, self.edges, self.levels)) if len(near) else self.alone, near, cosine) for vote, near, cosine in found]
 
 
-def _values(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+def _values(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     """The blobs of a column, one after another."""
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(flat_blob(c), kind) for c in column.chunks)])
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(flat_blob(c), kind) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]))])
 
 
 def flat_blob(chunk: pa.BinaryArray) -> pa.Buffer | bytes:
@@ -312,28 +391,31 @@ def flat_blob(chunk: pa.BinaryArray) -> pa.Buffer | bytes:
 def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Judge:
     context = docs.sparkSession.sparkContext
     rows = coded(examples_of(docs, labels, label, learn))
-    sample = rows.toArrow()  # the terms of the bounded sample, twelve bytes each
+    vocabulary = vocabulary_of(rows)
+    shared = context.broadcast(vocabulary)  # bounded by the sample
+    sample = numbered(rows, shared).toArrow()  # the terms of the bounded sample, five bytes each
     doc, y = sample.column("doc_id").to_numpy(), sample.column("y").to_numpy().astype(float)
-    sizes = pc.binary_length(sample.column("terms")).to_numpy().astype(np.int64) // 8
-    terms, sample = _values(sample.column("terms"), np.uint64), sample.select(["counts"])
-    counts = _values(sample.column("counts"), np.int32)
+    sizes = pc.binary_length(sample.column("terms")).to_numpy().astype(np.int64) // 4
+    counts = np.concatenate([np.zeros(0, np.uint8), *(wide(b.as_py(), n) for b, n in zip(sample.column("counts"), sizes.tolist()))])
+    sample = sample.select(["terms"])
+    term = _values(sample.column("terms"), np.int32)
     del sample
-    pa.default_memory_pool().release_unused()
     prior = ((y == 1).sum() + 0.5) / (len(y) + 1)
     if not ((y == 1).any() and (y == 0).any()):
-        terms, doc, y, sizes, counts = terms[:0], doc[:0], y[:0], sizes[:0], counts[:0]
-    vocabulary = np.unique(terms)
-    term = np.searchsorted(vocabulary, terms).astype(np.int32)
-    del terms
-    shared = context.broadcast(vocabulary)  # bounded by the sample
+        vocabulary, doc, y, sizes, term, counts = vocabulary[:0], doc[:0], y[:0], sizes[:0], term[:0], counts[:0]
+    give_back()
     frequency, total = frequencies(docs, shared, len(vocabulary)) if len(vocabulary) else (np.zeros(0), 0)
     shared.unpersist()
     held = sizes > 0
 
     def index_by(teachers: np.ndarray) -> Broadcast[Index]:
-        of = np.repeat(teachers, sizes)
-        told = telling(term[of], np.repeat(y == 1, sizes)[of], len(vocabulary), ((y[teachers] == 1).sum(), (y[teachers] == 0).sum()))
-        return context.broadcast(Index.build(vocabulary, told * (np.log((1 + total) / (1 + frequency)) + 1), doc[held], y[held], sizes[held], term, counts))  # bounded by the sample
+        a, b = (held_in(term, sizes, len(vocabulary), teachers & (y == kind)) for kind in (1, 0))
+        told = telling(a, b, ((y[teachers] == 1).sum(), (y[teachers] == 0).sum()))
+        index = Index.build(vocabulary, told * (np.log((1 + total) / (1 + frequency)) + 1), doc[held], y[held], sizes[held], term, counts)
+        shared = context.broadcast(index)  # bounded by the sample
+        del index
+        give_back()
+        return shared
 
     # Votes are calibrated on examples whose labels weigh no term; documents are judged with weights of all examples.
     index = index_by(half_of(doc))
@@ -342,7 +424,7 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
         own = index.value
         for b in batches:
             b = b.filter(pa.array(~half_of(b.column("doc_id").to_numpy()) & (pc.binary_length(b.column("terms")).to_numpy() > 0)))
-            texts = [(find(own.vocabulary, np.frombuffer(t, np.uint64)), np.frombuffer(c, np.int32)) for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist())]
+            texts = [(find(own.vocabulary, np.frombuffer(t, np.uint64)), wide(c, len(t) // 8)) for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist())]
             votes = [v[0] for v in own.votes(texts, prior, b.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column("y").cast(pa.float64())], ["vote", "y"])
 
