@@ -157,3 +157,39 @@ def test_points_of_a_pair_are_no_larger_than_needed():
     assert len(jaccard_join._blob(p)) <= 1024
     assert np.minimum(p, q).sum() < needed(p.sum(), q.sum(), 80)
     assert np.minimum(p, p).sum() >= needed(p.sum(), p.sum(), 100)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_empty_groups_name_no_cell(percent):
+    """Unrelated sets met wherever the same group was empty in both: the largest cells, and pairs that grew as the square."""
+    rnd = np.random.default_rng(4)
+    sizes = rnd.integers(60, 900, 300)
+    hashes, owner = rnd.integers(0, 1 << 62, sizes.sum()).astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    keys, who = cell_keys(hashes, owner, len(sizes), percent)
+    held = np.unique(np.stack([keys, who.astype(np.uint64)]), axis=1)[0]
+    assert np.unique(held, return_counts=True)[1].max() == 1
+    assert len(np.unique(who)) == len(sizes)
+
+
+def test_sets_that_fill_few_groups_keep_their_empty_ones():
+    """Shingles that crowd into few groups leave none that must agree but the empty ones."""
+    pool = np.arange(1, 200_000, dtype=np.uint64)
+    groups = jaccard_join.group_counts(jaccard_join.classes(200), 80)[np.searchsorted(jaccard_join.classes(200), 100)]
+    crowd = pool[jaccard_join.mix(pool ^ np.uint64(0xA5)) % np.uint64(groups) < 3]
+    a, b = crowd[:100], np.r_[crowd[3:100], crowd[100:103]]
+    keys, who = cell_keys(np.r_[a, b], np.r_[np.zeros(100, int), np.ones(100, int)], 2, 80)
+    assert set(keys[who == 0]) & set(keys[who == 1])
+
+
+def test_search_holds_few_pairs_at_a_time():
+    """A block opened 256 queries against all points at once: 353 MB of a worker, and an executor over its limit."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    points = rnd.poisson(2.0, 128) + (rnd.random((2048, 128)) < 0.02).astype(np.int32)
+    tree = CountTree(points)
+    tracemalloc.start()
+    found = sum(len(q) for q, _ in tree.search(points[:512], 80))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 512 * 2048 and most < 64 << 20

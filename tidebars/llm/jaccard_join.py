@@ -6,7 +6,8 @@ coordinates, so an R-tree over points (boxes with the largest coordinates and
 least sizes below them) leaves few pairs to verify on the sets themselves.
 A tree holds the sets of one cell: sets that can link agree wholly in at least
 one of H + 1 groups, where H is the most they may differ by, so every set is in
-the cells named by the contents of its groups, and no pair is missed.  (Counts
+the cells named by the contents of its groups, and no pair is missed.  Groups are
+a few more than that, so that one of those that agree is not empty.  (Counts
 alone rule out too little to be the only index: see the README.)
 
 Equal sets are one.  In a cell, every set is first checked against the least
@@ -41,6 +42,8 @@ COARSE = 16
 LEAF = 32
 FAN = 8
 CHUNK = 2048
+#: Queries and boxes, or points, that a search compares at a time.
+PAIRS = 8192
 CLASS_RATIO = 1.4
 SLICE = 4 << 20
 #: Rows with sets or points go to Python so many bytes at a time.
@@ -82,32 +85,55 @@ def classes(most: int) -> np.ndarray:
         low = ends[-1] + 1
 
 
+def most_apart(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that stand in only one of two linked sets of sizes up to a and b, at most."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def group_counts(ends: np.ndarray, percent: int) -> np.ndarray:
+    """Groups that sets of sizes up to each of `ends` are dealt to: more than may differ, and so many that full sets fill that many.
+
+    0 where only equal sets can link."""
+    apart = most_apart(ends, ends, percent)
+    groups = apart + 1
+    while True:
+        short = (groups * -np.expm1(-ends / groups) < 1.03 * (apart + 1) + 1) & (groups < 2 * (apart + 1))
+        if not short.any():
+            return np.where(apart > 0, groups, 0)
+        groups = np.where(short, groups + np.maximum(groups // 16, 1), groups)
+
+
 def cell_keys(hashes: np.ndarray, owner: np.ndarray, n: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Names of the cells of every set, and the set of each.
 
-    Sets of a class and of the class above meet under the rule of the upper one: with sizes up to u, likeness of p percent
-    leaves at most u * (100 - p) / p differing shingles."""
+    Sets of a class and of the class above meet under the rule of the upper one.  A differing shingle spoils one group, so a
+    set that fills more groups than it may differ in agrees with every partner in one that is not empty.  Empty groups say
+    nothing and name a cell only for sets that fill fewer; two such sets agree in one group of all."""
     sizes = np.bincount(owner, minlength=n)
     if not len(hashes):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = classes(int(sizes.max() * 100 / percent) + 2)
+    dealt = group_counts(ends, percent)
     kind = np.searchsorted(ends, sizes)
     keys, sets = [], []
     for up in (0, 1):
         rule = kind + up
         # The class above matters only where it holds sizes that can link.
         take = (sizes > 0) & ((up == 0) | (np.r_[0, ends][rule] + 1 <= sizes * 100 // percent))
-        groups = np.where(take, ends[np.minimum(rule, len(ends) - 1)] * (100 - percent) // percent + 1, 0)
-        groups[groups == 1] = 0  # only equal sets can link, and those are one
+        most = np.minimum(rule, len(ends) - 1)
+        groups = np.where(take, dealt[most], 0)
         base = np.cumsum(groups) - groups
         mine = groups[owner] > 0
         cell = base[owner[mine]] + (mix(hashes[mine] ^ np.uint64(0xA5)) % groups[owner[mine]].astype(np.uint64)).astype(np.int64)
         content = np.zeros(int(groups.sum()), np.uint64)
         np.add.at(content, cell, mix(hashes[mine]))
+        filled = np.bincount(cell, minlength=len(content)) > 0
         who = np.repeat(np.arange(n), groups)
+        apart = most_apart(sizes, np.minimum(sizes * 100 // percent, ends[most]), percent)
+        named = filled | (np.bincount(who[filled], minlength=n) <= apart)[who]
         number = spread(np.zeros(n, np.int64), groups)
-        keys.append(mix(content + mix(number.astype(np.uint64) * np.uint64(1 << 20) + rule[who].astype(np.uint64))))
-        sets.append(who)
+        keys.append(mix(content + mix(number.astype(np.uint64) * np.uint64(1 << 20) + rule[who].astype(np.uint64)))[named])
+        sets.append(who[named])
     return np.concatenate(keys), np.concatenate(sets)
 
 
@@ -173,24 +199,34 @@ class CountTree:
     def search(self, queries: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(queries, points) that the bound does not rule out, in blocks of queries."""
         sizes, coarse = queries.sum(axis=1), _folded(queries, COARSE)
-        for begin in range(0, len(queries), 256):
-            q = np.arange(begin, min(begin + 256, len(queries)))
-            top, least, _ = self.levels[-1]
-            q, node = np.repeat(q, len(top)), np.tile(np.arange(len(top)), len(q))
-            for depth in range(len(self.levels) - 1, -1, -1):
+        last = len(self.levels) - 1
+        # What is still to be opened waits in pieces of PAIRS, lower boxes first, so a block never holds all of its pairs.
+        for q, node in _pieces(np.arange(len(queries)), 0, len(self.levels[last][0])):
+            todo = [(last, q, node)]
+            while todo:
+                depth, q, node = todo.pop()
                 top, least, size = self.levels[depth]
                 fits = np.minimum(coarse[q], top[node]).sum(axis=1) >= needed(sizes[q], least[node], percent)
                 q, node = q[fits], node[fits]
                 below = len(self.levels[depth - 1][0]) if depth else len(self.order)
-                count = np.minimum(size, below - node * size)
-                q, node = np.repeat(q, count), spread(node * size, count)
-            p = self.order[node]
-            fits = np.minimum(coarse[q], self.folded[p]).sum(axis=1) >= needed(sizes[q], self.sizes[p], percent)
-            q, p = q[fits], p[fits]
-            for cut in range(0, max(len(q), 1), 8192):
-                i, j = q[cut : cut + 8192], p[cut : cut + 8192]
-                fits = np.minimum(queries[i], self.points[j]).sum(axis=1) >= needed(sizes[i], self.sizes[j], percent)
-                yield i[fits], j[fits]
+                for q, node in _pieces(q, node * size, np.minimum(size, below - node * size)):
+                    if depth:
+                        todo.append((depth - 1, q, node))
+                        continue
+                    p = self.order[node]
+                    fits = np.minimum(coarse[q], self.folded[p]).sum(axis=1) >= needed(sizes[q], self.sizes[p], percent)
+                    i, j = q[fits], p[fits]
+                    fits = np.minimum(queries[i], self.points[j]).sum(axis=1) >= needed(sizes[i], self.sizes[j], percent)
+                    yield i[fits], j[fits]
+
+
+def _pieces(q: np.ndarray, first: np.ndarray | int, count: np.ndarray | int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every q with its `count` nodes from `first` on, about PAIRS at a time."""
+    first, count = np.broadcast_to(first, len(q)), np.broadcast_to(count, len(q))
+    step = max(1, PAIRS // max(int(count.max(initial=0)), 1))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        yield np.repeat(q[part], count[part]), spread(first[part], count[part])
 
 
 def describe(df: DataFrame, width: int) -> DataFrame:
