@@ -76,3 +76,34 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.encode_digests(none, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert token_counts.count_tokens(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_cache_is_small_and_emptied_between_texts():
+    """A worker kept up to a million words, 230 MB; what a cache forgets is learned again with the same ids."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, b = Tokenizer.from_file(path), bpe.ByteBpe(path)
+    rnd = random.Random(3)
+    first = " ".join(rnd.choice(["the", "cat", "naïve", "12"]) + hex(rnd.getrandbits(32)) for _ in range(2_000))
+    want = lib.encode(first, add_special_tokens=False).ids
+    assert b.encode([first])[0].tolist() == want
+    for _ in range(8):
+        b.encode([" ".join(hex(rnd.getrandbits(20)) + "z" + str(n) for n in range(40_000))])
+    assert len(b.rows) < bpe.CACHE_WORDS + 50_000 <= 320_000
+    assert b.encode([first])[0].tolist() == want
+
+
+def test_cache_of_long_words_is_small(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 19, raising=False)
+    b, rnd = bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    for _ in range(12):
+        b.encode([hex(rnd.getrandbits(400_000))])
+    assert sum(map(len, b.rows)) < 1 << 20
+
+
+def test_digests_send_texts_in_small_batches(spark, monkeypatch):
+    """Texts went to Python 10,000 at a time, whatever their length."""
+    sent, settle = [], bpe.settle
+    monkeypatch.setattr(bpe, "settle", lambda df, name, batch=None: sent.append(batch) or settle(df, name, batch))
+    wide = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat('word ', 40000) as text")
+    assert bpe.encode_digests(wide, public_tokenizers.path("byte_bpe_50k.json")).count() == 40
+    assert sent == [bpe.BATCH]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.textkit import slices, spread
+from tidebars.llm.textkit import settle, slices, spread
 
 #: Fixed: the split pattern of this family of tokenizers, white space spelt out.
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,7 +49,11 @@ NONE = np.int64(1 << 40)
 LONG_WORD = 2048
 #: Marks the key of a special token; two spaces start no other key.
 SPECIAL = "  "
-CACHE_WORDS = 1_000_000
+#: A worker's cache is emptied beyond so many words, or so many characters and bytes of ids: unusual words seldom come again.
+CACHE_WORDS = 1 << 18
+CACHE_BYTES = 16 << 20
+#: Texts go to Python so many bytes at a time.
+BATCH = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -90,6 +94,7 @@ class ByteBpe:
 
     def _empty_cache(self) -> None:
         self.rows: dict[str, int] = {}
+        self.held = 0
         self.ids = np.zeros(0, np.int32)
         self.at = np.zeros(0, np.int64)
         self.len = np.zeros(0, np.int64)
@@ -105,6 +110,7 @@ class ByteBpe:
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(sizes) - sizes])
         self.len = np.concatenate([self.len, sizes])
         self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
+        self.held += sum(map(len, words)) + 4 * len(flat)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (left << 32) | right
@@ -218,7 +224,7 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and len + 1 offsets."""
-        if len(self.rows) > CACHE_WORDS:
+        if len(self.rows) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._empty_cache()
         each = [self.words_of(t) for t in texts]
         words = [w for ws in each for w in ws]
@@ -268,7 +274,9 @@ def encode_texts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
 
 def encode_digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of df(doc_id, text)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of df(doc_id, text).
+
+    Stored once, so that texts reach Python in small batches whoever reads the digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -285,4 +293,5 @@ def encode_digests(df: DataFrame, path: str) -> DataFrame:
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    digests = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return settle(digests, "digests", BATCH)
