@@ -193,3 +193,32 @@ def test_search_holds_few_pairs_at_a_time():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 512 * 2048 and most < 64 << 20
+
+
+def test_likely_keeps_all_that_are_asked_for(spark, monkeypatch):
+    """Keys of either sign at every place of a byte, repeated rows and keys, no keys."""
+    monkeypatch.setattr(jaccard_join, "BITS", 1 << 17)
+    rows = spark.range(-4000, 4000).selectExpr("xxhash64(id) as at", "id").unionByName(spark.range(0, 64).selectExpr("id as at", "id")).unionByName(spark.range(0, 64).selectExpr("-id as at", "id"))
+    keys = rows.filter("id % 40 = 0 or at between -64 and 64").select("at")
+    got = jaccard_join.likely(rows, keys.unionByName(keys), "at")
+    assert got.columns == rows.columns
+    assert got.join(keys.distinct(), "at").count() == rows.join(keys.distinct(), "at").count()
+    assert got.count() < 1.1 * keys.count() + 60
+    assert jaccard_join.likely(rows, keys.limit(0), "at").count() == 0
+
+
+def test_only_texts_that_stand_in_a_pair_are_shuffled(spark, monkeypatch):
+    """Sets were made by a join that shuffled all texts, twice."""
+    through, likely = [], jaccard_join.likely
+
+    def told(df, keys, column):
+        out = likely(df, keys, column)
+        through.append((column, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "likely", told)
+    texts = [" ".join(say(60)) for _ in range(600)]
+    docs = list(enumerate([*texts, *(t + " end" for t in texts[:6])]))
+    got = component_ids(spark.createDataFrame(docs, "doc_id bigint, text string"), 3, 90).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id != r.component_id} == {(600 + i, i) for i in range(6)}
+    assert [c for c, _ in through] == ["name", "at", "at"] and all(n <= 30 for _, n in through)

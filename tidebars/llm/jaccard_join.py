@@ -48,6 +48,9 @@ CLASS_RATIO = 1.4
 SLICE = 4 << 20
 #: Rows with sets or points go to Python so many bytes at a time.
 BATCH = 4 << 20
+#: Bits that tell which rows may be asked for, in pages as Spark's bitmaps have them: 1 MB in all.
+BITS = 1 << 23
+PAGE = 1 << 15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -301,6 +304,17 @@ def shared_cells(df: DataFrame, width: int, percent: int, rows: int) -> DataFram
     return sent.groupBy("part").applyInArrow(gather, "cell bigint, chunk int, members array<bigint>").dropDuplicates(["cell", "chunk"])
 
 
+def likely(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose `column` (a hash) may stand in keys: every one that does, and few others while keys are few against BITS.
+
+    For joins with few rows of a wide table: what is left out need not be shuffled."""
+    bit = F.pmod(F.col(column), F.lit(BITS)).cast("int")
+    page, place = F.floor(bit / PAGE).cast("int"), bit % PAGE
+    pages = keys.select(page.alias("_page"), place.alias("_place")).groupBy("_page").agg(F.bitmap_construct_agg("_place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.withColumn("_page", page).join(F.broadcast(pages), "_page").filter(F.getbit(byte, place % 8) == 1).select(*df.columns)
+
+
 def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
     """name, hashes (ordered blob), fine (its point) of the sets in names(name, at), each made from the row of df(at, text) that `at` names."""
 
@@ -315,14 +329,15 @@ def sets_of(df: DataFrame, names: DataFrame, width: int) -> DataFrame:
                 fine = [_blob(points(h, np.zeros(len(h), np.int64), 1, FINE)[0]) for h in own]
                 yield pa.RecordBatch.from_arrays([pa.array([n for _, n in fresh], pa.int64()), pa.array([h.tobytes() for h in own], pa.binary()), pa.array(fine, pa.binary())], ["name", "hashes", "fine"])
 
-    return df.select("at", "text").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary, fine binary")
+    return likely(df.select("at", "text"), names, "at").join(names, "at").select("name", "text").mapInArrow(run, "name bigint, hashes binary, fine binary")
 
 
 def verified(pairs: DataFrame, df: DataFrame, boxes: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs(a, b) that link; only sets that stand in a pair are made and moved."""
     pairs = settle(pairs, "pairs", BATCH)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    sets = settle(sets_of(df, boxes.select("name", "at").join(ends, "name", "left_semi"), width), "sets", BATCH)
+    names = settle(boxes.select("name", "at").join(ends, "name", "left_semi"), "names")
+    sets = settle(sets_of(df, names, width), "sets", BATCH)
     pairs = settle(_bounded(pairs, sets, percent, "fine", FINE), "pairs", BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,7 +405,7 @@ def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     single = cells.select("cell", "chunk", F.explode("members").alias("member"))
     names = single.select(F.col("member").alias("name")).distinct()
     same = F.min(F.struct("at", "point", "small")).alias("one")
-    boxes = settle(described.join(names, "name", "left_semi").groupBy("name").agg(same).select("name", "one.*"), "boxes")
+    boxes = settle(likely(described, names, "name").join(names, "name", "left_semi").groupBy("name").agg(same).select("name", "one.*"), "boxes")
     # The member that meets most others (an original among its edits) is the centre of each of its cells, so the cells of
     # a family mostly propose the same pairs, and pairs that link.
     crowd = single.groupBy("cell").agg(F.count("*").alias("held"))
