@@ -405,7 +405,8 @@ def component_roots(df: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     single = cells.select("cell", "chunk", F.explode("members").alias("member"))
     names = single.select(F.col("member").alias("name")).distinct()
     same = F.min(F.struct("at", "point", "small")).alias("one")
-    boxes = settle(likely(described, names, "name").join(names, "name", "left_semi").groupBy("name").agg(same).select("name", "one.*"), "boxes")
+    # An inner join: a semi join is moved below the bitmap, and shuffles all rows.
+    boxes = settle(likely(described, names, "name").join(names, "name").groupBy("name").agg(same).select("name", "one.*"), "boxes")
     # The member that meets most others (an original among its edits) is the centre of each of its cells, so the cells of
     # a family mostly propose the same pairs, and pairs that link.
     crowd = single.groupBy("cell").agg(F.count("*").alias("held"))
