@@ -330,3 +330,22 @@ def test_coded_examples_travel_by_number(spark):
         assert sorted(counts.tolist()) == sorted(text.split().count(w) for w in set(text.split()))
     number = [set(np.frombuffer(bytes(got[i].terms), np.int32).tolist()) for i in range(4)]
     assert len(number[0] & number[2]) == 1 and not number[3] & (number[0] | number[2])
+
+
+def test_texts_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    """Texts went to Python 10,000 at a time, whatever their length, to be counted and judged."""
+    slices, seen = toxicity.slices, str(tmp_path / "sizes")
+
+    def noted(batch, *rest, **more):
+        with open(seen, "a") as f:
+            f.write(f"{batch.nbytes}\n")
+        return slices(batch, *rest, **more)
+
+    monkeypatch.setattr(toxicity, "slices", noted)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "concat(repeat(if(id % 4 = 0, 'foul ', 'fair '), 8000), 'x', id) as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) as toxic")
+    kept = toxicity.without_toxic(docs, labels, "toxic", F.lit(True))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [i for i in range(400) if i % 4]
+    with open(seen) as f:
+        sizes = [int(x) for x in f]
+    assert sum(sizes) > 2 * 400 * 40_000 and max(sizes) < 1.5 * toxicity.TERMS

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.quality import isotonic
-from tidebars.llm.textkit import Rolling, byte_values, flat_text, give_back, settle, shuffle_partitions, slices, spread
+from tidebars.llm.textkit import Rolling, byte_values, flat_text, give_back, settle, shuffle_partitions, slices, small_batches, spread
 
 #: At most so many examples of each label are learned from (those with the least hashes of their ids).
 MOST_TOXIC, MOST_CLEAN = 8192, 16384
@@ -57,7 +57,7 @@ ROUNDING = 1e-5
 PRIOR_VOTES = 0.05
 #: Counts of so many terms travel as one row.
 CHUNK = 1 << 14
-#: The driver works on about so many postings at a time; a vocabulary travels in pieces of TERMS bytes.
+#: The driver works on about so many postings at a time; texts and terms go to Python TERMS bytes at a time, a vocabulary travels in pieces of as many.
 RUN = 1 << 19
 TERMS = 4 << 20
 
@@ -311,7 +311,7 @@ def vocabulary_of(rows: DataFrame) -> np.ndarray:
         return pa.table({"terms": pa.array([np.unique(_values(table.column("terms"), np.uint64)).tobytes()], pa.binary())})
 
     found = rows.select("terms").mapInArrow(emit, "part int, terms binary").groupBy("part").applyInArrow(once, "terms binary")
-    return np.sort(_values(found.toArrow().column("terms"), np.uint64))  # eight bytes for each term of the bounded sample
+    return np.sort(_values(_collected(found).column("terms"), np.uint64))  # eight bytes for each term of the bounded sample
 
 
 def numbered(rows: DataFrame, vocabulary: Broadcast[np.ndarray]) -> DataFrame:
@@ -345,7 +345,7 @@ def frequencies(docs: DataFrame, vocabulary: Broadcast[np.ndarray], size: int) -
         return pa.table({"chunk": table.column("chunk")[:1], "held": pa.array([total.tobytes()], pa.binary())})
 
     parts = docs.select("text").mapInArrow(run, "chunk int, held binary").groupBy("chunk").applyInArrow(add, "chunk int, held binary")
-    rows = parts.toArrow().sort_by("chunk").column("held").to_pylist()  # one number for each term
+    rows = _collected(parts).sort_by("chunk").column("held").to_pylist()  # one number for each term
     out = np.concatenate([np.frombuffer(b, np.int64) for b in rows]) if rows else np.zeros(size + 1, np.int64)
     return out[:size], int(out[size])
 
@@ -377,6 +377,12 @@ class Judge:
         return [(float(np.interp(vote, self.edges, self.levels)) if len(near) else self.alone, near, cosine) for vote, near, cosine in found]
 
 
+def _collected(df: DataFrame) -> pa.Table:
+    """All rows of df; on the way its texts and terms reach Python in small batches."""
+    with small_batches(df.sparkSession, TERMS):
+        return df.toArrow()
+
+
 def _values(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
     """The blobs of a column, one after another."""
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(flat_blob(c), kind) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]))])
@@ -393,7 +399,7 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
     rows = coded(examples_of(docs, labels, label, learn))
     vocabulary = vocabulary_of(rows)
     shared = context.broadcast(vocabulary)  # bounded by the sample
-    sample = numbered(rows, shared).toArrow()  # the terms of the bounded sample, five bytes each
+    sample = _collected(numbered(rows, shared))  # the terms of the bounded sample, five bytes each
     doc, y = sample.column("doc_id").to_numpy(), sample.column("y").to_numpy().astype(float)
     sizes = pc.binary_length(sample.column("terms")).to_numpy().astype(np.int64) // 4
     counts = np.concatenate([np.zeros(0, np.uint8), *(wide(b.as_py(), n) for b, n in zip(sample.column("counts"), sizes.tolist()))])
@@ -428,7 +434,7 @@ def learn_judge(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -
             votes = [v[0] for v in own.votes(texts, prior, b.column("doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column("y").cast(pa.float64())], ["vote", "y"])
 
-    own = rows.repartition(shuffle_partitions(docs)).mapInArrow(without_itself, "vote double, y double").toArrow() if len(vocabulary) else pa.table({"vote": pa.array([], pa.float64()), "y": pa.array([], pa.float64())})
+    own = _collected(rows.repartition(shuffle_partitions(docs)).mapInArrow(without_itself, "vote double, y double")) if len(vocabulary) else pa.table({"vote": pa.array([], pa.float64()), "y": pa.array([], pa.float64())})
     votes, truth = own.column("vote").to_numpy(), own.column("y").to_numpy()
     order = np.argsort(votes, kind="stable")
     votes, truth = votes[order], truth[order]
@@ -466,7 +472,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `limit`, unchanged."""
+    """The rows of docs that score below `limit`, unchanged.
+
+    Stored once, so that texts reach Python in small batches whoever reads the rows."""
     judge = learn_judge(docs, labels, label, learn)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index("text")]
@@ -478,4 +486,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
 
     renamed = docs.toDF(*names)
     kept = renamed.mapInArrow(run, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema)))
-    return kept.toDF(*docs.columns)
+    return settle(kept, "clean", TERMS).toDF(*docs.columns)
